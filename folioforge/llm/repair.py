@@ -46,12 +46,24 @@ class Words:
         self.langs = {w: frozenset(x) for w, x in langs.items()}
         self.all = frozenset(self.langs)
         self.rows = rows
-
-    def main(self, tokens: list[str], least: int, default: str) -> str:
-        """The language of most of the tokens; ``default`` where fewer than ``least`` are listed."""
+        self.memo: dict[str, tuple[str, frozenset[str] | None]] = {}
+
+    def look(self, token: str) -> tuple[str, frozenset[str] | None]:
+        """A token without the marks around it, and the languages that list it."""
+        found = self.memo.get(token)
+        if found is None:
+            if len(self.memo) > 300_000:
+                self.memo.clear()
+            bare = token.strip(AROUND)
+            found = self.memo[token] = (bare, self.langs.get(bare.lower()))
+        return found
+
+    def main(self, sets: Iterable[frozenset[str] | None], least: int, default: str) -> str:
+        """The language that lists most of the tokens; ``default`` where it lists fewer than ``least``."""
         votes: Counter = Counter()
-        for t in tokens:
-            votes.update(self.langs.get(t, ()))
+        for langs, n in Counter(sets).items():
+            for lang in langs or ():
+                votes[lang] += n
         votes.pop("", None)
         top = max(votes.items(), key=lambda kv: (kv[1], kv[0]), default=("", 0))
         return top[0] if top[1] >= least else default
@@ -174,6 +186,7 @@ class Page:
         self.joins: list[tuple[int, str, int, int]] = []  # unit, whole word, number of the unit with the second part, 1 if in one line
         self.used: set[tuple[int, int]] = set()  # tokens that are parts of broken words
         self.tokens = [u.split() for u in units]
+        self.looked = [[words.look(t) for t in tokens] for tokens in self.tokens]
         self._joins(joins, inline)
 
     def _furniture(self, model: Boosted) -> set[int]:
@@ -214,8 +227,10 @@ def _may_be_furniture(u: str) -> bool:
 
 
 def unlisted(page: Page, words: Words, lang: str) -> Iterator[tuple[int, int, str, str]]:
-    """(unit, token number, word, language) of the words in running text that the list doesn't have."""
-    known = words.all
+    """(unit, token number, word, language) of the words in running text that the list doesn't have.
+
+    The language is that of the lines around the word, else that of the record.
+    """
     ended = True
     for i, tokens in enumerate(page.tokens):
         if not tokens:
@@ -223,14 +238,12 @@ def unlisted(page: Page, words: Words, lang: str) -> Iterator[tuple[int, int, st
             continue
         if i in page.furniture:
             continue
-        bare = [t.strip(AROUND) for t in tokens]
-        low = [b.lower() for b in bare]
-        odd = [k for k, w in enumerate(low) if w not in known and len(w) > 1]
+        seen = page.looked[i]
+        odd = [k for k, (w, langs) in enumerate(seen) if langs is None and len(w) > 1]
         if odd:
-            hits = [w for w in low if w in known]
-            local = words.main(hits, 3, lang)
+            local = words.main([x for j in range(max(0, i - 1), i + 2) for _, x in (page.looked[j] if j < len(page.looked) else ())], 3, lang)
             for k in odd:
-                w = bare[k]
+                w = seen[k][0]
                 if (i, k) in page.used or not any(c.isalpha() for c in w) or 2 * sum(c.isalpha() for c in w) < len(w) or len(w) > 40 or w[-1] == "-":
                     continue
                 start = tokens[k - 1][-1] in ".!?\")" if k else ended or len(tokens) < 12
@@ -257,8 +270,7 @@ def _scan(batches: Iterable[pa.RecordBatch], words: Words, furniture: Boosted, j
                 continue
             units = text.split("\n")
             page = Page(units, tab == "page_regions", words, furniture, joins)
-            head = [t.strip(AROUND).lower() for tokens in page.tokens for t in tokens]
-            lang = words.main(head, 1, "")
+            lang = words.main([x for seen in page.looked for _, x in seen], 1, "")
             out += [(tab, rec, i + 1, "furniture", "", lang, 0, None, bits) for i in page.furniture]
             for i, whole, _, _ in page.joins:
                 out.append((tab, rec, i + 1, "join", whole, lang, 0, None, bits))
@@ -286,7 +298,7 @@ def _scan(batches: Iterable[pa.RecordBatch], words: Words, furniture: Boosted, j
 def grams(word: object) -> object:
     """The distinct padded q-grams of a column: pairs for short words, triples for longer ones."""
     padded = F.concat(F.lit("^"), word, F.lit("$"))
-    q = F.when(F.length(word) <= 5, 2).otherwise(3)
+    q = F.when((F.length(word) <= 5) | word.rlike("[0-9]"), 2).otherwise(3)
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - q + 1), lambda i: F.substring(padded, i, q)))
 
 
@@ -432,7 +444,7 @@ def candidates(tokens: DataFrame, listed: DataFrame) -> DataFrame:
     the distinct words.
     """
     index = listed.select(F.col("lang").alias("of"), "key", "spelling", "proper", F.explode(grams(F.col("key"))).alias("gram"))
-    both = index.unionAll(listed.where(F.length("key").between(4, 8)).select("lang", "key", "spelling", "proper", F.explode(grams_of(F.col("key"), 2)).alias("gram")))
+    both = index.unionAll(listed.where(F.length("key") >= 4).select("lang", "key", "spelling", "proper", F.explode(grams_of(F.col("key"), 2)).alias("gram")))
     index = both.unionAll(listed.where(F.length("key").between(4, 5)).select("lang", "key", "spelling", "proper", F.explode(grams_of(F.col("key"), 3)).alias("gram"))).distinct()
     each = tokens.withColumn("low", F.lower("word")).select("word", "lang", "low", F.explode(grams(F.lower("word"))).alias("gram"))
     near = each.join(F.broadcast(index.withColumnRenamed("gram", "g")), (F.col("gram") == F.col("g")) & ((F.col("of") == F.col("lang")) | F.col("proper")) & (F.abs(F.length("low") - F.length("key")) <= 2))
@@ -464,7 +476,7 @@ def repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     doubtful = rows.where("kind in ('word', 'join') and word <> ''")
     tokens = doubtful.select("word", "lang").distinct().withColumn("key", F.lower("word")).join(F.broadcast(known), "key", "left_anti").drop("key")
     pairs = checkpointed(candidates(tokens, listed))
-    ops = pairs.where("not proper").mapInArrow(_ops, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 2")
+    ops = pairs.where("not proper").mapInArrow(_ops, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1")
     seen = {(r["a"], r["b"]): r["n"] for r in ops.orderBy(F.desc("n"), "a", "b").limit(5000).collect()}
     ranker, costs = train_ranker(words, seen)
     best = pairs.mapInArrow(lambda it: _rank(it, ranker, costs), "word string, lang string, low string, key string, spelling string, proper boolean, score double, ease double")
