@@ -458,43 +458,127 @@ def grams_of(word: object, q: int) -> object:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - q + 1), lambda i: F.substring(padded, i, F.lit(q))))
 
 
-def repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tab, rec_id, unit, kind, fixed, place, raw) of all that is to be mended in documents, readings and regions."""
-    words = load_words(spark, sf_dir)
-    names = [w for w, _, p in words.rows if p] or ["Thornwick"]
-    share = min(1.0, SAMPLE_DOCS / max(1, table(spark, sf_dir, "documents", "doc_id").count()))
-    drawn = table(spark, sf_dir, "documents", "doc_id", "text").where((F.length("text") < 5000) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20)))).limit(2 * SAMPLE_DOCS)
-    pages = [t for t in (clean(r["text"]) for r in drawn.collect()) if t and not kind_bits(t, words.all) & 7]
-    furniture, joins = train_furniture(pages, names), train_joins(words)
-    rows = checkpointed(records(spark, sf_dir, "documents", "readings", "page_regions").mapInArrow(lambda it: _scan(it, words, furniture, joins), ROWS))
-    prose = [b for b, (kind, _) in kinds_of(rows.where("kind = 'record'").select("bits")).items() if kind == "prose"]
-    rows = rows.where(F.col("bits").isin(*prose) & (F.col("kind") != "record"))
-    listed = table(spark, sf_dir, "wordlist", "word", "lang", "is_proper").where("word is not null").select(
-        F.coalesce("lang", F.lit("")).alias("lang"), F.lower("word").alias("key"), F.col("word").alias("spelling"), F.coalesce("is_proper", F.lit(False)).alias("proper")
-    )
-    known = listed.select("key").distinct()
-    doubtful = rows.where("kind in ('word', 'join') and word <> ''")
-    tokens = doubtful.select("word", "lang").distinct().withColumn("key", F.lower("word")).join(F.broadcast(known), "key", "left_anti").drop("key")
-    pairs = checkpointed(candidates(tokens, listed))
-    ops = pairs.where("not proper").mapInArrow(_ops, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1")
-    seen = {(r["a"], r["b"]): r["n"] for r in ops.orderBy(F.desc("n"), "a", "b").limit(5000).collect()}
-    ranker, costs = train_ranker(words, seen)
-    best = pairs.mapInArrow(lambda it: _rank(it, ranker, costs), "word string, lang string, low string, key string, spelling string, proper boolean, score double, ease double")
-    best = best.groupBy("word", "lang").agg(F.max_by(F.struct("spelling", "proper", "score"), F.struct("score", "ease", F.col("spelling"))).alias("top"))
-    best = best.where("top.score > 0.5").select("word", "lang", F.col("top.spelling").alias("spelling"), F.col("top.proper").alias("proper"))
-    found = rows.join(best, ["word", "lang"], "left")
-    upper = F.substring("word", 1, 1) != F.lower(F.substring("word", 1, 1))
-    whole = F.when(F.col("spelling").isNull(), F.col("word")).when(upper, F.concat(F.upper(F.substring("spelling", 1, 1)), F.expr("substring(spelling, 2)"))).otherwise(F.col("spelling"))
-    fixed = F.when(F.col("kind") == "word", F.col("spelling")).when(F.col("kind") == "join", whole).otherwise("")
-    # A listed noun keeps its capital only where one was read: a small letter in the middle of a sentence is another word.
-    return found.where("kind <> 'word' or (spelling is not null and not proper)").select("tab", "rec_id", "unit", "kind", fixed.alias("fixed"), "place", "raw")
+class Repairer:
+    """The classifiers of a data folder and what they found: (tab, rec_id, unit, kind, word, fixed, place, raw)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        words = load_words(spark, sf_dir)
+        names = [w for w, _, p in words.rows if p] or ["Thornwick"]
+        share = min(1.0, SAMPLE_DOCS / max(1, table(spark, sf_dir, "documents", "doc_id").count()))
+        drawn = table(spark, sf_dir, "documents", "doc_id", "text").where((F.length("text") < 5000) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20)))).limit(2 * SAMPLE_DOCS)
+        pages = [t for t in (clean(r["text"]) for r in drawn.collect()) if t and not kind_bits(t, words.all) & 7]
+        furniture, joins = train_furniture(pages, names), train_joins(words)
+        rows = checkpointed(records(spark, sf_dir, "documents", "readings", "page_regions").mapInArrow(lambda it: _scan(it, words, furniture, joins), ROWS))
+        prose = [b for b, (kind, _) in kinds_of(rows.where("kind = 'record'").select("bits")).items() if kind == "prose"]
+        self.words, self.furniture, self.joins, self.rows, self.prose = words, furniture, joins, rows, prose
+        rows = rows.where(F.col("bits").isin(*prose) & (F.col("kind") != "record"))
+        listed = table(spark, sf_dir, "wordlist", "word", "lang", "is_proper").where("word is not null").select(
+            F.coalesce("lang", F.lit("")).alias("lang"), F.lower("word").alias("key"), F.col("word").alias("spelling"), F.coalesce("is_proper", F.lit(False)).alias("proper")
+        )
+        known = listed.select("key").distinct()
+        doubtful = rows.where("kind in ('word', 'join') and word <> ''")
+        tokens = doubtful.select("word", "lang").distinct().withColumn("key", F.lower("word")).join(F.broadcast(known), "key", "left_anti").drop("key")
+        pairs = checkpointed(candidates(tokens, listed))
+        ops = pairs.where("not proper").mapInArrow(_ops, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1")
+        seen = {(r["a"], r["b"]): r["n"] for r in ops.orderBy(F.desc("n"), "a", "b").limit(5000).collect()}
+        ranker, costs = train_ranker(words, seen)
+        best = pairs.mapInArrow(lambda it: _rank(it, ranker, costs), "word string, lang string, low string, key string, spelling string, proper boolean, score double, ease double")
+        best = best.groupBy("word", "lang").agg(F.max_by(F.struct("spelling", "proper", "score"), F.struct("score", "ease", F.col("spelling"))).alias("top"))
+        best = best.where("top.score > 0.5").select("word", "lang", F.col("top.spelling").alias("spelling"), F.col("top.proper").alias("proper"))
+        found = rows.join(best, ["word", "lang"], "left")
+        upper = F.substring("word", 1, 1) != F.lower(F.substring("word", 1, 1))
+        whole = F.when(F.col("spelling").isNull(), F.col("word")).when(upper, F.concat(F.upper(F.substring("spelling", 1, 1)), F.expr("substring(spelling, 2)"))).otherwise(F.col("spelling"))
+        fixed = F.when(F.col("kind") == "word", F.col("spelling")).when(F.col("kind") == "join", whole).otherwise("")
+        # A listed noun keeps its capital only where one was read: a small letter in the middle of a sentence is another word.
+        self.found = found.where("kind <> 'word' or (spelling is not null and not proper)").select("tab", "rec_id", "unit", "kind", "word", fixed.alias("fixed"), "place", "raw")
 
 
 def find_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tab, rec_id, unit, kind, fixed) in documents, readings and page_regions, and of misread words in words."""
-    found = checkpointed(repair(spark, sf_dir))
+    found = checkpointed(Repairer(spark, sf_dir).found)
     words = table(spark, sf_dir, "words", "word_id", "reading_id", F.col("word_seq").alias("place"), "text")
     flagged = found.where("tab = 'readings' and kind = 'word' and raw is not null").select(F.col("rec_id").alias("reading_id"), "place", F.col("raw").alias("text"), "fixed")
     same = words.join(flagged, ["reading_id", "place", "text"])
     of_words = same.select(F.lit("words").alias("tab"), F.col("word_id").alias("rec_id"), F.lit(0).alias("unit"), F.lit("word").alias("kind"), "fixed")
     return found.select("tab", "rec_id", "unit", "kind", "fixed").unionAll(of_words).distinct()
+
+
+# ------------------------------------------------------------------------------------------------ mended texts
+
+
+def mend(text: str, inline: bool, fixes: dict[tuple[int, str], str], words: Words, furniture: Boosted, joins: Boosted) -> str:
+    """The text without furniture, with broken words joined and misread words replaced, lines run into paragraphs.
+
+    ``fixes`` maps (unit from 1, word as read) to the word meant.  Paragraphs are parted by blank lines; verse, whose
+    lines are short and begin with capitals, keeps its lines.
+    """
+    units = clean(text).split("\n")
+    page = Page(units, inline, words, furniture, joins)
+    starts = {(i, k): (whole, j) for i, whole, j, k in page.joins}
+    skip: set[tuple[int, int]] = set()
+    out: list[list[str]] = []
+    for i, tokens in enumerate(page.tokens):
+        line = []
+        if i in page.furniture:
+            continue
+        for k, t in enumerate(tokens):
+            if (i, k) in skip:
+                continue
+            if (i, k) in starts:
+                whole, j = starts[i, k]
+                m = k + 1 if j == i else 0
+                tail = page.tokens[j][m]
+                skip.add((j, m))
+                head = t[: len(t) - len(t.lstrip(AROUND))]
+                end = tail[len(tail.rstrip(AROUND)) :]
+                line.append(head + fixes.get((i + 1, whole), whole) + end)
+                continue
+            bare = page.looked[i][k][0]
+            new = fixes.get((i + 1, bare))
+            if new and bare:
+                if bare[0].isupper():
+                    new = new[0].upper() + new[1:]
+                t = t.replace(bare, new, 1)
+            line.append(t)
+        out.append(line)
+    if inline:
+        return "\n".join(" ".join(x) for x in out)
+    paragraphs: list[str] = []
+    now: list[str] = []
+    lines = [" ".join(x) for x in out]
+    for x in [*lines, ""]:
+        if x:
+            now.append(x)
+        elif now:
+            verse = len(now) > 2 and all(y[0].isupper() or not y[0].isalpha() for y in now)
+            paragraphs.append(("\n" if verse else " ").join(now))
+            now = []
+    return "\n\n".join(paragraphs)
+
+
+def mended_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tab, rec_id, text): every record of documents, readings and page_regions as continuous readable paragraphs.
+
+    Records that are lists, tables or junk for the greater part are only brought to clean form.  Null texts stay null.
+    """
+    model = Repairer(spark, sf_dir)
+    fixes = model.found.where("kind = 'word'").select("tab", "rec_id", F.struct("unit", "word", "fixed").alias("fix"))
+    fixes = fixes.unionAll(model.found.where("kind = 'join' and word <> fixed").select("tab", "rec_id", F.struct("unit", "word", "fixed")))
+    # One record's fixes are bounded by its text.
+    grouped = fixes.groupBy("tab", "rec_id").agg(F.collect_set("fix").alias("fixes"))
+    prose = model.rows.where(F.col("bits").isin(*model.prose) & (F.col("kind") == "record")).select("tab", "rec_id", F.lit(True).alias("prose")).distinct()
+    texts = records(spark, sf_dir, "documents", "readings", "page_regions").join(grouped, ["tab", "rec_id"], "left").join(prose, ["tab", "rec_id"], "left")
+    words, furniture, joins = model.words, model.furniture, model.joins
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = []
+            for tab, text, fix, is_prose in zip(*(batch.column(n).to_pylist() for n in ("tab", "text", "fixes", "prose")), strict=True):
+                if not text or not is_prose:
+                    done.append(clean(text))
+                    continue
+                table_of = {(f["unit"], f["word"]): f["fixed"] for f in fix or ()}
+                done.append(mend(text, tab == "page_regions", table_of, words, furniture, joins))
+            yield pa.RecordBatch.from_arrays([batch.column("tab"), batch.column("rec_id"), pa.array(done, pa.string())], names=["tab", "rec_id", "text"])
+
+    return texts.mapInArrow(run, "tab string, rec_id long, text string").distinct()
