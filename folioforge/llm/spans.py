@@ -103,26 +103,26 @@ def _pieces(ids: list[int], texts: list[str]) -> Iterator[tuple[list[int], list[
         yield rows, offsets, parts
 
 
-_ANCHORS = pa.schema([("doc_id", pa.int64()), ("cls", pa.binary()), ("place", pa.int32()), ("anchor", pa.int64())])
+_ANCHORS = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("place", pa.int32()), ("anchor", pa.int64())])
 
 
 def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         long = [i for i, t in enumerate(texts) if t is not None and len(t) >= LEAST]
-        cls = {i: hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=16).digest() for i in long}
+        cls = {i: int.from_bytes(hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for i in long}
         for rows, offsets, parts in _pieces(long, [texts[i] for i in long]):
             text, place, h = anchors(parts)
             row = np.array(rows)[text] if len(text) else np.zeros(0, np.int64)
             place = place + np.array(offsets)[text] if len(text) else place
             # Overlaps of pieces may name an anchor twice; that changes nothing but work.
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(ids, np.int64)[row]), pa.array([cls[i] for i in row.tolist()], pa.binary()), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64))], schema=_ANCHORS
+                [pa.array(np.array(ids, np.int64)[row]), pa.array([cls[i] for i in row.tolist()], pa.int64()), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64))], schema=_ANCHORS
             )
 
 
-_WINDOWS = pa.schema([("doc_id", pa.int64()), ("cls", pa.binary()), ("anchor", pa.int64()), ("start", pa.int32()), ("core", pa.int32()), ("window", pa.string())])
-WINDOWS = "doc_id long, cls binary, anchor long, start int, core int, window string"
+_WINDOWS = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("anchor", pa.int64()), ("start", pa.int32()), ("core", pa.int32()), ("window", pa.string())])
+WINDOWS = "doc_id long, cls long, anchor long, start int, core int, window string"
 
 
 def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,14 +135,17 @@ def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 6, _WINDOWS, strict=True)], schema=_WINDOWS)
 
 
-def _search(pdf: pd.DataFrame) -> pd.DataFrame:
+def _search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Stretches of the windows of one shard, from the shard's FM-index."""
+    pdf = pd.concat([*batches, pd.DataFrame(columns=["anchor", "window", "core", "low", "high"])])
+    if not len(pdf):
+        return
     owners = pd.factorize(pdf["low"])[0]
     many = (pdf["low"] != pdf["high"]).tolist()
     cores = [(c, c + CORE) for c in pdf["core"]]
     found = shared_stretches(pdf["window"].tolist(), owners.tolist(), many, cores, LEAST)
     rows = [(a, w, c, s, e) for a, w, c, spans in zip(pdf["anchor"], pdf["window"], pdf["core"], found, strict=True) for s, e in spans]
-    return pd.DataFrame(rows, columns=["anchor", "window", "core", "s", "e"])
+    yield pd.DataFrame(rows, columns=["anchor", "window", "core", "s", "e"])
 
 
 def _grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +156,7 @@ def _grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in range(0, len(window) - LEAST + 1):
                 gram = hashlib.blake2b(window[s : s + LEAST].encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 out.append((anchor, window, core, low, high, s, gram))
-        schema = pa.schema([("anchor", pa.int64()), ("window", pa.string()), ("core", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("s", pa.int32()), ("gram", pa.binary())])
+        schema = pa.schema([("anchor", pa.int64()), ("window", pa.string()), ("core", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("s", pa.int32()), ("gram", pa.binary())])
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 7, schema, strict=True)], schema=schema)
 
 
@@ -166,10 +169,11 @@ def covered(spans: object) -> object:
     return F.aggregate(F.array_sort(spans), zero, add, lambda acc: acc["sum"])
 
 
-def shared_spans(spark: SparkSession, sf_dir: str, hot: int = 20_000, shard_chars: int = 2_000_000) -> DataFrame:
+def shared_spans(spark: SparkSession, sf_dir: str, hot: int = 20_000, shard_chars: int = 1_000_000) -> DataFrame:
     """(doc_id, start, end) of the stretches of documents.text that stand in another document too, overlaps not merged."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text").where(F.length("text") >= LEAST)
-    found = checkpointed(docs.mapInArrow(_anchor_rows, "doc_id long, cls binary, place int, anchor long"))
+    # Computed twice, as that costs less than keeping all anchors on disk.
+    found = docs.mapInArrow(_anchor_rows, "doc_id long, cls long, place int, anchor long")
     # Both aggregates are combined before the shuffle, so an anchor of very many documents is no more than a row a task.
     common = found.groupBy("anchor").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("anchor")
     mine = found.join(common, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "cls", "place")).alias("found"))
@@ -179,8 +183,8 @@ def shared_spans(spark: SparkSession, sf_dir: str, hot: int = 20_000, shard_char
     shards = max(1, int((stats["chars"] or 0) // shard_chars) + 1)
     crowded = distinct.groupBy("anchor").count().where(F.col("count") > hot).select("anchor")
     usual = distinct.join(crowded, "anchor", "left_anti")
-    spans = usual.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInPandas(_search, "anchor long, window string, core int, s int, e int")
-    grams = distinct.join(crowded, "anchor", "left_semi").mapInArrow(_grams, "anchor long, window string, core int, low binary, high binary, s int, gram binary")
+    spans = usual.repartition(shards, "anchor").mapInPandas(_search, "anchor long, window string, core int, s int, e int")
+    grams = distinct.join(crowded, "anchor", "left_semi").mapInArrow(_grams, "anchor long, window string, core int, low long, high long, s int, gram binary")
     several = grams.groupBy("gram").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("gram")
     spans = spans.unionAll(grams.join(several, "gram").select("anchor", "window", "core", "s", (F.col("s") + LEAST).alias("e")))
     parts = windows.join(spans, ["anchor", "window", "core"]).select("doc_id", (F.col("start") + F.col("s")).alias("start"), (F.col("start") + F.col("e")).alias("end"))
