@@ -33,68 +33,91 @@ ENTRY = regex.compile(r"[^\d|\t]{4,70}?(?:,\s*|\s*[.·•]{2,}\s*|\s)[0-9lIO]{1,
 ODD = regex.compile(r"\p{Ll}\p{Lu}|\p{L}\d|\d\p{L}|\p{Lu}{2}\p{Ll}|^[^\p{L}\d]+$")
 SYMBOL = regex.compile(r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()\-]")
 END = regex.compile(r"[.!?;:,][\"')]*$")
-SENTENCE = regex.compile(r"\p{Ll}{2}[.!?;](?=\s|$)")
+SENTENCE = regex.compile(r"\p{Ll}{2}[.!?;]$")
 STRIP = " \t.,;:!?'\"()[]{}*•·|-—¬="
 
 
+_STEP = 32
+_FIELD = (1 << _STEP) - 1
+
+
+class Tokens(dict):
+    """What each distinct token adds to the counts of its line, packed into one number and worked out once.
+
+    From the lowest bits, _STEP bits each: listed words, numbers, odd tokens, ends of sentences, symbols.
+    """
+
+    def __init__(self, words: frozenset[str]):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 300_000:  # bounds the memory; tokens are simply worked out again
+            self.clear()
+        number = bool(NUMERIC.match(token))
+        known = token.strip(STRIP).lower() in self.words
+        odd = not number and not known and bool(ODD.search(token))
+        packed = known | number << _STEP | odd << 2 * _STEP | bool(SENTENCE.search(token)) << 3 * _STEP | len(SYMBOL.findall(token)) << 4 * _STEP
+        self[token] = packed
+        return packed
+
+
+_tokens: Tokens | None = None
+
+
+def tokens_of(words: frozenset[str]) -> Tokens:
+    """The token table of a word list, one per Python worker."""
+    global _tokens
+    if _tokens is None or _tokens.words is not words and _tokens.words != words:
+        _tokens = Tokens(words)
+    return _tokens
+
+
 def _line_kind(line: str, tokens: list[str], numeric: int, odd: int, symbols: int) -> int:
     """Index into KINDS of one line: what it is by its own look."""
     n = len(tokens)
-    if symbols > 0.3 * len(line) and numeric < 0.5 * n and not BULLET.match(line):
-        return 3
-    cells = len(CELLS.findall(line))
-    if cells and (cells >= 2 or numeric or n <= 6) and not BULLET.match(line):
-        return 2
-    if n >= 2 and 2 * numeric >= n and not BULLET.match(line):
-        # A word or two and a page number make an entry of an index; more numbers than words a row.
-        return 1 if numeric == 1 and n == 2 and tokens[0][:1].islower() else 2
+    bullet = line.lstrip()[0] in "-*•·–0123456789lIO" and bool(BULLET.match(line))
+    if not bullet:
+        if symbols > 0.3 * len(line) and numeric < 0.5 * n:
+            return 3
+        if "|" in line or "  " in line or "\t" in line:
+            cells = len(CELLS.findall(line))
+            if cells and (cells >= 2 or numeric or n <= 6):
+                return 2
+        if n >= 2 and 2 * numeric >= n:
+            # A word or two and a page number make an entry of an index; more numbers than words a row.
+            return 1 if numeric == 1 and n == 2 and tokens[0][:1].islower() else 2
     if odd > 0.45 * n:
         return 3
-    if BULLET.match(line) or ENTRY.match(line):
+    if bullet or (".." in line or "··" in line or "••" in line or line.rstrip()[-1] in "0123456789lIO") and ENTRY.match(line):
         return 1
     return 0
 
 
 def text_stats(text: str, words: frozenset[str]) -> tuple:
     """The numbers of STATS for one text; all zero for an empty one."""
-    n_words = n_lines = letters = numeric = odd = common = ends = symbols = total = 0
+    n_words = n_lines = ends = total = counts = 0
     of_kind = [0, 0, 0, 0]
+    get = tokens_of(words).__getitem__
     for line in text.split("\n"):
         tokens = line.split()
         if not tokens:
             continue
+        n, size = len(tokens), len(line)
+        packed = sum(map(get, tokens))
+        counts += packed
         n_lines += 1
-        n = len(tokens)
-        size = len(line)
         total += size
         n_words += n
-        if line.isascii() and line.replace(" ", "").replace(",", "").replace(".", "").isalpha() and ".." not in line and "  " not in line:
-            known = sum(t.strip(STRIP).lower() in words for t in tokens) if n < 40 else sum(t in words for t in tokens)
-            if 3 * known > n:
-                # Plain words in ordinary sentences: nothing that the slower tests could find.
-                common += known
-                letters += size - n
-                ends += line[-1] in ".,;:!?"
-                of_kind[0] += size
-                continue
-        num = sum(map(bool, map(NUMERIC.match, tokens)))
-        known = sum(t.strip(STRIP).lower() in words for t in tokens)
-        sym = len(SYMBOL.findall(line))
-        strange = 0
-        if 2 * known < n:
-            strange = sum(1 for t in tokens if ODD.search(t) and not NUMERIC.match(t))
-        numeric += num
-        common += known
-        odd += strange
-        symbols += sym
-        letters += size - n - sym
-        ends += bool(END.search(line))
-        of_kind[_line_kind(line, tokens, num, strange, sym)] += size
+        ends += tokens[-1][-1] in ".!?;:,\"')" and bool(END.search(line))
+        of_kind[_line_kind(line, tokens, packed >> _STEP & _FIELD, packed >> 2 * _STEP & _FIELD, packed >> 4 * _STEP)] += size
     if not total:
         return (len(text),) + (0,) * (len(STATS) - 1)
+    common, numeric, odd, sentences = (counts >> k * _STEP & _FIELD for k in range(4))
+    symbols = counts >> 4 * _STEP
     return (
-        len(text), n_words, n_lines, letters / n_words, symbols / total, numeric / n_words, odd / n_words, common / n_words, ends / n_lines, n_words / n_lines,
-        of_kind[1] / total, of_kind[2] / total, of_kind[3] / total, len(SENTENCE.findall(text)) / n_words,
+        len(text), n_words, n_lines, (total - n_words - symbols) / n_words, symbols / total, numeric / n_words, odd / n_words, common / n_words, ends / n_lines, n_words / n_lines,
+        of_kind[1] / total, of_kind[2] / total, of_kind[3] / total, sentences / n_words,
     )
 
 
@@ -102,7 +125,7 @@ def votes(stats: tuple) -> int:
     """The labelling functions' votes on one record as bits; EMPTY where there is no word."""
     if not stats[1]:
         return EMPTY
-    return (
+    return int(
         (stats[10] > 0.5)
         | (stats[11] > 0.5) << 1
         | (stats[12] > 0.5) << 2

@@ -28,49 +28,49 @@ from folioforge.llm.kinds import kind_bits, kinds_of, records, vocabulary, with_
 from folioforge.session import checkpointed, table
 
 WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’\-][\p{L}\p{M}]+)*")
-LETTER = regex.compile(r"\p{L}")
 QUOTED = regex.compile(r"\(\s*[\"“„«][^\"”“»]{1,600}[\"”“»]\s*\)")
 PARAGRAPHS = regex.compile(r"\n[^\S\n]*\n\s*")
 #: Rows of labelled documents that the automata are built from.
 SAMPLE = 6000
 
 
-class LanguageModel:
-    """Automata by language, and the phrases of words against them."""
+class LanguageModel(dict):
+    """Automata by language, and for each distinct token the row of its costs, worked out once.
+
+    A token's costs are the normalised phrases of its words in each language; the last column is the number of words.
+    """
 
     def __init__(self, texts: dict[str, list[str]]):
+        super().__init__()
+        self.parsed: dict[str, np.ndarray] = {}
         self.codes = sorted(texts)
         self.automata = [SuffixAutomaton(f" {w} " for w in texts[c]) for c in self.codes]
         self.scale = np.array([math.log(sum(map(len, texts[c])) + len(texts[c]) + 2) for c in self.codes])
-        self.memo: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
-        self.table = np.zeros((0, len(self.codes)))
-
-    def word_ids(self, words: list[str]) -> list[int]:
-        """Row numbers of the words in ``table``, which holds the normalised phrases of each distinct word."""
-        if len(self.memo) > 400_000:  # bounds the memory; the words are simply parsed again
-            self.memo, self.rows, self.table = {}, [], np.zeros((0, len(self.codes)))
-        memo, rows = self.memo, self.rows
-        try:
-            return [memo[w] for w in words]
-        except KeyError:
-            pass
-        ids = []
+        self.table = np.zeros((1024, len(self.codes) + 1), np.float32)
+
+    def __reduce__(self):
+        return _restore, (self.codes, self.automata, self.scale)
+
+    def __missing__(self, token: str) -> int:
+        words = WORD.findall(token)
+        i = self[token] = len(self)
+        if i >= len(self.table):
+            self.table = np.vstack([self.table, np.zeros_like(self.table)])
+        # A word that a language holds whole is one phrase; pieces of an unknown word cost their number.
         for w in words:
-            i = memo.get(w, -1)
-            if i < 0:
-                padded = f" {w.lower()} "
-                i = memo[w] = len(rows)
-                # A word that a language holds whole is one phrase; pieces of an unknown word cost their number.
-                rows.append(np.array([a.phrases(padded) for a in self.automata]) * self.scale)
-            ids.append(i)
-        return ids
-
-    def costs(self, words: list[str]) -> np.ndarray:
-        """Costs of each word (rows) in each language (columns)."""
-        ids = self.word_ids(words)
-        if len(self.table) < len(self.rows):
-            self.table = np.vstack([self.table, np.array(self.rows[len(self.table) :])])
+            w = w.lower()
+            if (cost := self.parsed.get(w)) is None:
+                cost = self.parsed[w] = np.array([a.phrases(f" {w} ") for a in self.automata]) * self.scale
+            self.table[i, :-1] += cost
+        self.table[i, -1] = len(words)
+        return i
+
+    def costs(self, tokens: list[str]) -> np.ndarray:
+        """Costs of each token (rows) in each language (columns), and its words."""
+        if len(self) > 400_000:  # bounds the memory; tokens are simply parsed again
+            self.clear()
+            self.parsed.clear()
+        ids = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
         return self.table[ids]
 
     def best(self, total: np.ndarray) -> tuple[int, float]:
@@ -80,11 +80,12 @@ class LanguageModel:
         return i, float(1 / gap.sum())
 
 
-def lines_of(text: str) -> list[list[str]]:
-    """Words of each line, without quotations in brackets, which don't change the language of what holds them."""
-    if "(" in text and '"' in text:
-        text = QUOTED.sub(lambda m: "\n" * m[0].count("\n"), text)
-    return [WORD.findall(x) for x in text.split("\n")]
+def _restore(codes: list[str], automata: list[SuffixAutomaton], scale: np.ndarray) -> LanguageModel:
+    """A model without the rows that were worked out where it came from."""
+    model = LanguageModel({})
+    model.codes, model.automata, model.scale = codes, automata, scale
+    model.table = np.zeros((1024, len(codes) + 1), np.float32)
+    return model
 
 
 def smooth(costs: np.ndarray, main: int, change: float) -> list[int]:
@@ -111,34 +112,33 @@ def languages_of(text: str | None, model: LanguageModel, by_line: bool, change:
     """
     if not text:
         return None, 0.0, []
-    if by_line:
-        units = lines_of(text)
-        raw = text.split("\n")
-    else:
-        raw = PARAGRAPHS.split(text)
-        units = [[w for line in lines_of(p) for w in line] for p in raw]
-    flat = [w for u in units for w in u]
-    if not flat:
-        return None, 0.0, []
+    # Quotations in brackets don't change the language of what holds them; their line breaks stay.
+    plain = QUOTED.sub(lambda m: "\n" * m[0].count("\n"), text) if '("' in text or "(“" in text or "(„" in text or "(«" in text else text
+    raw = plain.split("\n") if by_line else PARAGRAPHS.split(plain) if "\n" in plain else [plain]
+    units = [u.split() for u in raw]
+    flat = units[0] if len(units) == 1 else [t for u in units for t in u]
     each = model.costs(flat)
-    ends = np.cumsum([len(u) for u in units])
-    sums = np.vstack([np.zeros(each.shape[1]), each.cumsum(0)])
-    costs = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
-    main, sure = model.best(sums[-1])
     if len(units) == 1:
+        total = each.sum(0, dtype=np.float64)
+        if not total[-1]:
+            return None, 0.0, []
+        main, sure = model.best(total[:-1])
         return model.codes[main], sure, []
-    quick = costs.argmin(1)
-    if (costs[np.arange(len(units)), quick] > costs[:, main] - 0.5 * change).all():
+    ends = np.cumsum([len(u) for u in units])
+    sums = np.vstack([np.zeros(each.shape[1]), each.cumsum(0, dtype=np.float64)])
+    if not sums[-1, -1]:
+        return None, 0.0, []
+    costs = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
+    words, costs = costs[:, -1], costs[:, :-1]
+    main, sure = model.best(sums[-1, :-1])
+    if (costs.min(1) > costs[:, main] - 0.5 * change).all():
         return model.codes[main], sure, []
     path = smooth(costs, main, change)
     # The language of most words, which need not be the cheapest for the whole.
-    weight = Counter()
-    for i, u in zip(path, units, strict=True):
-        weight[i] += len(u)
-    main = max(weight, key=lambda i: (weight[i], -i))
+    main = int(np.bincount(path, words, len(model.codes)).argmax())
     parts = []
     for n, (i, line) in enumerate(zip(path, raw, strict=True), 1):
-        if i != main and LETTER.search(QUOTED.sub("", line)) and units[n - 1] and not looks_like_furniture(line):
+        if i != main and words[n - 1] and not looks_like_furniture(line):
             parts.append((n, model.codes[i], model.best(costs[n - 1])[1]))
     return model.codes[main], sure, parts
 

@@ -35,27 +35,26 @@ PAIR = regex.compile(r"(?<![\p{L}])(\p{L}+)[-¬=] (\p{Ll}[\p{L}'’]*)")
 SAMPLE_DOCS = 600
 
 
-class Words:
-    """The word list as lookups: languages of a lower-case word, and the list's own spelling."""
+class Words(dict):
+    """The word list as lookups; by token, its bare word and the languages that list it, worked out once."""
 
     def __init__(self, rows: list[tuple[str, str | None, bool]]):
-        self.langs: dict[str, frozenset[str]] = {}
+        super().__init__()
         langs: dict[str, set[str]] = defaultdict(set)
         for word, lang, _ in rows:
             langs[word.lower()].add(lang or "")
         self.langs = {w: frozenset(x) for w, x in langs.items()}
         self.all = frozenset(self.langs)
         self.rows = rows
-        self.memo: dict[str, tuple[str, frozenset[str] | None]] = {}
-
-    def look(self, token: str) -> tuple[str, frozenset[str] | None]:
-        """A token without the marks around it, and the languages that list it."""
-        found = self.memo.get(token)
-        if found is None:
-            if len(self.memo) > 300_000:
-                self.memo.clear()
-            bare = token.strip(AROUND)
-            found = self.memo[token] = (bare, self.langs.get(bare.lower()))
+
+    def __reduce__(self):
+        return Words, (self.rows,)
+
+    def __missing__(self, token: str) -> tuple[str, frozenset[str] | None]:
+        if len(self) > 300_000:  # bounds the memory; tokens are simply worked out again
+            self.clear()
+        bare = token.strip(AROUND)
+        found = self[token] = (bare, self.langs.get(bare.lower()))
         return found
 
     def main(self, sets: Iterable[frozenset[str] | None], least: int, default: str) -> str:
@@ -178,26 +177,21 @@ def joined(first: str, second: str, words: Words) -> str:
 
 
 class Page:
-    """The units of a text with what the line classifiers found in them."""
+    """The units of a text with what the line classifiers find in them; ``settle`` runs those for many pages at once."""
 
-    def __init__(self, units: list[str], inline: bool, words: Words, furniture: Boosted, joins: Boosted):
-        self.units, self.words = units, words
-        self.furniture = self._furniture(furniture)
-        self.joins: list[tuple[int, str, int, int]] = []  # unit, whole word, number of the unit with the second part, 1 if in one line
+    def __init__(self, units: list[str], inline: bool, words: Words):
+        self.units, self.inline = units, inline
+        self.furniture: set[int] = set()
+        self.joins: list[tuple[int, str, int, int]] = []  # unit, whole word, unit of the second part, place of the first
         self.used: set[tuple[int, int]] = set()  # tokens that are parts of broken words
         self.tokens = [u.split() for u in units]
-        self.looked = [[words.look(t) for t in tokens] for tokens in self.tokens]
-        self._joins(joins, inline)
-
-    def _furniture(self, model: Boosted) -> set[int]:
-        maybe = [i for i, u in enumerate(self.units) if u.strip() and len(u) <= 60 and (u.strip()[-1] not in ".!?;," or len(u) < 45) and _may_be_furniture(u)]
-        if not maybe:
-            return set()
-        scores = model.predict(np.array([line_features(self.units, i) for i in maybe], float))
-        return {i for i, p in zip(maybe, scores, strict=True) if p > 0.5}
-
-    def _joins(self, model: Boosted, inline: bool) -> None:
-        pairs: list[tuple] = []
+        get = words.__getitem__
+        self.looked = [list(map(get, tokens)) for tokens in self.tokens]
+        self.maybe = [i for i, t in enumerate(self.tokens) if t and len(t) < 12 and len(units[i]) <= 60 and _may_be_furniture(units[i])]
+
+    def pairs(self) -> list[tuple[int, int, int, int]]:
+        """(unit, place, unit, place) of the two parts of what may be broken words, over furniture and blank lines."""
+        pairs: list[tuple[int, int, int, int]] = []
         for i, tokens in enumerate(self.tokens):
             if not tokens or i in self.furniture:
                 continue
@@ -208,16 +202,25 @@ class Page:
                     j += 1
                 if j < len(self.tokens) and self.tokens[j][0][:1].isalpha():
                     pairs.append((i, len(tokens) - 1, j, 0))
-            if inline:
+            if self.inline:
                 pairs += [(i, k, i, k + 1) for k, t in enumerate(tokens[:-1]) if len(t) > 1 and t[-1] in MARKS and t[-2].isalpha() and tokens[k + 1][:1].islower()]
-        if not pairs:
-            return
-        parts = [(self.tokens[i][k].lstrip(AROUND).rstrip(MARKS), self.tokens[i][k][-1], self.tokens[j][m].strip(AROUND), i == j) for i, k, j, m in pairs]
-        scores = model.predict(np.array([join_features(*p, self.words) for p in parts], float))
-        for (i, k, j, m), (a, _, b, _), p in zip(pairs, parts, scores, strict=True):
-            self.used |= {(i, k), (j, m)}
-            if p > 0.5 and a and b:
-                self.joins.append((i, joined(a, b, self.words), j, k))
+        return pairs
+
+
+def settle(pages: list[Page], words: Words, furniture: Boosted, joins: Boosted) -> None:
+    """Decides on furniture and broken words of all the pages."""
+    lines = [(p, i) for p in pages for i in p.maybe]
+    if lines:
+        for (p, i), score in zip(lines, furniture.predict(np.array([line_features(p.units, i) for p, i in lines], float)), strict=True):
+            if score > 0.5:
+                p.furniture.add(i)
+    pairs = [(p, *x) for p in pages for x in p.pairs()]
+    if pairs:
+        parts = [(p.tokens[i][k].lstrip(AROUND).rstrip(MARKS), p.tokens[i][k][-1], p.tokens[j][m].strip(AROUND), i == j) for p, i, k, j, m in pairs]
+        for (p, i, k, j, m), (a, _, b, _), score in zip(pairs, parts, joins.predict(np.array([join_features(*x, words) for x in parts], float)), strict=True):
+            p.used |= {(i, k), (j, m)}
+            if score > 0.5 and a and b:
+                p.joins.append((i, joined(a, b, words), j, k))
 
 
 def _may_be_furniture(u: str) -> bool:
@@ -259,37 +262,36 @@ ROWS = "tab string, rec_id long, unit int, kind string, word string, lang string
 
 def _scan(batches: Iterable[pa.RecordBatch], words: Words, furniture: Boosted, joins: Boosted) -> Iterator[pa.RecordBatch]:
     """Joins, furniture and unlisted words of records (tab, rec_id, text); one row of kind ``record`` for each record."""
-    for batch in batches:
-        out: list[tuple] = []
-        for tab, rec, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            raw = text or ""
-            text = clean(raw)
-            bits = kind_bits(text, words.all)
-            out.append((tab, rec, 0, "record", None, None, 0, None, bits))
-            if not text or bits & 7:  # lists, tables and junk by the plainest vote are never prose
-                continue
-            units = text.split("\n")
-            page = Page(units, tab == "page_regions", words, furniture, joins)
-            lang = words.main([x for seen in page.looked for _, x in seen], 1, "")
-            out += [(tab, rec, i + 1, "furniture", "", lang, 0, None, bits) for i in page.furniture]
-            for i, whole, _, _ in page.joins:
-                out.append((tab, rec, i + 1, "join", whole, lang, 0, None, bits))
-            found = list(unlisted(page, words, lang))
-            if tab == "readings" and found:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            out: list[tuple] = []
+            pages: list[tuple[Page, str, int, str, int]] = []
+            for tab, rec, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                text = clean(raw)
+                bits = kind_bits(text, words.all)
+                out.append((tab, rec, 0, "record", None, None, 0, None, bits))
+                if text and not bits & 7:  # lists, tables and junk by the plainest vote are never prose
+                    pages.append((Page(text.split("\n"), tab == "page_regions", words), tab, rec, raw, bits))
+            settle([p[0] for p in pages], words, furniture, joins)
+            for page, tab, rec, raw, bits in pages:
+                lang = words.main([x for seen in page.looked for _, x in seen], 1, "")
+                out += [(tab, rec, i + 1, "furniture", "", lang, 0, None, bits) for i in page.furniture]
+                out += [(tab, rec, i + 1, "join", word, lang, 0, None, bits) for i, word, _, _ in page.joins]
+                found = unlisted(page, words, lang)
+                if tab != "readings":
+                    out += [(tab, rec, i + 1, "word", w, local, 0, None, bits) for i, _, w, local in found]
+                    continue
                 # The place of a word among the reading's words as delivered.
-                lines = raw.split("\n")
-                starts = np.concatenate([[0], np.cumsum([len(x.split()) for x in lines])])
+                lines = [x.split() for x in raw.split("\n")]
+                starts = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
                 for i, k, w, local in found:
-                    tokens = lines[i].split()
-                    if len(tokens) != len(page.tokens[i]):
-                        tokens_of = [n for n, t in enumerate(tokens) if clean(t).strip()]
-                        k2 = tokens_of[k] if k < len(tokens_of) else k
-                    else:
-                        k2 = k
-                    out.append((tab, rec, i + 1, "word", w, local, int(starts[i]) + k2, tokens[k2] if k2 < len(tokens) else None, bits))
-            else:
-                out += [(tab, rec, i + 1, "word", w, local, 0, None, bits) for i, _, w, local in found]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 9, _ROWS, strict=True)], schema=_ROWS)
+                    tokens = lines[i]
+                    if len(tokens) != len(page.tokens[i]):  # tokens that show nothing are none in clean form
+                        shown = [n for n, t in enumerate(tokens) if clean(t).strip()]
+                        k = shown[k] if k < len(shown) else k
+                    out.append((tab, rec, i + 1, "word", w, local, int(starts[i]) + k, tokens[k] if k < len(tokens) else None, bits))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 9, _ROWS, strict=True)], schema=_ROWS)
 
 
 # ------------------------------------------------------------------------------------------------ candidates and ranking
@@ -513,7 +515,8 @@ def mend(text: str, inline: bool, fixes: dict[tuple[int, str], str], words: Word
     lines are short and begin with capitals, keeps its lines.
     """
     units = clean(text).split("\n")
-    page = Page(units, inline, words, furniture, joins)
+    page = Page(units, inline, words)
+    settle([page], words, furniture, joins)
     starts = {(i, k): (whole, j) for i, whole, j, k in page.joins}
     skip: set[tuple[int, int]] = set()
     out: list[list[str]] = []
