@@ -90,7 +90,8 @@ def pack_documents(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULAR
     shards = table(spark, sf_dir, "documents", "doc_id").count() // shard_items + 1
     sharded = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(shards)))
     schema = "container string, capacity_tokens int, bin string, doc_id long, piece int, tokens long"
-    return sharded.groupBy("shard").applyInPandas(lambda pdf: _pack_shard(pdf, kinds), schema)
+    # As many partitions as shards: by their few bytes they would all be put into one task.
+    return sharded.repartition(int(shards), "shard").groupBy("shard").applyInPandas(lambda pdf: _pack_shard(pdf, kinds), schema)
 
 
 def packing_report(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
