@@ -105,42 +105,64 @@ def smooth(costs: np.ndarray, main: int, change: float) -> list[int]:
     return path[::-1]
 
 
-def languages_of(text: str | None, model: LanguageModel, by_line: bool, change: float = 25.0) -> tuple[str | None, float, list[tuple[int, str, float]]]:
+Found = tuple[str | None, float, list[tuple[int, str, float]]]
+
+
+def languages_of(text: str | None, model: LanguageModel, by_line: bool, change: float = 25.0) -> Found:
     """Language and confidence of a text, and (number, language, confidence) of the segments in another language.
 
     Segments are lines if ``by_line``, else paragraphs; a segment without a letter is none.
     """
-    if not text:
-        return None, 0.0, []
-    # Quotations in brackets don't change the language of what holds them; their line breaks stay.
-    plain = QUOTED.sub(lambda m: "\n" * m[0].count("\n"), text) if '("' in text or "(“" in text or "(„" in text or "(«" in text else text
-    raw = plain.split("\n") if by_line else PARAGRAPHS.split(plain) if "\n" in plain else [plain]
-    units = [u.split() for u in raw]
-    flat = units[0] if len(units) == 1 else [t for u in units for t in u]
-    each = model.costs(flat)
-    if len(units) == 1:
-        total = each.sum(0, dtype=np.float64)
-        if not total[-1]:
-            return None, 0.0, []
-        main, sure = model.best(total[:-1])
-        return model.codes[main], sure, []
-    ends = np.cumsum([len(u) for u in units])
-    sums = np.vstack([np.zeros(each.shape[1]), each.cumsum(0, dtype=np.float64)])
-    if not sums[-1, -1]:
-        return None, 0.0, []
-    costs = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
-    words, costs = costs[:, -1], costs[:, :-1]
-    main, sure = model.best(sums[-1, :-1])
-    if (costs.min(1) > costs[:, main] - 0.5 * change).all():
-        return model.codes[main], sure, []
-    path = smooth(costs, main, change)
-    # The language of most words, which need not be the cheapest for the whole.
-    main = int(np.bincount(path, words, len(model.codes)).argmax())
-    parts = []
-    for n, (i, line) in enumerate(zip(path, raw, strict=True), 1):
-        if i != main and words[n - 1] and not looks_like_furniture(line):
-            parts.append((n, model.codes[i], model.best(costs[n - 1])[1]))
-    return model.codes[main], sure, parts
+    return languages_of_all([text], [by_line], model, change)[0]
+
+
+def languages_of_all(texts: list[str | None], by_line: list[bool], model: LanguageModel, change: float = 25.0) -> list[Found]:
+    """``languages_of`` for many texts at once."""
+    result: list[Found] = [(None, 0.0, [])] * len(texts)
+    owner: list[int] = []  # text of each unit that has tokens
+    number: list[int] = []  # its number in the text
+    starts: list[int] = []
+    flat: list[str] = []
+    raws: dict[int, list[str]] = {}
+    for t, text in enumerate(texts):
+        if not text:
+            continue
+        # Quotations in brackets don't change the language of what holds them; their line breaks stay.
+        if "(" in text and ('("' in text or "(“" in text or "(„" in text or "(«" in text):
+            text = QUOTED.sub(lambda m: "\n" * m[0].count("\n"), text)
+        raws[t] = raw = text.split("\n") if by_line[t] else PARAGRAPHS.split(text) if "\n" in text else [text]
+        for n, u in enumerate(raw):
+            if tokens := u.split():
+                owner.append(t)
+                number.append(n)
+                starts.append(len(flat))
+                flat += tokens
+    if not flat:
+        return result
+    sums = np.add.reduceat(model.costs(flat), np.array(starts), axis=0).astype(np.float64)
+    of = np.array(owner)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1])
+    ends = np.concatenate([first[1:], [len(of)]])
+    totals = np.add.reduceat(sums, first, axis=0)
+    mains = totals[:, :-1].argmin(1)
+    gaps = np.exp(-(totals[:, :-1] - totals[np.arange(len(mains)), mains][:, None]) / 8)
+    sure = 1 / gaps.sum(1)
+    each = np.repeat(mains, ends - first)
+    deviates = np.logical_or.reduceat(sums[:, :-1].min(1) <= sums[np.arange(len(of)), each] - 0.5 * change, first)
+    for t, a, b, main, p, w, other in zip(of[first].tolist(), first.tolist(), ends.tolist(), mains.tolist(), sure.tolist(), totals[:, -1].tolist(), deviates.tolist(), strict=True):
+        if not w:
+            continue
+        parts: list[tuple[int, str, float]] = []
+        if other and b - a > 1:
+            costs, words = sums[a:b, :-1], sums[a:b, -1]
+            path = smooth(costs, main, change)
+            # The language of most words, which need not be the cheapest for the whole.
+            main = int(np.bincount(path, words, len(model.codes)).argmax())
+            for k, i in enumerate(path):
+                if i != main and words[k] and not looks_like_furniture(raws[t][number[a + k]]):
+                    parts.append((number[a + k] + 1, model.codes[i], model.best(costs[k])[1]))
+        result[t] = (model.codes[main], p, parts)
+    return result
 
 
 def train(spark: SparkSession, sf_dir: str, sample: int = SAMPLE) -> LanguageModel:
@@ -175,15 +197,17 @@ _ARROW = pa.schema([("tab", pa.string()), ("rec_id", pa.int64()), ("seg", pa.int
 
 
 def _identify(batches: Iterable[pa.RecordBatch], model: LanguageModel, words: frozenset[str]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[tuple] = []
-        for tab, rec, text, lang in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            text = clean(text)
-            bits = kind_bits(text, words)
-            code, sure, parts = languages_of(text, model, tab == "readings")
-            out.append((tab, rec, 0, code, sure, bits, lang))
-            out += [(tab, rec, n, c, p, bits, lang) for n, c, p in parts]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 7, _ARROW, strict=True)], schema=_ARROW)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            tabs, recs, raw, langs = (whole.column(i).slice(at, 500).to_pylist() for i in range(4))
+            texts = [clean(t) for t in raw]
+            found = languages_of_all(texts, [t == "readings" for t in tabs], model)
+            out: list[tuple] = []
+            for tab, rec, text, lang, (code, sure, parts) in zip(tabs, recs, texts, langs, found, strict=True):
+                bits = kind_bits(text, words)
+                out.append((tab, rec, 0, code, sure, bits, lang))
+                out += [(tab, rec, n, c, p, bits, lang) for n, c, p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 7, _ARROW, strict=True)], schema=_ARROW)
 
 
 def identify_languages(spark: SparkSession, sf_dir: str, sample: int = SAMPLE) -> DataFrame:
