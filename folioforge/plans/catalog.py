@@ -8,7 +8,9 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("operators.words", "operators.compare", "operators.layout")
+MODULES = (
+    "operators.words", "operators.compare", "operators.layout", "operators.flow", "operators.repairs", "operators.regions", "operators.images", "plans.selection", "plans.routing",
+)
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
