@@ -13,7 +13,7 @@ def suffix_order(codes: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(width):
         key <<= bits
-        key[: n - k] |= codes[k:]
+        key[: max(n - k, 0)] |= codes[k:]
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
     new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])

@@ -392,10 +392,10 @@ def train_ranker(words: Words, ops: dict[tuple[str, str], int], seed: int = 5, s
         found = [(c, s) for c in by_lang[lang] if abs(len(c) - len(word)) <= 2 and (s := _shared(word, c)) > 0.1]
         return sorted(found, key=lambda cs: -cs[1])[:6]
 
-    for n in range(size):
+    for n in range(size if pool else 0):
         word, lang = rng.choice(pool)
         if n % 2:
-            for lang2 in [lang] if lang else rng.sample(sorted(by_lang), 2):
+            for lang2 in [lang] if lang else rng.sample(sorted(by_lang), min(2, len(by_lang))):
                 for c, s in near(word, lang2):
                     if c != word:
                         x.append(rank_features(word, c, s, costs))
