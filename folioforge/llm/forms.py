@@ -40,6 +40,7 @@ CYR = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
 LAT_ONLY = regex.compile("[\\p{Latin}--[" + "".join(sorted(set(LATIN))) + "]]", regex.V1)
 CYR_ONLY = regex.compile("[\\p{Cyrillic}--[" + "".join(sorted({c for c in OTHER if "Ѐ" <= c <= "ԯ"})) + "]]", regex.V1)
 TOKEN = regex.compile(r"[^ \t\n]+")
+OPENING, CLOSING = "([\"'«„“", ")]\"'»”"
 
 
 def script_of(text: str) -> str:
@@ -78,11 +79,28 @@ def clean(text: str | None, around: str = "") -> str | None:
     lines = text.split("\n")
     for i, line in enumerate(lines):
         if LAT.search(line) or CYR.search(line):
-            own = script_of(line) or around
-            lines[i] = TOKEN.sub(lambda m, own=own: one_script(m[0], own), line)
+            lines[i] = _by_neighbours(line, script_of(line) or around)
     return "\n".join(lines)
 
 
+def _by_neighbours(line: str, own: str) -> str:
+    """The line with each word in one script; words that don't tell take that of the words beside them, else ``own``."""
+    tokens = TOKEN.findall(line)
+    scripts = [script_of(t) for t in tokens]
+    if "L" not in scripts or "C" not in scripts:
+        return TOKEN.sub(lambda m: one_script(m[0], own), line)
+    told: list[str] = []
+    for i, (t, s) in enumerate(zip(tokens, scripts, strict=True)):
+        if not s:
+            before = next((x for x in reversed(scripts[:i]) if x), "")
+            after = next((x for x in scripts[i + 1 :] if x), "")
+            # A word that opens a quotation goes with what follows, one that closes it with what went before.
+            s = before if before == after else after if t[0] in OPENING else before if t[-1] in CLOSING else own
+        told.append(s)
+    parts = iter(told)
+    return TOKEN.sub(lambda m: one_script(m[0], next(parts)), line)
+
+
 def compare_key(text: str | None) -> str | None:
     """The form that equal prints share: clean, then fully case-folded and composed again."""
     return None if text is None else unicodedata.normalize("NFKC", clean(text).casefold())
@@ -100,13 +118,16 @@ _LINES = pa.list_(pa.struct([("line_no", pa.int32()), ("form", pa.string())]))
 def unclean_lines(batches: Iterable[pa.RecordBatch], words: frozenset[str]) -> Iterator[pa.RecordBatch]:
     """For each record (tab, rec_id, text): its votes, its script and its lines that are out of form."""
     for batch in batches:
-        bits, scripts, lines = [], [], []
+        bits, scripts, lines, mixed = [], [], [], []
         for text in batch.column(2).to_pylist():
             whole = clean(text) or ""
             bits.append(kind_bits(whole, words))
             scripts.append(script_of(whole[:2000]) or script_of(whole))
+            # By line where a text has words of both scripts, for words of the reading that don't tell theirs.
+            both = not whole.isascii() and LAT_ONLY.search(whole) and CYR_ONLY.search(whole)
+            mixed.append([script_of(x) for x in whole.split("\n")] if both else None)
             lines.append([] if whole == (text or "") else [{"line_no": n, "form": new} for n, (old, new) in enumerate(zip(text.split("\n"), whole.split("\n"), strict=True), 1) if old != new])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.int32()), pa.array(scripts, pa.string()), pa.array(lines, _LINES)], names=["tab", "rec_id", "bits", "script", "lines"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.int32()), pa.array(scripts, pa.string()), pa.array(lines, _LINES), pa.array(mixed, pa.list_(pa.string()))], names=["tab", "rec_id", "bits", "script", "lines", "mixed"])
 
 
 _WORDS = pa.schema([("tab", pa.string()), ("rec_id", pa.int64()), ("line_no", pa.int32()), ("form", pa.string()), ("bits", pa.int32())])
@@ -142,13 +163,15 @@ def unify_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = vocabulary(spark, sf_dir)
     facts = checkpointed(
         records(spark, sf_dir, "documents", "readings").mapInArrow(
-            lambda it: unclean_lines(it, words), "tab string, rec_id long, bits int, script string, lines array<struct<line_no: int, form: string>>"
+            lambda it: unclean_lines(it, words), "tab string, rec_id long, bits int, script string, lines array<struct<line_no: int, form: string>>, mixed array<string>"
         )
     )
     junk = [b for b, (kind, _) in kinds_of(facts.select("bits")).items() if kind == "junk"] or [-2]
     lines = facts.where(F.size("lines") > 0).select("tab", "rec_id", F.inline("lines"), "bits")
-    doubtful = table(spark, sf_dir, "words", "word_id", "reading_id", "text").where(maybe_unclean(F.col("text")))
-    around = facts.where("tab = 'readings'").select(F.col("rec_id").alias("reading_id"), "script", "bits")
-    doubtful = doubtful.join(around, "reading_id", "left").select("word_id", "text", "script", F.coalesce("bits", F.lit(-1)).alias("bits"))
+    doubtful = table(spark, sf_dir, "words", "word_id", "reading_id", "text", "line").where(maybe_unclean(F.col("text")))
+    around = facts.where("tab = 'readings'").select(F.col("rec_id").alias("reading_id"), "script", "bits", "mixed")
+    # On a page with both scripts the line tells; without a line nothing does.
+    script = F.when(F.col("mixed").isNull(), F.col("script")).otherwise(F.coalesce(F.expr("try_element_at(mixed, line + 1)"), F.lit("")))
+    doubtful = doubtful.join(around, "reading_id", "left").select("word_id", "text", script.alias("script"), F.coalesce("bits", F.lit(-1)).alias("bits"))
     found = lines.unionAll(doubtful.mapInArrow(clean_words, "tab string, rec_id long, line_no int, form string, bits int"))
     return found.where(~F.col("bits").isin(*junk)).drop("bits").distinct()

@@ -88,7 +88,8 @@ def line_features(lines: list[str], i: int) -> tuple:
     title = len(words) > 1 and all(w[:1].isupper() or not w[:1].isalpha() for w in words)
     return (
         bool(NUMBER.match(s)), bool(ROMAN.match(s)) and s.islower(), bool(SHEET.match(s)), bool(VOLUME.match(s)), bool(TITLE.match(s)) and len(letters) > 3,
-        upper, digits, min(len(s), 80), len(words), title, s[-1:] in ".!?;,:", not before, not after, before[-1:] in MARKS or after[:1].islower(), "." in s[:-1] and not title,
+        upper, digits, min(len(s), 80), len(words), title, s[-1:] in ".!?;,:", not before, not after, before[-1:] in MARKS or after[:1].islower(), "." in s[:-1] and not title, s == s.upper(),
+        sum(1 for w in words if len(b := w.strip(AROUND)) > 1 and b[0].islower() and b.strip("ivxlc")), sum(NUMBER.match(w) is not None for w in words),
     )
 
 
@@ -100,9 +101,15 @@ def invented_furniture(rng: random.Random, titles: list[str]) -> str:
         n, f"[ {n} ]", f"— {n} —", f"Page {n}", numeral, f"{rng.choice('ABCDEFGHKL')} {rng.randint(1, 9)}", f"Vol. {numeral.upper()}. — {n}", title.upper(), f"{title.upper()} {n}",
         f"{n} {title.upper()}", f"{title.title()}, p. {n}", f"{title.upper()}. Chap. {numeral}.",
     ])
-    if rng.random() < 0.15:
-        k = rng.randrange(len(line))
-        line = line[:k] + {"1": "l", "0": "O", "O": "0", "I": "1", "E": "F"}.get(line[k], line[k]) + line[k + 1 :]
+    if rng.random() < 0.2 and " " in line:  # engines leave words out
+        words = line.split()
+        words.pop(rng.randrange(len(words)))
+        line = " ".join(words)
+    misread = {"1": "l7", "0": "O", "O": "0", "I": "1", "E": "F", "5": "S", "7": "1"}
+    places = [i for i, c in enumerate(line) if c in misread]
+    if places and rng.random() < 0.3:
+        k = rng.choice(places)
+        line = line[:k] + rng.choice(misread[line[k]]) + line[k + 1 :]
     return line
 
 
@@ -114,30 +121,38 @@ def train_furniture(pages: list[str], names: list[str], seed: int = 7) -> Booste
     for text in pages:
         lines = text.split("\n")
         plain = [i for i, s in enumerate(lines) if s.strip() and (not (f := line_features(lines, i))[0] and not any(f[1:4]) and f[5] < 0.6)]
-        for i in rng.sample(plain, min(len(plain), 6)):
+        for i in rng.sample(plain, min(len(plain), 12)):
             x.append(line_features(lines, i))
             y.append(0)
-        k = rng.choice([0, len(lines), rng.randrange(len(lines) + 1)])
-        mixed = [*lines[:k], invented_furniture(rng, titles), *lines[k:]]
-        x.append(line_features(mixed, k))
-        y.append(1)
-        tail = rng.choice(["in 1736.", "fuit\")", "venit\")", "size.", "anno 1812.", "1790.", "Seite.", "the town.", "acres), in 1845."])
-        x.append(line_features([*lines, tail], len(lines)))
+        for _ in range(3):
+            k = rng.choice([0, len(lines), rng.randrange(len(lines) + 1)])
+            mixed = [*lines[:k], invented_furniture(rng, titles), *lines[k:]]
+            x.append(line_features(mixed, k))
+            y.append(1)
+        # Short last lines of paragraphs, cut from the corpus.
+        full = [ws for i in plain if len(ws := lines[i].split()) > 4 and ws[-1][-1] in ".!?"]
+        for ws in rng.sample(full, min(len(full), 4)):
+            tail = " ".join(ws[-rng.randint(1, 5) :])
+            x.append(line_features([*lines, tail, *rng.choice([[], [lines[0]]])], len(lines)))
+            y.append(0)
+        row = " ".join([rng.choice(names), *(str(rng.randint(1, 999)) for _ in range(rng.randint(2, 5)))])
+        x.append(line_features([*lines, row, row], len(lines)))
         y.append(0)
     if not x:
         x, y = [line_features(["12"], 0), line_features(["the end of it."], 0)] * 8, [1, 0] * 8
-    return Boosted(trees=40).fit(np.array(x, float), np.array(y))
+    return Boosted(trees=80, depth=4).fit(np.array(x, float), np.array(y))
 
 
 # ------------------------------------------------------------------------------------------------ joins
 
 
-def join_features(first: str, mark: str, second: str, same_line: bool, words: Words) -> tuple:
-    """What two parts show of being one word."""
+def join_features(first: str, mark: str, second: str, same_line: bool, words: Words, lang: str) -> tuple:
+    """What two parts show of being one word in a text of the language ``lang``."""
     whole, part, rest = (first + second).lower(), first.lower(), second.lower()
     dashed = f"{part}-{rest}"
+    own = lambda w: bool(found := words.langs.get(w)) and (not lang or lang in found)
     return (
-        whole in words.all, dashed in words.all, part in words.all, rest in words.all, len(first), len(second), second[:1].islower(), first[:1].isupper(), mark == "-", same_line,
+        whole in words.all, dashed in words.all, own(part), own(rest), len(first), len(second), second[:1].islower(), first[:1].isupper(), mark == "-", same_line,
         not any(c in "aeiouyäöüáéíóúàèìòùâêîôûąęаеиоуыэюяіїє" for c in rest),
     )
 
@@ -145,11 +160,11 @@ def join_features(first: str, mark: str, second: str, same_line: bool, words: Wo
 def train_joins(words: Words, seed: int = 11) -> Boosted:
     """Learns from broken words of the list, whole and misread, and made-up names, against parts that don't belong together."""
     rng = random.Random(seed)
-    listed = sorted(w for w, _, _ in words.rows if len(w) >= 4)
+    listed = sorted((w, lang or "") for w, lang, _ in words.rows if len(w) >= 4) or [("word", ""), ("other", "")]
     x, y = [], []
     names = [w for w, _, p in words.rows if p] or ["Thornwick"]
     for _ in range(3000):
-        w = rng.choice(listed or ["word"])
+        w, lang = rng.choice(listed)
         if rng.random() < 0.25:
             a, b = rng.choice(names), rng.choice(names)
             w = a[: rng.randint(2, 5)] + b[-rng.randint(3, 6) :].lower()
@@ -158,11 +173,11 @@ def train_joins(words: Words, seed: int = 11) -> Boosted:
             j = rng.randrange(len(w))
             w = w[:j] + rng.choice("ceolnu") + w[j + 1 :]
         mark = rng.choice(MARKS)
-        x.append(join_features(w[:k], mark, w[k:], rng.random() < 0.2, words))
+        x.append(join_features(w[:k], mark, w[k:], rng.random() < 0.2, words, lang))
         y.append(1)
         if rng.random() < 0.3:
-            other = rng.choice(listed or ["other"])
-            x.append(join_features(w[:k], mark, other, rng.random() < 0.2, words))
+            other, _ = rng.choice(listed)
+            x.append(join_features(w[:k], mark, other, rng.random() < 0.2, words, ""))
             y.append(0)
     return Boosted(trees=40).fit(np.array(x, float), np.array(y))
 
@@ -187,6 +202,7 @@ class Page:
         self.tokens = [u.split() for u in units]
         get = words.__getitem__
         self.looked = [list(map(get, tokens)) for tokens in self.tokens]
+        self.lang = words.main([x for seen in self.looked for _, x in seen], 1, "")
         self.maybe = [i for i, t in enumerate(self.tokens) if t and len(t) < 12 and len(units[i]) <= 60 and _may_be_furniture(units[i])]
 
     def pairs(self) -> list[tuple[int, int, int, int]]:
@@ -217,15 +233,21 @@ def settle(pages: list[Page], words: Words, furniture: Boosted, joins: Boosted)
     pairs = [(p, *x) for p in pages for x in p.pairs()]
     if pairs:
         parts = [(p.tokens[i][k].lstrip(AROUND).rstrip(MARKS), p.tokens[i][k][-1], p.tokens[j][m].strip(AROUND), i == j) for p, i, k, j, m in pairs]
-        for (p, i, k, j, m), (a, _, b, _), score in zip(pairs, parts, joins.predict(np.array([join_features(*x, words) for x in parts], float)), strict=True):
+        for (p, i, k, j, m), (a, _, b, _), score in zip(pairs, parts, joins.predict(np.array([join_features(*x, words, p[0].lang) for p, x in zip(pairs, parts, strict=True)], float)), strict=True):
             p.used |= {(i, k), (j, m)}
-            if score > 0.5 and a and b:
+            known = (a + b).lower() in words.all or f"{a}-{b}".lower() in words.all
+            if (score > 0.5 or known) and a and b:
                 p.joins.append((i, joined(a, b, words), j, k))
 
 
 def _may_be_furniture(u: str) -> bool:
     """A quick test that no line of furniture fails: few words, or capitals, or a number at an end."""
     s = u.strip()
+    if "\t" in s or "|" in s or "  " in s:  # a row of a table
+        return False
+    # A word in small letters is running text; numerals and marks for pages aren't words.
+    if any(b[:1].islower() and len(b) > 1 and b.isalpha() and b.strip("ivxlc") and b not in ("pp", "chap", "vol") for b in (w.strip(AROUND) for w in s.split())):
+        return False
     return s[0].isupper() and (s[-1].isdigit() or s.isupper() or sum(c.isupper() for c in s) > 0.3 * len(s) or "." in s) or not s[0].isalpha() or len(s) < 12 or s[-1].isdigit()
 
 
@@ -275,7 +297,7 @@ def _scan(batches: Iterable[pa.RecordBatch], words: Words, furniture: Boosted, j
                     pages.append((Page(text.split("\n"), tab == "page_regions", words), tab, rec, raw, bits))
             settle([p[0] for p in pages], words, furniture, joins)
             for page, tab, rec, raw, bits in pages:
-                lang = words.main([x for seen in page.looked for _, x in seen], 1, "")
+                lang = page.lang
                 out += [(tab, rec, i + 1, "furniture", "", lang, 0, None, bits) for i in page.furniture]
                 out += [(tab, rec, i + 1, "join", word, lang, 0, None, bits) for i, word, _, _ in page.joins]
                 found = unlisted(page, words, lang)
