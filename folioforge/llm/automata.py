@@ -56,8 +56,15 @@ class SuffixAutomaton:
 
     def phrases(self, text: str) -> int:
         """Number of longest-match phrases that ``text`` is parsed into; an unknown character is a phrase of its own."""
-        i = count = 0
-        while i < len(text):
-            i += max(1, self.longest(text, i))
-            count += 1
-        return count
+        edges = self.next
+        root = edges[0]
+        state = count = 0
+        for c in text:
+            after = edges[state].get(c, 0)
+            if not after and state:
+                count += 1
+                after = root.get(c, 0)
+            if not after:
+                count += 1
+            state = after
+        return count + (state > 0)

@@ -35,6 +35,10 @@ SPACES = regex.compile(r"\p{Zs}")
 HIDDEN = re.compile("[\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180f\u3164\ufe00-\ufe0f\uffa0\U000e0100-\U000e01ef]")
 BEYOND = re.compile("[\u0370-\u052f]")
 ROMAN = re.compile("[A-Za-z\u00c0-\u024f]")
+# Characters beside which a text needs a closer look: beyond the letters of Latin, or of Cyrillic, that composition keeps.
+_KEPT = "".join(c for c in map(chr, range(0xC0, 0x17F)) if unicodedata.normalize("NFKC", c) == c and c.isalpha())
+NOT_PLAIN = re.compile(f"[^\t\n\x20-\x7e\u00a7\u00b0\u00ac\u2014\u2022{_KEPT}]")
+NOT_PLAIN_CYRILLIC = re.compile("[^\t\n\x20-\x40\\x5b-\x60\\x7b-\x7e\u00a7\u00b0\u00ac\u2014\u2022\u0400-\u045f\u0490\u0491]")
 LAT = regex.compile(r"\p{Latin}")
 CYR = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
 LAT_ONLY = regex.compile("[\\p{Latin}--[" + "".join(sorted(set(LATIN))) + "]]", regex.V1)
@@ -59,9 +63,12 @@ def one_script(word: str, around: str) -> str:
 
 def is_clean(text: str) -> bool:
     """Whether the text surely is in clean form; a quick test that never answers yes wrongly."""
+    ascii_only = text.isascii()
+    if not ascii_only and not (NOT_PLAIN.search(text) and NOT_PLAIN_CYRILLIC.search(text)):
+        return True
     if not text.replace("\n", "").replace("\t", "").isprintable():
         return False
-    return text.isascii() or unicodedata.is_normalized("NFKC", text) and not HIDDEN.search(text) and not (BEYOND.search(text) and ROMAN.search(text))
+    return ascii_only or unicodedata.is_normalized("NFKC", text) and not HIDDEN.search(text) and not (BEYOND.search(text) and ROMAN.search(text))
 
 
 def clean(text: str | None, around: str = "") -> str | None:
