@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -35,10 +36,22 @@ SPACES = regex.compile(r"\p{Zs}")
 HIDDEN = re.compile("[\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180f\u3164\ufe00-\ufe0f\uffa0\U000e0100-\U000e01ef]")
 BEYOND = re.compile("[\u0370-\u052f]")
 ROMAN = re.compile("[A-Za-z\u00c0-\u024f]")
-# Characters beside which a text needs a closer look: beyond the letters of Latin, or of Cyrillic, that composition keeps.
-_KEPT = "".join(c for c in map(chr, range(0xC0, 0x17F)) if unicodedata.normalize("NFKC", c) == c and c.isalpha())
-NOT_PLAIN = re.compile(f"[^\t\n\x20-\x7e\u00a7\u00b0\u00ac\u2014\u2022{_KEPT}]")
-NOT_PLAIN_CYRILLIC = re.compile("[^\t\n\x20-\x40\\x5b-\x60\\x7b-\x7e\u00a7\u00b0\u00ac\u2014\u2022\u0400-\u045f\u0490\u0491]")
+def _plain(codec: str, letters: str) -> tuple[str, bytes]:
+    """A one-byte encoding, and its bytes for characters that are no clean form or letters of another script."""
+    bad = []
+    for n in range(256):
+        try:
+            c = bytes([n]).decode(codec)
+        except UnicodeDecodeError:
+            continue
+        kept = unicodedata.normalize("NFKC", c) == c and (c.isprintable() or c in "\t\n")
+        if not kept or c.isalpha() and letters not in unicodedata.name(c, ""):
+            bad.append(n)
+    return codec, bytes(bad)
+
+
+# A text that one of these holds without its bad bytes is clean: encoding it is the fastest of tests.
+PLAIN = (_plain("latin-1", "LATIN"), _plain("cp1251", "CYRILLIC"), _plain("cp1250", "LATIN"))
 LAT = regex.compile(r"\p{Latin}")
 CYR = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
 LAT_ONLY = regex.compile("[\\p{Latin}--[" + "".join(sorted(set(LATIN))) + "]]", regex.V1)
@@ -53,6 +66,13 @@ def script_of(text: str) -> str:
     return "L" if latin > cyrillic else "C" if cyrillic > latin else ""
 
 
+@lru_cache(1 << 17)
+def _letters(token: str) -> tuple[int, int]:
+    """How many letters of a token only Latin has, and how many only Cyrillic."""
+    return len(LAT_ONLY.findall(token)), len(CYR_ONLY.findall(token))
+
+
+@lru_cache(1 << 17)
 def one_script(word: str, around: str) -> str:
     """The word in letters of its own script, or of the script around it where its letters don't tell."""
     script = script_of(word) or around
@@ -64,8 +84,14 @@ def one_script(word: str, around: str) -> str:
 def is_clean(text: str) -> bool:
     """Whether the text surely is in clean form; a quick test that never answers yes wrongly."""
     ascii_only = text.isascii()
-    if not ascii_only and not (NOT_PLAIN.search(text) and NOT_PLAIN_CYRILLIC.search(text)):
-        return True
+    if not ascii_only:
+        for codec, bad in PLAIN:
+            try:
+                coded = text.encode(codec)
+            except UnicodeEncodeError:
+                continue
+            if len(coded.translate(None, bad)) == len(coded):
+                return True
     if not text.replace("\n", "").replace("\t", "").isprintable():
         return False
     return ascii_only or unicodedata.is_normalized("NFKC", text) and not HIDDEN.search(text) and not (BEYOND.search(text) and ROMAN.search(text))
@@ -85,17 +111,23 @@ def clean(text: str | None, around: str = "") -> str | None:
     around = script_of(text) or around or ("L" if LAT.search(text) else "C")
     lines = text.split("\n")
     for i, line in enumerate(lines):
-        if LAT.search(line) or CYR.search(line):
-            lines[i] = _by_neighbours(line, script_of(line) or around)
+        if not line.isascii() or around == "C":
+            lines[i] = _by_neighbours(line, around)
     return "\n".join(lines)
 
 
-def _by_neighbours(line: str, own: str) -> str:
-    """The line with each word in one script; words that don't tell take that of the words beside them, else ``own``."""
+def _by_neighbours(line: str, around: str) -> str:
+    """The line with each word in one script.
+
+    Words that don't tell their script take that of the words beside them where those agree, else that of the line.
+    """
     tokens = TOKEN.findall(line)
-    scripts = [script_of(t) for t in tokens]
-    if "L" not in scripts or "C" not in scripts:
+    counts = [_letters(t) for t in tokens]
+    latin, cyrillic = sum(a for a, _ in counts), sum(b for _, b in counts)
+    own = "L" if latin > cyrillic else "C" if cyrillic > latin else around
+    if not latin or not cyrillic:
         return TOKEN.sub(lambda m: one_script(m[0], own), line)
+    scripts = ["L" if a > b else "C" if b > a else "" for a, b in counts]
     told: list[str] = []
     for i, (t, s) in enumerate(zip(tokens, scripts, strict=True)):
         if not s:
