@@ -34,9 +34,14 @@ def symmetric_rate(edits: Column, a: Column, b: Column) -> Column:
     return (error_rate(edits, a, b) + error_rate(edits, b, a)) / 2
 
 
+def edits(a: Column, b: Column, near: int = 64) -> Column:
+    """Edit distance; the band of ``near`` edits is tried first, which is all that readings of one page mostly need."""
+    return F.coalesce(F.nullif(F.levenshtein(a, b, near), F.lit(-1)), F.levenshtein(a, b))
+
+
 def cer(a: Column, b: Column) -> Column:
-    """Symmetric character error rate of two squeezed texts."""
-    return symmetric_rate(F.levenshtein(a, b), F.length(a), F.length(b))
+    """Symmetric character error rate of two squeezed texts; the distance is worked out once for both directions."""
+    return F.element_at(F.transform(F.array(edits(a, b)), lambda e: symmetric_rate(e, F.length(a), F.length(b))), 1)
 
 
 def escape(c: Column) -> Column:

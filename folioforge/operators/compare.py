@@ -30,11 +30,12 @@ def usable_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pair of engines on each page both read, in run order: as many rows as pages and pairs of engines."""
-    t = usable_texts(spark, sf_dir)
+    # A number of partitions of its own: by their few bytes the pages would be put into few tasks, for all their work.
+    t = usable_texts(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id")
     per = t.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("run_order", "engine_name", "reading_id", "text"))).alias("r"))
     # A page has one reading an engine, so the pairs are made inside its row, without a join.
     pairs = F.flatten(F.transform("r", lambda a: F.transform(F.filter("r", lambda b: b["run_order"] > a["run_order"]), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return per.select("page_id", F.explode(pairs).alias("p")).select("page_id", "p.a", "p.b").repartition("page_id", "a.run_order", "b.run_order")
+    return per.select("page_id", F.explode(pairs).alias("p")).select("page_id", "p.a", "p.b")
 
 
 def common_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +142,8 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filled(pairs: DataFrame, engines: DataFrame, diagonal: dict[str, float]) -> DataFrame:
     """A matrix from its upper half: both directions and the diagonal."""
-    both = pairs.unionByName(pairs.select(F.col("engine_b").alias("engine_a"), F.col("engine_a").alias("engine_b"), *diagonal))
+    ways = F.array(*[F.struct(F.col(x).alias("engine_a"), F.col(y).alias("engine_b")) for x, y in (("engine_a", "engine_b"), ("engine_b", "engine_a"))])
+    both = pairs.select(F.explode(ways).alias("way"), *diagonal).select("way.*", *diagonal)  # made from each pair once
     return both.unionByName(engines.select(F.col("engine_name").alias("engine_a"), F.col("engine_name").alias("engine_b"), *[F.lit(v).alias(k) for k, v in diagonal.items()]))
 
 
