@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -163,6 +165,34 @@ def parse_markup(pages: DataFrame) -> DataFrame:
     return spans.select("reading_id", F.col("pos").cast("long").alias("pos"), text.alias("text"), number("left").alias("left"), number("top").alias("top"), number("width").alias("width")).where("text <> ''")
 
 
+def rewrite_texts(html: Column, change: Callable[[Column], Column]) -> Column:
+    """Markup with the text of each word changed in place; blanks after a word, and all around the words, stay."""
+    pattern = '(?s)(<span class="word"[^>]*>)(.*?)([ ]*</span>)'
+    gaps = F.split(html, '(?s)<span class="word"[^>]*>.*?</span>', -1)
+    parts = F.arrays_zip(gaps.alias("gap"), *[F.regexp_extract_all(html, F.lit(pattern), i).alias(n) for i, n in enumerate(("head", "text", "tail"), 1)])
+    return F.array_join(F.transform(parts, lambda p: F.concat(p["gap"], F.coalesce(F.concat(p["head"], T.escape(change(T.unescape(p["text"]))), p["tail"]), F.lit("")))), "")
+
+
+def html_lang(html: Column) -> Column:
+    """The language that the first html tag states, empty where it states none."""
+    return F.regexp_extract(html, '<html[^>]*? lang="([^"]*)"', 1)
+
+
+def transformed(pages: DataFrame, layout: str, long_s: str) -> DataFrame:
+    """Pages of positioned markup (reading_id, html) as asked: kept, or with a long s in today's letters."""
+    if layout not in ("positioned", "flow") or long_s not in ("keep", "s", "repair"):
+        raise ValueError(f"unknown layout {layout!r} or mode {long_s!r}")
+    if layout == "flow" or long_s == "repair":
+        raise ValueError("flow_pages lays out and repairs from words; this works on markup alone")
+    return pages if long_s == "keep" else pages.withColumn("html", rewrite_texts(F.col("html"), T.plain_s))
+
+
+def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's markup with its vowels made capital word by word, and read back: a test of rewriting on whole tables."""
+    pages = page_markup(spark, sf_dir).select("reading_id", rewrite_texts(F.col("html"), lambda t: F.translate(t, "aeiou", "AEIOU")).alias("html"))
+    return parse_markup(pages).select("reading_id", "pos", "text")
+
+
 def markup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words read back from the markup of every page."""
     return parse_markup(page_markup(spark, sf_dir)).select("reading_id", "pos", "text", F.round("left", 6).alias("left"), F.round("top", 6).alias("top"), F.round("width", 6).alias("width"))
@@ -204,6 +234,7 @@ QUERIES = {
     "page_markup": (page_markup, f"""
         SELECT reading_id, '<html lang="und"><body>' || string_agg(printf('<span class="word" style="left: %.4f%%; top: %.4f%%; width: %.4f%%">', bbox.x * 100, bbox.y * 100, bbox.w * 100)
           || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;'), chr(39), '&#39;') || '</span>', chr(10) ORDER BY word_seq, word_id) || '</body></html>' AS html FROM {W} GROUP BY 1"""),
+    "markup_rewrite": (rewritten, f"SELECT reading_id, (row_number() OVER (PARTITION BY reading_id ORDER BY word_seq, word_id) - 1)::BIGINT AS pos, translate(text, 'aeiou', 'AEIOU') AS text FROM {W} WHERE text <> ''"),
     "markup_words": (markup_words, f"""
         SELECT reading_id, (row_number() OVER (PARTITION BY reading_id ORDER BY word_seq, word_id) - 1)::BIGINT AS pos, text, round(printf('%.4f', bbox.x * 100)::DOUBLE / 100, 6) AS left,
           round(printf('%.4f', bbox.y * 100)::DOUBLE / 100, 6) AS top, round(printf('%.4f', bbox.w * 100)::DOUBLE / 100, 6) AS width FROM {W} WHERE text <> ''"""),

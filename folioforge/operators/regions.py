@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import geometry as G
+from folioforge.functions import text as T
 from folioforge.operators.words import R, readings
 from folioforge.session import table
 
@@ -109,6 +110,37 @@ def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.format_string("page_%03d.html", F.col("page_num") + 1).alias("file"), F.round(w, 3).alias("width_pt"), F.round(h, 3).alias("height_pt"), mm(w).alias("width_mm"), mm(h).alias("height_mm"))
 
 
+def region_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup of each page's blocks in order of their numbers: role, box in percent, paragraphs with their indents."""
+    r = table(spark, sf_dir, "page_regions", "region_id", "page_id", "region_role", "paragraphs", "indents", "box_px").where("size(box_px) = 4").join(_pages(spark, sf_dir), "page_id")
+    pct = lambda i, size: F.element_at("box_px", i) * 100.0 / F.col(size)
+    zipped = F.arrays_zip(F.col("paragraphs").alias("p"), F.coalesce("indents", F.array().cast("array<string>")).alias("i"))
+    ps = F.array_join(F.transform(zipped, lambda z: F.concat(F.when(F.coalesce(z["i"], F.lit("")) != "", F.concat(F.lit('<p style="'), z["i"], F.lit(';">'))).otherwise(F.lit("<p>")), T.escape(F.coalesce(z["p"], F.lit(""))), F.lit("</p>"))), "")
+    style = F.format_string("left: %.4f%%; top: %.4f%%; width: %.4f%%; font-size: 10.00pt;%s", pct(1, "width_px"), pct(2, "height_px"), pct(3, "width_px"), F.when(F.size("paragraphs") == 1, " white-space: nowrap;").otherwise(""))
+    role = F.when(F.col("region_role").isNotNull(), F.concat(F.lit(' data-role="'), F.col("region_role"), F.lit('"'))).otherwise("")
+    div = F.concat(F.lit('<div class="region"'), role, F.lit(' style="'), style, F.lit('">'), ps, F.lit("</div>"))
+    g = r.withColumn("d", div).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("region_id", "d"))).alias("ds"))
+    return g.select("page_id", F.array_join(F.col("ds.d"), "\n").alias("html"))
+
+
+def parse_regions(pages: DataFrame) -> DataFrame:
+    """Blocks read from markup (page_id, html): role (text unless stated), box in percent, size, whether lines may wrap,
+    paragraphs, and the first 80 characters of the text.  Numbers that can't be read are 0."""
+    r = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('(?s)<div class="region"[^>]*>.*?</div>'), 0)).alias("pos", "d"))
+    tag = F.regexp_extract("d", '(?s)^<div class="region"([^>]*)>', 1)
+    style = F.regexp_extract(tag, ' style="([^"]*)"', 1)
+    number = lambda key, unit: F.coalesce(F.regexp_extract(style, f"(?:^|; ?){key}: ([-0-9.]+){unit}", 1).try_cast("double"), F.lit(0.0))
+    role = F.regexp_extract(tag, ' data-role="([^"]*)"', 1)
+    paragraphs = F.transform(F.regexp_extract_all("d", F.lit("(?s)<p[^>]*>(.*?)</p>"), 1), lambda p: T.unescape(p))
+    return r.select("page_id", F.col("pos").cast("long").alias("pos"), F.when(role == "", "text").otherwise(role).alias("role"), number("left", "%").alias("left"), number("top", "%").alias("top"), number("width", "%").alias("width"), number("font-size", "pt").alias("font_size"), style.contains("nowrap").alias("nowrap"), paragraphs.alias("paragraphs"), F.substring(T.strip_tags(F.regexp_replace("d", "(?s)^<div[^>]*>", "")), 1, 80).alias("text"))
+
+
+def region_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of every page written as markup and read back."""
+    p = parse_regions(region_markup(spark, sf_dir))
+    return p.select("page_id", "pos", "role", F.round("left", 4).alias("left"), F.round("top", 4).alias("top"), "nowrap", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.sha2(F.array_join("paragraphs", "\n"), 256).alias("digest"))
+
+
 _BOX = "WITH b AS (SELECT region_id, {cl[0]} AS x0, {cl[1]} AS y0, {cl[2]} AS x1, {cl[3]} AS y1 FROM page_regions r JOIN page_images p ON r.page_id = p.page_id WHERE len(box_px) = 4)".format(
     cl=[f"least(1.0, greatest(0.0, {e}))" for e in ("box_px[1]::DOUBLE / width_px", "box_px[2]::DOUBLE / height_px", "(box_px[1] + box_px[3])::DOUBLE / width_px", "(box_px[2] + box_px[4])::DOUBLE / height_px")]
 )
@@ -118,6 +150,10 @@ _OV = """o AS (SELECT a.region_id, string_agg(b.region_id::VARCHAR, ',' ORDER BY
 
 QUERIES = {
     "region_boxes": (region_boxes, _BOX + " SELECT region_id, round(least(x0, x1), 6) AS x, round(least(y0, y1), 6) AS y, round(greatest(x0, x1) - least(x0, x1), 6) AS w, round(greatest(y0, y1) - least(y0, y1), 6) AS h FROM b"),
+    "region_scan": (region_scan, """
+        SELECT r.page_id, (row_number() OVER (PARTITION BY r.page_id ORDER BY region_id) - 1)::BIGINT AS pos, coalesce(nullif(region_role, ''), 'text') AS role, round(printf('%.4f', box_px[1] * 100.0::DOUBLE / width_px)::DOUBLE, 4) AS left,
+          round(printf('%.4f', box_px[2] * 100.0::DOUBLE / height_px)::DOUBLE, 4) AS top, len(paragraphs) = 1 AS nowrap, len(paragraphs)::BIGINT AS n_paragraphs, sha256(array_to_string(list_transform(paragraphs, lambda p: coalesce(p, '')), chr(10))) AS digest
+        FROM page_regions r JOIN page_images p ON r.page_id = p.page_id WHERE len(box_px) = 4"""),
     "region_overlaps": (region_overlaps, f"WITH {_OV} SELECT r.region_id, coalesce(o.overlaps, '') AS overlaps FROM page_regions r LEFT JOIN o ON r.region_id = o.region_id"),
     "layout_problems": (layout_problems, f"""
         WITH {_OV} SELECT r.page_id, count(*) AS regions, count(*) FILTER (box_px[1] < -1 OR box_px[2] < -1 OR box_px[1] + box_px[3] > width_px + 1 OR box_px[2] + box_px[4] > height_px + 1) AS off_page,

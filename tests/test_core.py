@@ -321,3 +321,15 @@ def test_cli(capsys):
     assert cli.main(["check", "--lang", "deu+eng", "--engines", "tesseract", "-O", "tesseract.psm=6"]) == 0
     assert cli.main(["check", "--lang", "xyz"]) == 2 and cli.main(["filters"]) == 0 and cli.main(["languages"]) == 0
     assert "deskew" in capsys.readouterr().out
+
+
+def test_markup_of_regions_and_rewriting(spark):
+    html = '<html lang="de"><body><span class="word" style="left: 1%">Moſes&#39;s </span>x<span class="word">a</span></body></html>'
+    row = spark.createDataFrame([(html,)], "html string").select(layout.rewrite_texts(F.col("html"), T.plain_s).alias("h"), layout.html_lang(F.col("html")).alias("lang")).first()
+    assert row.h == html.replace("ſ", "s") and row.lang == "de"
+    pages = spark.createDataFrame([(1, '<div class="region" data-role="note" style="left: 1.5%; top: x; font-size: 9.00pt; white-space: nowrap;"><p>a &amp; b</p><p style="">c</p></div><div class="region"></div>'), (2, "")], "page_id long, html string")
+    got = regions.parse_regions(pages).orderBy("pos").collect()
+    assert [(r.role, r.left, r.top, r.font_size, r.nowrap, list(r.paragraphs), r.text) for r in got] == [("note", 1.5, 0.0, 9.0, True, ["a & b", "c"], "a & b c"), ("text", 0.0, 0.0, 0.0, False, [], "")]
+    with pytest.raises(ValueError):
+        layout.transformed(pages, "sideways", "keep")
+    assert layout.transformed(pages, "positioned", "keep") is pages
