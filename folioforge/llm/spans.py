@@ -1,6 +1,6 @@
 """Long exact spans that documents share (problem 8).
 
-Anchors are chosen by the content of the text alone (the least of the hashes of LEAST - 135 successive stretches of 136
+Anchors are chosen by the content of the text alone (the least of the hashes of LEAST - CORE + 1 successive stretches of CORE
 characters), so every span of LEAST characters that two documents share holds the same anchor in both.  Around each
 anchor that different texts have, a window is cut that holds every span of LEAST characters around it.  Windows are
 spread over shards by their anchor; each shard has an FM-index of its distinct windows, through which the windows that
@@ -27,7 +27,7 @@ from folioforge.llm.fmindex import shared_stretches
 from folioforge.session import checkpointed, table
 
 LEAST = 200
-CORE = 136
+CORE = 120
 REACH = LEAST - CORE  # how far a span of LEAST characters reaches beyond an anchor in it
 PIECE = 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
