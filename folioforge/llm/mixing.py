@@ -53,11 +53,12 @@ class Mix:
     def _calibrate(self) -> dict[str, float]:
         """For each source the hash below which its documents hold the tokens wanted; the nearer edge of a bin."""
         bins = self._drawn().where("fits").groupBy("source", F.floor(F.col("luck") * BINS).alias("bin")).agg(F.sum("tokens").alias("n")).orderBy("source", "bin")
-        limits, sums = dict.fromkeys(self.rates, 0.0), dict.fromkeys(self.rates, 0.0)
+        limits, sums, gaps = dict.fromkeys(self.rates, 0.0), dict.fromkeys(self.rates, 0.0), dict(self.extra)
         for s, b, n in bins.collect():  # at most BINS rows per target
-            if abs(sums[s] + n - self.extra[s]) <= abs(sums[s] - self.extra[s]):
-                limits[s] = (b + 1) / BINS
             sums[s] += n
+            # The sums only grow, so the nearest edge is the one of the least gap.
+            if abs(sums[s] - self.extra[s]) < gaps[s]:
+                limits[s], gaps[s] = (b + 1) / BINS, abs(sums[s] - self.extra[s])
         return limits
 
     def documents(self) -> DataFrame:
