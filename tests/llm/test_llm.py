@@ -281,6 +281,21 @@ def test_mix_reaches_its_shares(spark):
     assert (bigger.most_repeats <= bigger.max_repeats).all()
 
 
+def test_mix_draws_long_documents(spark, tmp_path):
+    # 40 sources at a rate of a quarter, a third of each in one document that is longer than all that is wanted of it.
+    names = [f"s{i:02}" for i in range(40)]
+    docs = [{"doc_id": 0, "source": "small", "text": " word" * 11250}]
+    docs += [{"doc_id": 100 * i + k, "source": s, "text": " word" * (50 if k else 1500)} for i, s in enumerate(names, 1) for k in range(61)]
+    targets = [{"source": s, "target_share": 0.02, "max_repeats": 1} for s in names] + [{"source": "small", "target_share": 0.2, "max_repeats": 1}]
+    mix = mixing.Mix(spark, folder(spark, tmp_path, documents=docs, mix_targets=targets))
+    assert {round(mix.rates[s], 6) for s in names} == {0.25}
+    used = mix.documents().toPandas()
+    long = set(used[used.tokens == 1500].source)
+    assert 3 <= len(long) <= 19
+    reached = used[used.tokens == 50].groupby("source").tokens.sum()
+    assert all(abs(reached[s] - 1125) <= 50 for s in names if s not in long) and not long & set(reached.index)
+
+
 # ------------------------------------------------------------------------------------------------ problem 8
 
 
