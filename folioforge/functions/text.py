@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +15,13 @@ ADVANCES = {
     191: "'", 222: "ijl", 260: "|", 278: " !,./:;I[\\]ft", 333: "()-`r", 334: "{}", 355: '"', 389: "*", 469: "^", 500: "Jcksvxyz",
     556: "#$0123456789?L_abdeghnopqu", 584: "+<=>~", 611: "FTZ", 667: "&ABEKPSVXY", 722: "CDHNRUw", 778: "GOQ", 833: "Mm", 889: "%", 944: "W", 1015: "@",
 }
+# The same beyond ASCII, for the glyphs of Helvetica's published metrics but ż, which stays with the characters not listed.
+ACCENTED = {
+    167: "⁄", 222: "‘’‚łįļĺ", 260: "¦", 278: "\u00a0·ÌÍÎÏìíîïİĪĮīıţ", 299: "ľ", 317: "ť", 333: "¡¨\u00ad¯²³´¸¹ˆ˜ˇ˘˙˚˛˝“”„‹›ŕřŗ",
+    350: "•", 365: "º", 370: "ª", 400: "°", 500: "çýÿćčķśšşșźžﬁﬂ", 537: "¶", 549: "√≠≤≥",
+    556: "¢£¤¥§«»µ–†‡ƒ€àáâãäåèéêëðñòóôõöùúûüþāăąēėęěđğģńňņōőūůűųŁĹĽĻ", 584: "¬±×÷−", 611: "ßøŹŻŽ¿ŤŢȚ", 643: "ď",
+    667: "ÀÁÂÃÄÅÈÉÊËÝÞŠŸĀĂĄĒĖĘĚĶŚŞȘ", 722: "ÇÐÑÙÚÛÜĆČĎĐŃŇŅŔŘŖŪŮŰŲ", 737: "©®", 778: "ÒÓÔÕÖØŌŐĞĢ", 834: "¼½¾", 889: "æ", 944: "œ", 1000: "ÆŒ—…‰™",
+}
 
 
 def squeeze(c: Column) -> Column:
@@ -81,11 +92,25 @@ def plain_s(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("ſ"), F.lit("s")), F.lit("ﬅ"), F.lit("st"))
 
 
+_KNOWN = {ch: n for table in (ADVANCES, ACCENTED) for n, chars in table.items() for ch in chars}
+
+
+@lru_cache(1 << 16)
+def text_width(text: str) -> int:
+    """Width at font size 1000, composed first: marks take nothing, wide characters without an advance 1000, others 600."""
+    return sum(0 if unicodedata.combining(ch) else _KNOWN.get(ch) or (1000 if unicodedata.east_asian_width(ch) in "WF" else 600) for ch in unicodedata.normalize("NFC", text))
+
+
+def _text_widths(texts: pd.Series) -> pd.Series:
+    return texts.map(text_width, na_action="ignore").astype("Int64")
+
+
 def width_em(c: Column) -> Column:
-    """Width at font size 1 by the advances of ADVANCES; any other character takes 0.6."""
+    """Width at font size 1 as ``text_width`` has it; texts of ASCII alone are worked out in the JVM."""
     known = F.create_map(*[F.lit(x) for n, chars in ADVANCES.items() for ch in chars for x in (ch, n)])
     chars = F.filter(F.split(c, ""), lambda x: x != "")
-    return F.aggregate(chars, F.lit(0), lambda a, x: a + F.coalesce(F.try_element_at(known, x), F.lit(600))) / 1000
+    plain = F.aggregate(chars, F.lit(0), lambda a, x: a + F.coalesce(F.try_element_at(known, x), F.lit(600)))
+    return F.coalesce(F.pandas_udf(_text_widths, "long")(F.when(c.rlike("[^\\x00-\\x7f]"), c)), plain) / 1000
 
 
 def rough_width_em(c: Column) -> Column:

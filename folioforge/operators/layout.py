@@ -22,7 +22,7 @@ def upper_median(values: Column) -> Column:
     return F.when(F.size(v) == 0, 0.0).otherwise(F.element_at(v, (F.size(v) / 2).cast("int") + 1))
 
 
-def with_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def with_lines(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame:
     """The words of the readings whose words all have a line."""
     w = words(spark, sf_dir, "word_id", "reading_id", "text", "bbox", "line", *columns)
     return w.withColumn("whole", F.bool_and(F.col("line").isNotNull()).over(Window.partitionBy("reading_id"))).where("whole").drop("whole")
@@ -131,7 +131,8 @@ def word_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Font size and top of each word: its line's size, from the median of sizes that span the boxes, squeezed only
     where the word would run into the next; the top centres it on its line."""
     p = table(spark, sf_dir, "page_images", "page_id", F.coalesce("width_pt", F.col("width_px") * 72.0 / F.col("dpi")).alias("pw"), F.col("height_pt").alias("ph"))
-    w = with_lines(spark, sf_dir, "page_id").where("text is not null").join(p, "page_id").withColumn("em", T.width_em(F.col("text")))
+    # Python forgets how rows are spread, so widths are worked out before the windows: one exchange less.
+    w = with_lines(spark, sf_dir, "page_id", T.width_em(F.col("text")).alias("em")).where("text is not null").join(p, "page_id")
     line = Window.partitionBy("reading_id", "line")
     along = line.orderBy(F.col("bbox.x"), "word_id")
     w = w.withColumns({

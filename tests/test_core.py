@@ -98,6 +98,23 @@ def test_geometry(spark):
     assert row.n == 3 and row.ls == "Moses" and row.em == pytest.approx(0.222 + 0.944 + 0.278 + 0.6)
 
 
+def test_widths_beyond_ascii(spark):
+    want = {"Grüße": 0.778 + 0.333 + 0.556 + 0.611 + 0.556, "é": 0.556, "ï": 0.278, "u\u0308": 0.556, "q\u0323": 0.556, "漢字": 2.0, "ｅ": 1.0, "ж": 0.6, "a": 0.556, "": 0.0, None: None}
+    got = spark.createDataFrame([(t,) for t in want], "t string").select("t", T.width_em(F.col("t")).alias("em")).collect()
+    assert {r.t: r.em for r in got} == {t: em if em is None else pytest.approx(em) for t, em in want.items()}
+
+
+def test_word_styles_of_accented_and_wide_words(spark, tmp_path):
+    # The boxes are as wide as the words at 12 points, so each word must get that size; no word runs into the next.
+    ems = {"Größe": 0.778 + 0.333 + 0.556 + 0.611 + 0.556, "naïf": 0.556 * 2 + 0.278 * 2, "漢字": 2.0, "re\u0301e\u0301": 0.333 + 2 * 0.556}
+    box = lambda k, em: (0.1 + 0.2 * k, 0.1, em * 12 / 600, 0.03)
+    rows = [(k, 1, 1, "p.pdf", "inkline", k, None, t, box(k, em), 0.9, 0, 0, 0) for k, (t, em) in enumerate(ems.items())]
+    like = {n: spark.read.parquet(f"{SF}/{n}.parquet").schema for n in ("words", "page_images")}
+    spark.createDataFrame(rows, like["words"]).write.parquet(f"{tmp_path}/words.parquet")
+    spark.createDataFrame([(1, "p.pdf", 0, "p.png", 1250, 1667, 600.0, 800.0, 150)], like["page_images"]).write.parquet(f"{tmp_path}/page_images.parquet")
+    assert [r.font_size_pt for r in layout.word_styles(spark, str(tmp_path)).collect()] == [12.0] * 4
+
+
 def test_split_line_block_and_fragments(spark):
     box = F.struct(F.lit(0.1).alias("x"), F.lit(0.2).alias("y"), F.lit(0.7).alias("w"), F.lit(0.05).alias("h"))
     w = spark.range(1).select(scans.split_line(F.lit("ab cdef"), box).alias("w")).first().w
