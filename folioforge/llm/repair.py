@@ -482,6 +482,13 @@ def grams_of(word: object, q: int) -> object:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - q + 1), lambda i: F.substring(padded, i, F.lit(q))))
 
 
+def misreadings(pairs: DataFrame) -> dict[tuple[str, str], int]:
+    """How often the corpus reads one or two characters for others, all that it does more than once: a table bounded by
+    the characters in use."""
+    ops = pairs.where("not proper").mapInArrow(_ops, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1")
+    return {(r["a"], r["b"]): r["n"] for r in ops.orderBy("a", "b").collect()}
+
+
 class Repairer:
     """The classifiers of a data folder and what they found: (tab, rec_id, unit, kind, word, fixed, place, raw)."""
 
@@ -503,10 +510,8 @@ class Repairer:
         doubtful = rows.where("kind in ('word', 'join') and word <> ''")
         tokens = doubtful.select("word", "lang").distinct().withColumn("key", F.lower("word")).join(F.broadcast(known), "key", "left_anti").drop("key")
         pairs = checkpointed(candidates(tokens, listed))
-        ops = pairs.where("not proper").mapInArrow(_ops, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1")
-        seen = {(r["a"], r["b"]): r["n"] for r in ops.orderBy(F.desc("n"), "a", "b").limit(5000).collect()}
-        ranker, costs = train_ranker(words, seen)
-        best = pairs.mapInArrow(lambda it: _rank(it, ranker, costs), "word string, lang string, low string, key string, spelling string, proper boolean, score double, ease double")
+        trained = spark.sparkContext.broadcast(train_ranker(words, misreadings(pairs)))
+        best = pairs.mapInArrow(lambda it: _rank(it, *trained.value), "word string, lang string, low string, key string, spelling string, proper boolean, score double, ease double")
         best = best.groupBy("word", "lang").agg(F.max_by(F.struct("spelling", "proper", "score"), F.struct("score", "ease", F.col("spelling"))).alias("top"))
         best = best.where("top.score > 0.5").select("word", "lang", F.col("top.spelling").alias("spelling"), F.col("top.proper").alias("proper"))
         found = rows.join(best, ["word", "lang"], "left")

@@ -175,6 +175,13 @@ def test_costs_align():
     assert costs.align("tbe", "the")[0] > costs.align("thc", "the")[0]
 
 
+def test_all_misreadings_count(spark):
+    letters = [chr(c) for c in range(0x3B1, 0x3B1 + 80)]
+    rows = [(f"st{a}ne", f"st{b}ne", False) for a in letters for b in letters if a != b]
+    seen = repair.misreadings(spark.createDataFrame(rows * 2 + [("tbe", "the", False)], "low string, key string, proper boolean"))
+    assert len(seen) == 80 * 79 and set(seen.values()) == {2}
+
+
 def test_repairs_on_page(spark, tmp_path):
     text = "A GENERAL DESCRIPTION 12\nThe old mi11 stood opposite the northern gate, and the\nparish clerk complained aftcr the long hea-\n— 7 —\nring near the half-\ntimbered tavern near Umberly. Nobody\nadmired the ruined chapcl."
     docs = [{"doc_id": i, "text": t} for i, t in enumerate([text] + [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()][:500], 1)]
