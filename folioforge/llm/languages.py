@@ -105,6 +105,17 @@ def smooth(costs: np.ndarray, main: int, change: float) -> list[int]:
     return path[::-1]
 
 
+def pays(gains: list[float], change: float) -> bool:
+    """Whether a passage in other languages can be as cheap as the main language: whether units in a row gain together what
+    their changes cost, of which ``smooth`` counts a half at each end of the text."""
+    run, last = -np.inf, len(gains) - 1
+    for i, g in enumerate(gains):
+        run = max(run, -change if i else -change / 2) + g
+        if run - (change if i < last else change / 2) >= -1e-6:
+            return True
+    return False
+
+
 Found = tuple[str | None, float, list[tuple[int, str, float]]]
 
 
@@ -148,8 +159,11 @@ def languages_of_all(texts: list[str | None], by_line: list[bool], model: Langua
     gaps = np.exp(-(totals[:, :-1] - totals[np.arange(len(mains)), mains][:, None]) / 8)
     sure = 1 / gaps.sum(1)
     each = np.repeat(mains, ends - first)
-    deviates = np.logical_or.reduceat(sums[:, :-1].min(1) <= sums[np.arange(len(of)), each] - 0.5 * change, first)
-    for t, a, b, main, p, w, other in zip(of[first].tolist(), first.tolist(), ends.tolist(), mains.tolist(), sure.tolist(), totals[:, -1].tolist(), deviates.tolist(), strict=True):
+    others = sums[:, :-1].copy()
+    others[np.arange(len(of)), each] = np.inf
+    gains = sums[np.arange(len(of)), each] - others.min(1)
+    deviates = [pays(gains[a:b].tolist(), change) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+    for t, a, b, main, p, w, other in zip(of[first].tolist(), first.tolist(), ends.tolist(), mains.tolist(), sure.tolist(), totals[:, -1].tolist(), deviates, strict=True):
         if not w:
             continue
         parts: list[tuple[int, str, float]] = []

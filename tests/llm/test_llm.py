@@ -109,6 +109,30 @@ def test_languages_of_segments():
     assert languages.languages_of_all(many, [False] * 5, model) == [languages.languages_of(t, model, False) for t in many]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 40), min_size=3, max_size=3), min_size=1, max_size=8))
+def test_smoothing_is_skipped_only_where_nothing_pays(rows):
+    costs = np.array(rows, float)
+    main = int(costs.sum(0).argmin())
+    gains = costs[:, main] - np.delete(costs, main, 1).min(1)
+    assert languages.pays(gains.tolist(), 25.0) or set(languages.smooth(costs, main, 25.0)) == {main}
+
+
+def test_long_passage_of_short_lines():
+    class Model:
+        codes = ["rus", "ukr"]
+
+        def costs(self, tokens):
+            return np.array([[4, 10, 1] if t == "old" else [8, 5, 1] for t in tokens], float)
+
+        def best(self, total):
+            return int(total.argmin()), 1.0
+
+    # Each line is cheaper by 6 in the other language, twelve of them by 72.
+    text = "\n".join(["old old"] * 30 + ["new new"] * 12)
+    assert languages.languages_of(text, Model(), True)[2] == [(n, "ukr", 1.0) for n in range(31, 43)]
+
+
 def test_language_accuracy_on_held_out(spark):
     docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text").collect()}
     model = languages.train(spark, "/root/testdata/sf0.01", sample=300)
