@@ -40,8 +40,10 @@ class Mix:
         have = {r[0]: (r[1] or 0, r[2]) for r in self.docs.groupBy("source").agg(F.sum("tokens"), F.count("*")).collect()}
         usable = {s: t for s, t in targets.items() if have.get(s, (0, 0))[0] > 0 and t[0] > 0 and t[1] > 0}
         reached = sum(share for share, _ in usable.values()) or 1.0
-        most = min((cap * have[s][0] / (share / reached) for s, (share, cap) in usable.items()), default=0.0)
+        most, scarcest = min(((cap * have[s][0] / (share / reached), s) for s, (share, cap) in usable.items()), default=(0.0, None))
         self.total = most if total is None else total
+        # The source that holds the mix to its size; none where a size is given.
+        self.limiting = scarcest if total is None else None
         self.rates = {s: min(float(cap), share / reached * self.total / have[s][0]) for s, (share, cap) in usable.items()}
         self.targets, self.have, self.seed, self.spark = targets, have, seed, spark
         # Tokens wanted of each source beyond its whole copies.
@@ -76,7 +78,8 @@ class Mix:
         return drawn.select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
 
     def shares(self) -> DataFrame:
-        """Per target: share wanted and reached, tokens, documents and the greatest number of uses of one."""
+        """Per target: share wanted and reached, tokens, documents and the greatest number of uses of one; in each row also
+        the tokens wanted of the whole mix and the source that limits them."""
         used = self.documents().groupBy("source").agg(F.sum("tokens").alias("mixed_tokens"), F.count("*").alias("uses"), F.max("copy").alias("most_repeats"))
         wanted = self.spark.createDataFrame(
             [(s, share, cap, int(self.have.get(s, (0, 0))[0]), self.rates.get(s, 0.0)) for s, (share, cap) in sorted(self.targets.items())],
@@ -85,7 +88,7 @@ class Mix:
         out = wanted.join(used, "source", "left").fillna(0, ["mixed_tokens", "uses", "most_repeats"])
         whole = out.agg(F.sum("mixed_tokens").alias("all_tokens"))
         # ``whole`` is one row.
-        return out.join(F.broadcast(whole)).withColumn("actual_share", F.when(F.col("all_tokens") > 0, F.col("mixed_tokens") / F.col("all_tokens")).otherwise(0.0)).drop("all_tokens")
+        return out.join(F.broadcast(whole)).withColumn("actual_share", F.when(F.col("all_tokens") > 0, F.col("mixed_tokens") / F.col("all_tokens")).otherwise(0.0)).drop("all_tokens").withColumns({"mix_tokens": F.lit(float(self.total)), "limiting_source": F.lit(self.limiting).cast("string")})
 
 
 def mix_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -319,6 +319,7 @@ def test_mix_draws_long_documents(spark, tmp_path):
     docs += [{"doc_id": 100 * i + k, "source": s, "text": " word" * (50 if k else 1500)} for i, s in enumerate(names, 1) for k in range(61)]
     targets = [{"source": s, "target_share": 0.02, "max_repeats": 1} for s in names] + [{"source": "small", "target_share": 0.2, "max_repeats": 1}]
     mix = mixing.Mix(spark, folder(spark, tmp_path, documents=docs, mix_targets=targets))
+    assert {(r.limiting_source, round(r.mix_tokens, 6)) for r in mix.shares().collect()} == {("small", 56250.0)}
     assert {round(mix.rates[s], 6) for s in names} == {0.25}
     used = mix.documents().toPandas()
     long = set(used[used.tokens == 1500].source)
