@@ -62,11 +62,26 @@ def escape(c: Column) -> Column:
     return c
 
 
+NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
+#: Entities of at most nine characters between ``&`` and ``;``.
+ENTITY = "&(?=[^;]{1,9};)(?:" + "|".join(NAMED) + "|#[xX]\\+?[0-9a-fA-F]+|#\\+?[0-9]+);"
+
+
+def _decoded(e: Column) -> Column:
+    """The character of an entity; one whose number is no character stays."""
+    number = F.when(e.rlike("^&#[xX]"), F.conv(F.regexp_extract(e, "([0-9a-fA-F]+);", 1), 16, 10)).when(e.startswith("&#"), F.regexp_extract(e, "([0-9]+);", 1)).cast("long")
+    valid = (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    # After a mark of byte order, so that a number that is one itself isn't taken for it.
+    char = F.when(valid, F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(number), 8, "0"))), "UTF-32"))
+    for name, ch in NAMED.items():
+        char = F.when(e == f"&{name};", F.lit(ch)).otherwise(char)
+    return F.coalesce(char, e)
+
+
 def unescape(c: Column) -> Column:
-    """Named entities and those for quotes as characters, each decoded once: ``&amp;lt;`` becomes ``&lt;``."""
-    for old, new in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&#34;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(old), F.lit(new))
-    return c
+    """Named and numeric entities as characters, each decoded once: ``&amp;lt;`` becomes ``&lt;``."""
+    decoded = F.array_join(F.zip_with(F.split(c, ENTITY, -1), F.regexp_extract_all(c, F.lit(ENTITY), 0), lambda gap, e: F.concat(gap, F.coalesce(_decoded(e), F.lit("")))), "")
+    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
 
 
 def strip_tags(c: Column) -> Column:

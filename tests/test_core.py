@@ -98,6 +98,15 @@ def test_geometry(spark):
     assert row.n == 3 and row.ls == "Moses" and row.em == pytest.approx(0.222 + 0.944 + 0.278 + 0.6)
 
 
+def test_entities(spark):
+    want = {
+        "a&amp;b &#34;c&#x27; &lt;&gt; & x": "a&b \"c' <> & x", "caf&#233; &#x2014;&#X1F600;": "café —\U0001f600", "a&nbsp;b": "a\u00a0b", "&amp;#233; &amp;lt;": "&#233; &lt;",
+        "&#xD800; &#1114112; &#; &#x; &#xg; &eacute; &#0000000233;": "&#xD800; &#1114112; &#; &#x; &#xg; &eacute; &#0000000233;", "&#65279;": "\ufeff", "&&lt;": "&<", "": "", None: None,
+    }
+    got = spark.createDataFrame([(t,) for t in want], "t string").select("t", T.unescape(F.col("t")).alias("u")).collect()
+    assert {r.t: r.u for r in got} == want
+
+
 def test_widths_beyond_ascii(spark):
     want = {"Grüße": 0.778 + 0.333 + 0.556 + 0.611 + 0.556, "é": 0.556, "ï": 0.278, "u\u0308": 0.556, "q\u0323": 0.556, "漢字": 2.0, "ｅ": 1.0, "ж": 0.6, "a": 0.556, "": 0.0, None: None}
     got = spark.createDataFrame([(t,) for t in want], "t string").select("t", T.width_em(F.col("t")).alias("em")).collect()
