@@ -3,14 +3,11 @@
 Tokens are summed per source.  The size of the mix is the greatest at which every source with records reaches its share
 without a record being used more than ``max_repeats`` times, unless a size is given; a source that can't reach its share
 of a given size is used up to its cap.  A source's rate is what it must give divided by what it has; each document comes
-floor(rate) times, and once more if a hash of its number, seeded, falls below the fraction.  As few long documents may
-hold much of a source, a document of over a quarter (``OWN``) of all that is wanted beyond the whole copies is drawn by
-itself with the fraction as it is; of the others the fraction is calibrated: it is the one at which the documents below
-it hold what those leave of the tokens wanted, read from a histogram of the hashes.  Where they leave nothing, the source
-exceeds its share by the rest of them.
+floor(rate) times, and once more if a hash of its number, seeded, falls below the fraction: one Bernoulli draw a
+document, whatever its length, so that a source reaches its share in expectation.  The shares reached are reported.
 
 Documents without a source, or of a source without a target, are not used; a target without records gets share 0 and
-the others keep their proportions.  Null texts are not used.  Repeated rows are records of their own.
+the others keep their proportions.  Null texts are not used.  Repeated rows are records of their own, drawn alike.
 """
 
 from __future__ import annotations
@@ -22,10 +19,6 @@ from folioforge.llm.tokens import VOCABULARY, with_tokens
 from folioforge.session import checkpointed, table
 
 SCALE = 1 << 40
-#: Bins of the histogram of hashes, per source.
-BINS = 4096
-#: Part of the tokens wanted beyond the whole copies over which a document is drawn by itself.
-OWN = 0.25
 
 
 class Mix:
@@ -46,35 +39,13 @@ class Mix:
         self.limiting = scarcest if total is None else None
         self.rates = {s: min(float(cap), share / reached * self.total / have[s][0]) for s, (share, cap) in usable.items()}
         self.targets, self.have, self.seed, self.spark = targets, have, seed, spark
-        # Tokens wanted of each source beyond its whole copies.
-        self.extra = {s: (rate - int(rate)) * have[s][0] for s, rate in self.rates.items()}
-        self.limits = self._calibrate()
-
-    def _drawn(self) -> DataFrame:
-        rows = [(s, int(rate), rate - int(rate), self.extra[s]) for s, rate in sorted(self.rates.items())]
-        rated = self.docs.join(F.broadcast(self.spark.createDataFrame(rows, "source string, whole int, fraction double, extra double")), "source")  # one row per target
-        luck = F.pmod(F.xxhash64("doc_id", "tokens", F.lit(self.seed)), F.lit(SCALE)) / F.lit(float(SCALE))
-        return rated.withColumn("luck", luck).withColumn("own", F.col("tokens") > OWN * F.col("extra"))
-
-    def _calibrate(self) -> dict[str, float]:
-        """For each source the hash below which the documents not drawn by themselves hold what those leave of the tokens
-        wanted; the nearer edge of a bin."""
-        place = F.when(F.col("own"), -1).otherwise(F.floor(F.col("luck") * BINS))
-        bins = self._drawn().where("not own or luck < fraction").groupBy("source", place.alias("bin")).agg(F.sum("tokens").alias("n")).orderBy("source", "bin")
-        limits, sums, gaps = dict.fromkeys(self.rates, 0.0), dict.fromkeys(self.rates, 0.0), dict(self.extra)
-        for s, b, n in bins.collect():  # at most BINS + 1 rows per target, the documents drawn by themselves first
-            sums[s] += n
-            gap = abs(sums[s] - self.extra[s])
-            # The sums only grow, so the nearest edge is the one of the least gap.
-            if b < 0 or gap < gaps[s]:
-                limits[s], gaps[s] = (b + 1) / BINS, gap
-        return limits
 
     def documents(self) -> DataFrame:
         """(doc_id, source, tokens, copy): each use of each document; copies are numbered from 1."""
-        limit = F.broadcast(self.spark.createDataFrame(sorted(self.limits.items()), "source string, limit double"))
-        times = (F.col("whole") + (F.col("luck") < F.when(F.col("own"), F.col("fraction")).otherwise(F.col("limit"))).cast("int")).cast("int")
-        drawn = self._drawn().join(limit, "source").withColumn("times", times).where("times > 0")
+        rows = [(s, int(rate), rate - int(rate)) for s, rate in sorted(self.rates.items())]
+        rated = self.docs.join(F.broadcast(self.spark.createDataFrame(rows, "source string, whole int, fraction double")), "source")  # one row per target
+        luck = F.pmod(F.xxhash64("doc_id", "tokens", F.lit(self.seed)), F.lit(SCALE)) / F.lit(float(SCALE))
+        drawn = rated.withColumn("times", (F.col("whole") + (luck < F.col("fraction")).cast("int")).cast("int")).where("times > 0")
         return drawn.select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
 
     def shares(self) -> DataFrame:
