@@ -1,8 +1,12 @@
 """Statistics of a text and its kind: prose, list, table or junk (problem 5).
 
-Thresholds on the statistics are taken as noisy labelling functions.  How often each of them fires on each kind of text
-is learned by expectation-maximisation from their agreements over all records; a record's kind is the one of greatest
-posterior probability.  Only counts of the (at most 2**9) vote patterns reach the driver, whatever the number of records.
+Thresholds on the statistics are taken as noisy labelling functions, none of which decides by itself.  How often each of
+them fires on each kind of text is learned by expectation-maximisation from their agreements over all records; a
+record's kind is the one of greatest posterior probability.  Only counts of the vote patterns that occur (at most 2**16,
+some seventy in practice) reach the driver, whatever the number of records.
+
+Null and empty texts, and texts without a word, are prose of probability 0.  Of kinds that are equally probable the
+first of KINDS counts.
 """
 
 from __future__ import annotations
@@ -18,22 +22,20 @@ from pyspark.sql import functions as F
 from folioforge.session import checkpointed, table
 
 KINDS = ("prose", "list", "table", "junk")
-#: The statistics, in the order of ``text_stats``.
+#: The statistics, in the order of ``text_stats``.  Shares are of the characters, in lines of that make.
 STATS = (
-    "n_chars", "n_words", "n_lines", "mean_word_len", "symbol_ratio", "numeric_ratio", "odd_ratio", "common_ratio", "end_punct_ratio", "words_per_line",
-    "list_share", "table_share", "junk_share", "sentence_ratio",
+    "n_chars", "n_words", "n_lines", "mean_word_len", "symbol_ratio", "numeric_ratio", "odd_ratio", "common_ratio", "end_punct_ratio", "words_per_line", "sentence_ratio",
+    "item_share", "entry_share", "number_share", "gap_share", "end_number_share", "leader_share", "short_share",
 )
 EMPTY = -1
 
 _NUM = r"[(\[]?[0-9lIOoSZ]*[0-9][0-9lIOoSZ]*(?:[./,][0-9lIOoSZ]+)*[)\]]?"
 NUMERIC = regex.compile(rf"(?:{_NUM}|[-–—|])[.,;:]?$")
-CELLS = regex.compile(r"\t|(?<=\S) {2,}(?=\S)|(?:^| )\|(?: |$)")
-BULLET = regex.compile(r"\s*(?:[-*•·–]|[0-9lIO]{1,3}[.)])\s+\S")
-ENTRY = regex.compile(r"[^\d|\t]{4,70}?(?:,\s*|\s*[.·•]{2,}\s*|\s)[0-9lIO]{1,4}(?:,\s*[0-9lIO]{1,4})*$|.{3,70}?\s\.{3,}\s*\S{0,4}$")
-INDEXED = regex.compile(r"\s*\p{L}[^\d|\t]*\p{L}\p{M}*,\s*[0-9lIO]{1,4}(?:,\s*[0-9lIO]{1,4})*,?\s*$")
+#: Digits as they may be misread.
+DIGITS = frozenset("0123456789lIO")
+MARK = regex.compile(r"(?:[-*•·–]|[0-9lIO]{1,3}[.)])$")
 ODD = regex.compile(r"\p{Ll}\p{Lu}|\p{L}\d|\d\p{L}|\p{Lu}{2}\p{Ll}|^[^\p{L}\d]+$")
 SYMBOL = regex.compile(r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()\-]")
-END = regex.compile(r"[.!?;:,][\"')]*$")
 SENTENCE = regex.compile(r"\p{Ll}{2}[.!?;]$")
 STRIP = " \t.,;:!?'\"()[]{}*•·|-—¬="
 
@@ -45,7 +47,7 @@ _FIELD = (1 << _STEP) - 1
 class Tokens(dict):
     """What each distinct token adds to the counts of its line, packed into one number and worked out once.
 
-    From the lowest bits, _STEP bits each: listed words, numbers, odd tokens, ends of sentences, symbols.
+    From the lowest bits, _STEP bits each: listed words, numbers, odd tokens, ends of sentences, marks of items, symbols.
     """
 
     def __init__(self, words: frozenset[str]):
@@ -58,7 +60,7 @@ class Tokens(dict):
         number = bool(NUMERIC.match(token))
         known = token.strip(STRIP).lower() in self.words
         odd = not number and not known and bool(ODD.search(token))
-        packed = known | number << _STEP | odd << 2 * _STEP | bool(SENTENCE.search(token)) << 3 * _STEP | len(SYMBOL.findall(token)) << 4 * _STEP
+        packed = known | number << _STEP | odd << 2 * _STEP | bool(SENTENCE.search(token)) << 3 * _STEP | bool(MARK.match(token)) << 4 * _STEP | len(SYMBOL.findall(token)) << 5 * _STEP
         self[token] = packed
         return packed
 
@@ -74,71 +76,72 @@ def tokens_of(words: frozenset[str]) -> Tokens:
     return _tokens
 
 
-def _line_kind(line: str, tokens: list[str], numeric: int, odd: int, symbols: int) -> int:
-    """Index into KINDS of one line: what it is by its own look."""
-    n = len(tokens)
-    bullet = line.lstrip()[0] in "-*•·–0123456789lIO" and bool(BULLET.match(line))
-    if not bullet:
-        if symbols > 0.3 * len(line) and numeric < 0.5 * n:
-            return 3
-        if "|" in line or "  " in line or "\t" in line:
-            cells = len(CELLS.findall(line))
-            if cells and (cells >= 2 or numeric or n <= 6):
-                return 2
-        if "," in line and line.rstrip()[-1] in "0123456789lIO," and INDEXED.match(line):
-            return 1
-        if n >= 2 and 2 * numeric >= n:
-            # A word or two and a page number make an entry of an index; more numbers than words a row.
-            return 1 if numeric == 1 and n == 2 and tokens[0][:1].islower() else 2
-    if odd > 0.45 * n:
-        return 3
-    if bullet or (".." in line or "··" in line or "••" in line or line.rstrip()[-1] in "0123456789lIO") and ENTRY.match(line):
-        return 1
-    return 0
-
-
 def text_stats(text: str, words: frozenset[str]) -> tuple:
     """The numbers of STATS for one text; all zero for an empty one."""
     n_words = n_lines = ends = total = counts = 0
-    of_kind = [0, 0, 0, 0]
+    item = entry = number = gap = end_number = leader = short = 0
     get = tokens_of(words).__getitem__
     for line in text.split("\n"):
         tokens = line.split()
         if not tokens:
             continue
-        n, size = len(tokens), len(line)
+        n, size, last = len(tokens), len(line), tokens[-1]
         packed = sum(map(get, tokens))
         counts += packed
         n_lines += 1
         total += size
         n_words += n
-        ends += tokens[-1][-1] in ".!?;:,\"')" and bool(END.search(line))
-        of_kind[_line_kind(line, tokens, packed >> _STEP & _FIELD, packed >> 2 * _STEP & _FIELD, packed >> 4 * _STEP)] += size
+        numeric = packed >> _STEP & _FIELD
+        ends += last[-1] in ".!?;:,\"')"
+        end_number += size * (last.rstrip(",")[-1:] in DIGITS)
+        if n <= 4:
+            short += size
+        if n > 1:
+            item += size * (get(tokens[0]) >> 4 * _STEP & 1)
+            entry += size * (numeric == 1 and get(last) >> _STEP & 1)
+        if 2 * numeric >= n:
+            number += size
+        if "\t" in line or " | " in line or "  " in line.strip():
+            gap += size
+        if "..." in line or "···" in line or "•••" in line:
+            leader += size
     if not total:
         return (len(text),) + (0,) * (len(STATS) - 1)
     common, numeric, odd, sentences = (counts >> k * _STEP & _FIELD for k in range(4))
-    symbols = counts >> 4 * _STEP
+    symbols = counts >> 5 * _STEP
     return (
-        len(text), n_words, n_lines, (total - n_words - symbols) / n_words, symbols / total, numeric / n_words, odd / n_words, common / n_words, ends / n_lines, n_words / n_lines,
-        of_kind[1] / total, of_kind[2] / total, of_kind[3] / total, sentences / n_words,
+        len(text), n_words, n_lines, (total - n_words - symbols) / n_words, symbols / total, numeric / n_words, odd / n_words, common / n_words, ends / n_lines, n_words / n_lines, sentences / n_words,
+        item / total, entry / total, number / total, gap / total, end_number / total, leader / total, short / total,
     )
 
 
+#: The labelling functions: a statistic, a threshold, and how often it is expected to be above it in prose, lists, tables
+#: and junk, which is where the learning starts.
+FUNCTIONS = (
+    ("item_share", 0.5, (0.02, 0.60, 0.02, 0.05)),
+    ("entry_share", 0.5, (0.03, 0.50, 0.02, 0.05)),
+    ("number_share", 0.5, (0.02, 0.05, 0.95, 0.02)),
+    ("gap_share", 0.5, (0.02, 0.05, 0.70, 0.05)),
+    ("numeric_ratio", 0.4, (0.02, 0.05, 0.95, 0.02)),
+    ("numeric_ratio", 0.12, (0.05, 0.60, 0.95, 0.10)),
+    ("symbol_ratio", 0.2, (0.02, 0.02, 0.05, 0.60)),
+    ("odd_ratio", 0.35, (0.02, 0.05, 0.02, 0.90)),
+    ("common_ratio", 0.4, (0.95, 0.90, 0.05, 0.03)),
+    ("common_ratio", 0.82, (0.85, 0.15, 0.02, 0.02)),
+    ("sentence_ratio", 0.012, (0.95, 0.10, 0.05, 0.05)),
+    ("words_per_line", 9.0, (0.60, 0.02, 0.05, 0.10)),
+    ("leader_share", 0.25, (0.02, 0.30, 0.02, 0.02)),
+    ("mean_word_len", 3.0, (0.97, 0.95, 0.60, 0.40)),
+    ("end_number_share", 0.5, (0.05, 0.50, 0.90, 0.10)),
+    ("short_share", 0.5, (0.05, 0.40, 0.50, 0.05)),
+)
+PRIOR = np.array([expected for _, _, expected in FUNCTIONS])
+_TESTS = tuple((STATS.index(name), least, 1 << k) for k, (name, least, _) in enumerate(FUNCTIONS))
+
+
 def votes(stats: tuple) -> int:
     """The labelling functions' votes on one record as bits; EMPTY where there is no word."""
-    if not stats[1]:
-        return EMPTY
-    return int(
-        (stats[10] > 0.5)
-        | (stats[11] > 0.5) << 1
-        | (stats[12] > 0.5) << 2
-        | (stats[5] > 0.4) << 3
-        | (stats[4] > 0.2) << 4
-        | (stats[6] > 0.35) << 5
-        | (stats[7] > 0.3) << 6
-        | (stats[8] > 0.15 or stats[13] > 0.015) << 7
-        | (stats[9] > 6) << 8
-    )
+    return sum(bit for i, least, bit in _TESTS if stats[i] > least) if stats[1] else EMPTY
 
 
 def kind_bits(text: str | None, words: frozenset[str]) -> int:
@@ -146,27 +149,11 @@ def kind_bits(text: str | None, words: frozenset[str]) -> int:
     return votes(text_stats(text, words)) if text else EMPTY
 
 
-#: How often each labelling function is expected to fire on prose, list, table, junk: the start of the learning.
-PRIOR = np.array(
-    [
-        [0.01, 0.95, 0.02, 0.02],
-        [0.01, 0.02, 0.95, 0.02],
-        [0.01, 0.02, 0.02, 0.90],
-        [0.02, 0.20, 0.90, 0.10],
-        [0.01, 0.05, 0.10, 0.60],
-        [0.03, 0.03, 0.05, 0.80],
-        [0.90, 0.80, 0.05, 0.02],
-        [0.90, 0.10, 0.05, 0.30],
-        [0.90, 0.30, 0.20, 0.50],
-    ]
-)
-
-
-def fit_kinds(counts: dict[int, int], rounds: int = 40, weight: float = 0.5) -> dict[int, tuple[str, float]]:
+def fit_kinds(counts: dict[int, int], rounds: int = 60, weight: float = 0.1, base: float = 20.0) -> dict[int, tuple[str, float]]:
     """Kind and its posterior for each vote pattern, learned from how often each pattern occurs.
 
-    ``weight`` is the share of the data's own weight that PRIOR keeps, so that a kind which is rare or absent in the
-    data keeps its meaning.  EMPTY is prose of probability 0.
+    PRIOR counts as ``base`` records of each kind and ``weight`` of the data's own, so that a kind which is rare or
+    absent in the data keeps its meaning.  EMPTY is prose of probability 0.
     """
     patterns = sorted(p for p in counts if p >= 0)
     result: dict[int, tuple[str, float]] = {EMPTY: ("prose", 0.0)}
@@ -180,11 +167,9 @@ def fit_kinds(counts: dict[int, int], rounds: int = 40, weight: float = 0.5) ->
         post = np.exp(log - log.max(1, keepdims=True))
         post /= post.sum(1, keepdims=True)
         mass = post.T @ n
-        extra = weight * mass + 20
+        extra = weight * mass + base
         fires = ((n[:, None] * x).T @ post + PRIOR * extra) / (mass + extra)
         fires = fires.clip(1e-3, 1 - 1e-3)
-        # That a kind holds more than half of the text is what the kind means: only how often it is missed is learned.
-        fires[[0, 0, 0, 1, 1, 1, 2, 2, 2], [0, 2, 3, 0, 1, 3, 0, 1, 2]] = 3e-4
         share = (mass + 1) / (mass + 1).sum()
     for p, row in zip(patterns, post, strict=True):
         result[p] = (KINDS[int(row.argmax())], float(row.max()))
@@ -200,7 +185,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> frozenset[str]:
 
 
 def kinds_of(bits: DataFrame) -> dict[int, tuple[str, float]]:
-    """Learns the kinds from a column ``bits`` of all records; at most 513 counts come to the driver."""
+    """Learns the kinds from a column ``bits`` of all records; at most 2**16 + 1 counts come to the driver."""
     return fit_kinds({r["bits"]: r["count"] for r in bits.groupBy("bits").count().collect()})
 
 

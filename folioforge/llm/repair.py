@@ -1,7 +1,8 @@
 """Repair of scanned text: broken words, misread words, page furniture (problem 3).
 
-Line-pair classifiers decide which lines are page furniture and which line ends break a word.  For words that no list
-has, candidates come from an inverted join of character q-grams with the word list; a gradient-boosted ranker, with
+Line-pair classifiers decide which lines are page furniture and which line ends break a word; every line and every
+marked line end is put to them.  What running heads look like is learned from lines that recur in a bounded sample of
+the records.  For words that no list has, candidates come from an inverted join of character q-grams with the word list; a gradient-boosted ranker, with
 costs of misreadings learned from the corpus itself, accepts one of them or none.
 
 Nulls and empty texts give nothing; rows delivered twice give one row.  Records that are lists, tables or junk for the
@@ -15,6 +16,7 @@ import math
 import random
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +27,16 @@ from pyspark.sql import functions as F
 from folioforge.llm.boosting import Boosted
 from folioforge.llm.forms import clean, is_clean
 from folioforge.llm.furniture import NUMBER, ROMAN, SHEET, TITLE, VOLUME
-from folioforge.llm.kinds import kind_bits, kinds_of, records
+from folioforge.llm.kinds import fit_kinds, kind_bits, kinds_of, records
 from folioforge.session import checkpointed, table
 
 MARKS = "-¬="
 AROUND = " \t.,;:!?'\"()[]{}*•·|—¬=^~_<>/\\#§°+&%"
 PAIR = regex.compile(r"(?<![\p{L}])(\p{L}+)[-¬=] (\p{Ll}[\p{L}'’]*)")
-#: Lines of the corpus that the furniture classifier is trained on, at most.
+#: Documents, and as many readings, from whose lines the furniture classifier is trained.
 SAMPLE_DOCS = 600
+#: Places by which a word may be off where engines count words that the text doesn't have.
+SHIFT = 8
 
 
 class Words(dict):
@@ -45,6 +49,7 @@ class Words(dict):
             langs[word.lower()].add(lang or "")
         self.langs = {w: frozenset(x) for w, x in langs.items()}
         self.all = frozenset(self.langs)
+        self.longest = max(map(len, self.langs), default=0)
         self.rows = rows
 
     def __reduce__(self):
@@ -76,21 +81,40 @@ def load_words(spark: SparkSession, sf_dir: str) -> Words:
 # ------------------------------------------------------------------------------------------------ furniture
 
 
-def line_features(lines: list[str], i: int) -> tuple:
-    """What line ``i`` and its neighbours show of its being page furniture."""
-    s = lines[i].strip()
-    letters = [c for c in s if c.isalpha()]
-    upper = sum(c.isupper() for c in letters) / len(letters) if letters else 0.0
-    digits = sum(c.isdigit() for c in s) / len(s) if s else 0.0
+@lru_cache(1 << 16)
+def _own_features(s: str) -> tuple:
+    """What a line shows by itself, and whether it begins small and ends with a mark of a broken word."""
+    letters, capitals, numbers = (sum(map(test, s)) for test in (str.isalpha, str.isupper, str.isdigit))
     words = s.split()
-    before = lines[i - 1].strip() if i else ""
-    after = lines[i + 1].strip() if i + 1 < len(lines) else ""
     title = len(words) > 1 and all(w[:1].isupper() or not w[:1].isalpha() for w in words)
-    return (
-        bool(NUMBER.match(s)), bool(ROMAN.match(s)) and s.islower(), bool(SHEET.match(s)), bool(VOLUME.match(s)), bool(TITLE.match(s)) and len(letters) > 3,
-        upper, digits, min(len(s), 80), len(words), title, s[-1:] in ".!?;,:", not before, not after, before[-1:] in MARKS or after[:1].islower(), "." in s[:-1] and not title, s == s.upper(),
-        sum(1 for w in words if len(b := w.strip(AROUND)) > 1 and b[0].islower() and b.strip("ivxlc")), sum(NUMBER.match(w) is not None for w in words),
+    look = (
+        bool(NUMBER.match(s)), bool(ROMAN.match(s)) and s.islower(), bool(SHEET.match(s)), bool(VOLUME.match(s)), bool(TITLE.match(s)) and letters > 3,
+        capitals / letters if letters else 0.0, numbers / len(s) if s else 0.0, min(len(s), 80), min(len(words), 20), title, s[-1:] in ".!?;,:", "." in s[:-1] and not title, s == s.upper(),
+        min(9, sum(1 for w in words if len(b := w.strip(AROUND)) > 1 and b[0].islower() and b.strip("ivxlc"))), min(9, sum(NUMBER.match(w) is not None for w in words)),
+        "\t" in s or "|" in s or "  " in s,
     )
+    return look, s[:1].islower(), s[-1:] in MARKS
+
+
+def line_features(lines: list[str], i: int) -> tuple:
+    """What line ``i`` and its neighbours show of its being page furniture."""
+    before, after = lines[i - 1].strip() if i else "", lines[i + 1].strip() if i + 1 < len(lines) else ""
+    return (*_own_features(lines[i].strip())[0], not before, not after, before[-1:] in MARKS or after[:1].islower(), i == 0, i == len(lines) - 1)
+
+
+def recurring_titles(pages: list[str], least: int = 3) -> list[str]:
+    """Running heads as the pages show them: lines that several pages have, numbers aside, with few words and no end of a
+    sentence."""
+    seen: dict[str, set[int]] = defaultdict(set)
+    spelt: dict[str, Counter] = defaultdict(Counter)
+    for n, text in enumerate(pages):
+        for line in text.split("\n"):
+            bare = [w for w in line.split() if any(map(str.isalpha, w)) and not any(map(str.isdigit, w))]
+            if 2 <= len(bare) <= 8 and bare[-1][-1] not in ".!?;:," and bare[0][:1].isupper():
+                key = " ".join(w.strip(AROUND) for w in bare).casefold()
+                seen[key].add(n)
+                spelt[key][" ".join(bare)] += 1
+    return sorted(max(sorted(spelt[k]), key=spelt[k].__getitem__) for k, at in seen.items() if len(at) >= least)
 
 
 def invented_furniture(rng: random.Random, titles: list[str]) -> str:
@@ -116,7 +140,9 @@ def invented_furniture(rng: random.Random, titles: list[str]) -> str:
 def train_furniture(pages: list[str], names: list[str], seed: int = 7) -> Boosted:
     """Learns from lines of the corpus against invented furniture put between them."""
     rng = random.Random(seed)
-    titles = [f"{rng.choice(['the', 'a', 'notes of', 'orders of', 'on', 'von'])} {rng.choice(names)} {rng.choice(['survey', 'and bridges', 'miscellany', 'et chartae', 'general', 'gazetteer'])}".strip() for _ in range(200)] or ["a title"]
+    names = names or ["Name"]
+    # Titles that recur, and names side by side, so that the look of a title is learned and not its words.
+    titles = recurring_titles(pages) + [f"{rng.choice(names)} {rng.choice(names)}" for _ in range(100)]
     x, y = [], []
     for text in pages:
         lines = text.split("\n")
@@ -135,7 +161,9 @@ def train_furniture(pages: list[str], names: list[str], seed: int = 7) -> Booste
             tail = " ".join(ws[-rng.randint(1, 5) :])
             x.append(line_features([*lines, tail, *rng.choice([[], [lines[0]]])], len(lines)))
             y.append(0)
-        row = " ".join([rng.choice(names), *(str(rng.randint(1, 999)) for _ in range(rng.randint(2, 5)))])
+        # Rows of tables: cells of names and numbers.
+        cells = [rng.choice(names), *(rng.choice([str(rng.randint(1, 999)), f"{rng.randint(1, 99)}.{rng.randint(10, 99)}", f"{rng.randint(0, 20)}/{rng.randint(1, 19)}", rng.choice(names), "-"]) for _ in range(rng.randint(2, 5)))]
+        row = rng.choice([" ", "  ", "   ", "\t", " | "]).join(cells)
         x.append(line_features([*lines, row, row], len(lines)))
         y.append(0)
     if not x:
@@ -162,7 +190,7 @@ def train_joins(words: Words, seed: int = 11) -> Boosted:
     rng = random.Random(seed)
     listed = sorted((w, lang or "") for w, lang, _ in words.rows if len(w) >= 4) or [("word", ""), ("other", "")]
     x, y = [], []
-    names = [w for w, _, p in words.rows if p] or ["Thornwick"]
+    names = [w for w, _, p in words.rows if p] or ["Name"]
     for _ in range(3000):
         w, lang = rng.choice(listed)
         if rng.random() < 0.25:
@@ -197,13 +225,12 @@ class Page:
     def __init__(self, units: list[str], inline: bool, words: Words):
         self.units, self.inline = units, inline
         self.furniture: set[int] = set()
-        self.joins: list[tuple[int, str, int, int]] = []  # unit, whole word, unit of the second part, place of the first
+        self.joins: list[tuple[int, str, int, int, int]] = []  # unit, whole word, unit of the second part, places of both
         self.used: set[tuple[int, int]] = set()  # tokens that are parts of broken words
         self.tokens = [u.split() for u in units]
         get = words.__getitem__
         self.looked = [list(map(get, tokens)) for tokens in self.tokens]
         self.lang = words.main([x for seen in self.looked for _, x in seen], 1, "")
-        self.maybe = [i for i, t in enumerate(self.tokens) if t and len(t) < 12 and len(units[i]) <= 60 and _may_be_furniture(units[i])]
 
     def pairs(self) -> list[tuple[int, int, int, int]]:
         """(unit, place, unit, place) of the two parts of what may be broken words, over furniture and blank lines."""
@@ -225,7 +252,7 @@ class Page:
 
 def settle(pages: list[Page], words: Words, furniture: Boosted, joins: Boosted) -> None:
     """Decides on furniture and broken words of all the pages."""
-    lines = [(p, i) for p in pages for i in p.maybe]
+    lines = [(p, i) for p in pages for i, t in enumerate(p.tokens) if t]
     if lines:
         for (p, i), score in zip(lines, furniture.predict(np.array([line_features(p.units, i) for p, i in lines], float)), strict=True):
             if score > 0.5:
@@ -235,20 +262,8 @@ def settle(pages: list[Page], words: Words, furniture: Boosted, joins: Boosted)
         parts = [(p.tokens[i][k].lstrip(AROUND).rstrip(MARKS), p.tokens[i][k][-1], p.tokens[j][m].strip(AROUND), i == j) for p, i, k, j, m in pairs]
         for (p, i, k, j, m), (a, _, b, _), score in zip(pairs, parts, joins.predict(np.array([join_features(*x, words, p[0].lang) for p, x in zip(pairs, parts, strict=True)], float)), strict=True):
             p.used |= {(i, k), (j, m)}
-            known = (a + b).lower() in words.all or f"{a}-{b}".lower() in words.all
-            if (score > 0.5 or known) and a and b:
-                p.joins.append((i, joined(a, b, words), j, k))
-
-
-def _may_be_furniture(u: str) -> bool:
-    """A quick test that no line of furniture fails: few words, or capitals, or a number at an end."""
-    s = u.strip()
-    if "\t" in s or "|" in s or "  " in s:  # a row of a table
-        return False
-    # A word in small letters is running text; numerals and marks for pages aren't words.
-    if any(b[:1].islower() and len(b) > 1 and b.isalpha() and b.strip("ivxlc") and b not in ("pp", "chap", "vol") for b in (w.strip(AROUND) for w in s.split())):
-        return False
-    return s[0].isupper() and (s[-1].isdigit() or s.isupper() or sum(c.isupper() for c in s) > 0.3 * len(s) or "." in s) or not s[0].isalpha() or len(s) < 12 or s[-1].isdigit()
+            if score > 0.5 and a and b:
+                p.joins.append((i, joined(a, b, words), j, k, m))
 
 
 def unlisted(page: Page, words: Words, lang: str) -> Iterator[tuple[int, int, str, str]]:
@@ -269,7 +284,7 @@ def unlisted(page: Page, words: Words, lang: str) -> Iterator[tuple[int, int, st
             local = words.main([x for j in range(max(0, i - 1), i + 2) for _, x in (page.looked[j] if j < len(page.looked) else ())], 3, lang)
             for k in odd:
                 w = seen[k][0]
-                if (i, k) in page.used or not any(c.isalpha() for c in w) or 2 * sum(c.isalpha() for c in w) < len(w) or len(w) > 40 or w[-1] == "-":
+                if (i, k) in page.used or not any(c.isalpha() for c in w) or 2 * sum(c.isalpha() for c in w) < len(w) or len(w) > words.longest + 2 or w[-1] == "-":
                     continue
                 start = tokens[k - 1][-1] in ".!?\")" if k else ended or len(tokens) < 12
                 if w[0].isupper() and not start and local != "deu" or w.isupper() and len(w) > 1:
@@ -278,8 +293,8 @@ def unlisted(page: Page, words: Words, lang: str) -> Iterator[tuple[int, int, st
         ended = tokens[-1][-1] in ".!?\")"
 
 
-_ROWS = pa.schema([("tab", pa.string()), ("rec_id", pa.int64()), ("unit", pa.int32()), ("kind", pa.string()), ("word", pa.string()), ("lang", pa.string()), ("place", pa.int32()), ("raw", pa.string()), ("bits", pa.int32())])
-ROWS = "tab string, rec_id long, unit int, kind string, word string, lang string, place int, raw string, bits int"
+_ROWS = pa.schema([("tab", pa.string()), ("rec_id", pa.int64()), ("unit", pa.int32()), ("kind", pa.string()), ("word", pa.string()), ("lang", pa.string()), ("place", pa.int32()), ("unit2", pa.int32()), ("place2", pa.int32()), ("raw", pa.string()), ("bits", pa.int32())])
+ROWS = "tab string, rec_id long, unit int, kind string, word string, lang string, place int, unit2 int, place2 int, raw string, bits int"
 
 
 def _scan(batches: Iterable[pa.RecordBatch], words: Words, furniture: Boosted, joins: Boosted) -> Iterator[pa.RecordBatch]:
@@ -292,17 +307,19 @@ def _scan(batches: Iterable[pa.RecordBatch], words: Words, furniture: Boosted, j
             for tab, rec, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 text = clean(raw)
                 bits = kind_bits(text, words.all)
-                out.append((tab, rec, 0, "record", None, None, 0, None, bits))
-                if text and not bits & 7:  # lists, tables and junk by the plainest vote are never prose
+                if text:
                     pages.append((Page(text.split("\n"), tab == "page_regions", words), tab, rec, raw, bits))
+                else:
+                    out.append((tab, rec, 0, "record", None, "", 0, 0, 0, None, bits))
             settle([p[0] for p in pages], words, furniture, joins)
             for page, tab, rec, raw, bits in pages:
                 lang = page.lang
-                out += [(tab, rec, i + 1, "furniture", "", lang, 0, None, bits) for i in page.furniture]
-                out += [(tab, rec, i + 1, "join", word, lang, 0, None, bits) for i, word, _, _ in page.joins]
+                out.append((tab, rec, 0, "record", None, lang, 0, 0, 0, None, bits))
+                out += [(tab, rec, i + 1, "furniture", "", lang, 0, 0, 0, None, bits) for i in page.furniture]
+                out += [(tab, rec, i + 1, "join", word, lang, k, j + 1, m, None, bits) for i, word, j, k, m in page.joins]
                 found = unlisted(page, words, lang)
                 if tab != "readings":
-                    out += [(tab, rec, i + 1, "word", w, local, 0, None, bits) for i, _, w, local in found]
+                    out += [(tab, rec, i + 1, "word", w, local, k, 0, 0, None, bits) for i, k, w, local in found]
                     continue
                 # The place of a word among the reading's words as delivered.
                 lines = [x.split() for x in raw.split("\n")]
@@ -312,8 +329,8 @@ def _scan(batches: Iterable[pa.RecordBatch], words: Words, furniture: Boosted, j
                     if len(tokens) != len(page.tokens[i]):  # tokens that show nothing are none in clean form
                         shown = [n for n, t in enumerate(tokens) if clean(t).strip()]
                         k = shown[k] if k < len(shown) else k
-                    out.append((tab, rec, i + 1, "word", w, local, int(starts[i]) + k, tokens[k] if k < len(tokens) else None, bits))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 9, _ROWS, strict=True)], schema=_ROWS)
+                    out.append((tab, rec, i + 1, "word", w, local, int(starts[i]) + k, 0, 0, tokens[k] if k < len(tokens) else None, bits))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 11, _ROWS, strict=True)], schema=_ROWS)
 
 
 # ------------------------------------------------------------------------------------------------ candidates and ranking
@@ -345,10 +362,18 @@ class Costs:
         top = max(ops.values(), default=1)
         self.cost = {o: max(0.2, -math.log((n + 0.1) / (top + 0.1)) / 2) for o, n in ops.items()}
         self.other = max(2.5, -math.log(0.1 / (top + 0.1)) / 2)
+        self.known: dict[tuple[str, str], tuple[float, int]] = {}
 
     def align(self, read: str, meant: str) -> tuple[float, int]:
-        """The least cost of ``read`` for ``meant`` and the number of misreadings in it."""
-        read, meant = block(read, meant)
+        """The least cost of ``read`` for ``meant`` and the number of misreadings in it; once per differing part."""
+        part = block(read, meant)
+        if (found := self.known.get(part)) is None:
+            if len(self.known) > 300_000:  # bounds the memory; parts are simply worked out again
+                self.known.clear()
+            found = self.known[part] = self._align(*part)
+        return found
+
+    def _align(self, read: str, meant: str) -> tuple[float, int]:
         n, m = len(read), len(meant)
         if n <= 2 and m <= 2 and (read, meant) in self.cost:
             return self.cost[read, meant], 1
@@ -489,94 +514,144 @@ def misreadings(pairs: DataFrame) -> dict[tuple[str, str], int]:
     return {(r["a"], r["b"]): r["n"] for r in ops.orderBy("a", "b").collect()}
 
 
+def sample_pages(spark: SparkSession, sf_dir: str, words: Words, size: int = SAMPLE_DOCS) -> list[str]:
+    """The prose among about ``size`` documents and as many readings, chosen by a hash of their numbers."""
+    texts: list[str] = []
+    for name, key, text in (("documents", "doc_id", "text"), ("readings", "reading_id", "full_text")):
+        part = min(1.0, size / max(1, table(spark, sf_dir, name, key).count()))
+        luck = F.pmod(F.xxhash64(key), F.lit(1 << 20))
+        drawn = table(spark, sf_dir, name, key, text, luck.alias("luck")).where(F.col("luck") <= int(part * (1 << 20))).orderBy("luck", key).limit(2 * size)
+        texts += [clean(r[text]) or "" for r in drawn.collect()]
+    bits = [kind_bits(t, words.all) for t in texts]
+    kinds = fit_kinds(Counter(bits))
+    return [t for t, b in zip(texts, bits, strict=True) if t and kinds[b][0] == "prose"]
+
+
 class Repairer:
-    """The classifiers of a data folder and what they found: (tab, rec_id, unit, kind, word, fixed, place, raw)."""
+    """The classifiers of a data folder and what they found: (tab, rec_id, unit, kind, word, fixed, place, unit2, place2, raw).
+
+    ``words`` of which the reading's text has no token are read by themselves, in the language of their reading.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         words = load_words(spark, sf_dir)
-        names = [w for w, _, p in words.rows if p] or ["Thornwick"]
-        share = min(1.0, SAMPLE_DOCS / max(1, table(spark, sf_dir, "documents", "doc_id").count()))
-        drawn = table(spark, sf_dir, "documents", "doc_id", "text").where((F.length("text") < 5000) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20)))).limit(2 * SAMPLE_DOCS)
-        pages = [t for t in (clean(r["text"]) for r in drawn.collect()) if t and not kind_bits(t, words.all) & 7]
+        names = [w for w, _, p in words.rows if p]
+        pages = sample_pages(spark, sf_dir, words)
         furniture, joins = train_furniture(pages, names), train_joins(words)
         rows = checkpointed(records(spark, sf_dir, "documents", "readings", "page_regions").mapInArrow(lambda it: _scan(it, words, furniture, joins), ROWS))
         prose = [b for b, (kind, _) in kinds_of(rows.where("kind = 'record'").select("bits")).items() if kind == "prose"]
-        self.words, self.furniture, self.joins, self.rows, self.prose = words, furniture, joins, rows, prose
+        self.rows, self.prose = rows, prose
+        record = rows.where((F.col("kind") == "record") & F.col("bits").isin(*prose))
         rows = rows.where(F.col("bits").isin(*prose) & (F.col("kind") != "record"))
+        strays = checkpointed(stray_words(spark, sf_dir, record).mapInArrow(lambda it: _by_themselves(it, words), ROWS))
         listed = table(spark, sf_dir, "wordlist", "word", "lang", "is_proper").where("word is not null").select(
             F.coalesce("lang", F.lit("")).alias("lang"), F.lower("word").alias("key"), F.col("word").alias("spelling"), F.coalesce("is_proper", F.lit(False)).alias("proper")
         )
         known = listed.select("key").distinct()
-        doubtful = rows.where("kind in ('word', 'join') and word <> ''")
+        doubtful = rows.where("kind in ('word', 'join') and word <> ''").unionAll(strays)
         tokens = doubtful.select("word", "lang").distinct().withColumn("key", F.lower("word")).join(F.broadcast(known), "key", "left_anti").drop("key")
         pairs = checkpointed(candidates(tokens, listed))
         trained = spark.sparkContext.broadcast(train_ranker(words, misreadings(pairs)))
         best = pairs.mapInArrow(lambda it: _rank(it, *trained.value), "word string, lang string, low string, key string, spelling string, proper boolean, score double, ease double")
         best = best.groupBy("word", "lang").agg(F.max_by(F.struct("spelling", "proper", "score"), F.struct("score", "ease", F.col("spelling"))).alias("top"))
         best = best.where("top.score > 0.5").select("word", "lang", F.col("top.spelling").alias("spelling"), F.col("top.proper").alias("proper"))
-        found = rows.join(best, ["word", "lang"], "left")
+        found = spread_join(doubtful, checkpointed(best), ["word", "lang"])
         upper = F.substring("word", 1, 1) != F.lower(F.substring("word", 1, 1))
         whole = F.when(F.col("spelling").isNull(), F.col("word")).when(upper, F.concat(F.upper(F.substring("spelling", 1, 1)), F.expr("substring(spelling, 2)"))).otherwise(F.col("spelling"))
-        fixed = F.when(F.col("kind") == "word", F.col("spelling")).when(F.col("kind") == "join", whole).otherwise("")
+        columns = ["tab", "rec_id", "unit", "kind", "word", "fixed", "place", "unit2", "place2", "raw"]
         # A listed noun keeps its capital only where one was read: a small letter in the middle of a sentence is another word.
-        self.found = found.where("kind <> 'word' or (spelling is not null and not proper)").select("tab", "rec_id", "unit", "kind", "word", fixed.alias("fixed"), "place", "raw")
+        found = found.where("kind <> 'word' or (spelling is not null and not proper)").withColumn("fixed", F.when(F.col("kind") == "word", F.col("spelling")).otherwise(whole))
+        self.found = found.select(*columns).unionAll(rows.where("kind = 'furniture'").withColumn("fixed", F.lit("")).select(*columns))
+
+
+#: A key is frequent if it holds more than this part of the rows; so at most as many keys as its inverse are.
+FREQUENT = 0.001
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of many rows with facts, one a key at most.  The facts of frequent keys, at most 1 / FREQUENT of them,
+    go to the rows; only the rows of the other keys are shuffled, so no key makes a task large."""
+    least = max(1.0, rows.count() * FREQUENT)
+    often = rows.groupBy(*keys).count().where(F.col("count") > least).select(*keys)
+    often = checkpointed(often.join(facts, keys, "left"))
+    rest = rows.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(facts, keys, "left")
+    return rows.join(F.broadcast(often), keys).unionByName(rest)
+
+
+def stray_words(spark: SparkSession, sf_dir: str, record: DataFrame) -> DataFrame:
+    """(word_id, text, lang) of the words in prose whose text is no token of their reading's text."""
+    words = table(spark, sf_dir, "words", "word_id", "reading_id", F.col("word_seq").alias("place"), "text").where("text <> ''")
+    tokens = table(spark, sf_dir, "readings", "reading_id", F.explode(F.array_distinct(F.split("full_text", r"[ \n]+"))).alias("text"))
+    alone = words.join(tokens, ["reading_id", "text"], "left_anti")
+    return alone.join(record.where("tab = 'readings'").select(F.col("rec_id").alias("reading_id"), "lang").distinct(), "reading_id").select("word_id", "text", "lang")
+
+
+def _by_themselves(batches: Iterable[pa.RecordBatch], words: Words) -> Iterator[pa.RecordBatch]:
+    """Rows of unlisted words (word_id, text, lang) as ``unlisted`` has them, without a text around them."""
+    for batch in batches:
+        out = []
+        for word_id, text, lang in zip(*(batch.column(n).to_pylist() for n in ("word_id", "text", "lang")), strict=True):
+            token = clean(text).strip()
+            w, langs = words[token]
+            if langs is not None or len(w) < 2 or len(w) > words.longest + 2 or 2 * sum(map(str.isalpha, w)) < len(w) or token[-1:] in MARKS or w[0].isupper() or " " in token:
+                continue
+            out.append(("words", word_id, 0, "word", w, lang, 0, 0, 0, text, 0))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 11, _ROWS, strict=True)], schema=_ROWS)
 
 
 def find_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tab, rec_id, unit, kind, fixed) in documents, readings and page_regions, and of misread words in words."""
+    """(tab, rec_id, unit, kind, fixed) in documents, readings and page_regions, and of misread words in words.
+
+    A word has what was found at the nearest place of its reading, at most SHIFT places off, where the same text stands.
+    """
     found = checkpointed(Repairer(spark, sf_dir).found)
-    words = table(spark, sf_dir, "words", "word_id", "reading_id", F.col("word_seq").alias("place"), "text")
-    flagged = found.where("tab = 'readings' and kind = 'word' and raw is not null").select(F.col("rec_id").alias("reading_id"), "place", F.col("raw").alias("text"), "fixed")
-    same = words.join(flagged, ["reading_id", "place", "text"])
-    of_words = same.select(F.lit("words").alias("tab"), F.col("word_id").alias("rec_id"), F.lit(0).alias("unit"), F.lit("word").alias("kind"), "fixed")
+    words = table(spark, sf_dir, "words", "word_id", "reading_id", F.col("word_seq").alias("at"), "text")
+    flagged = found.where("tab = 'readings' and kind = 'word' and raw is not null").select(F.col("rec_id").alias("reading_id"), F.col("raw").alias("text"), "place", "fixed")
+    # Bounded by one reading's text.
+    flagged = flagged.groupBy("reading_id", "text").agg(F.collect_set(F.struct("place", "fixed")).alias("places"))
+    near = F.array_min(F.transform("places", lambda p: F.struct(F.abs(p["place"] - F.col("at")).alias("off"), p["fixed"].alias("fixed"))))
+    same = words.join(flagged, ["reading_id", "text"]).withColumn("near", near).where(F.col("near.off") <= SHIFT)
+    of_words = same.select(F.lit("words").alias("tab"), F.col("word_id").alias("rec_id"), F.lit(0).alias("unit"), F.lit("word").alias("kind"), F.col("near.fixed").alias("fixed"))
     return found.select("tab", "rec_id", "unit", "kind", "fixed").unionAll(of_words).distinct()
 
 
 # ------------------------------------------------------------------------------------------------ mended texts
 
 
-def mend(text: str, inline: bool, fixes: dict[tuple[int, str], str], words: Words, furniture: Boosted, joins: Boosted) -> str:
+Found = tuple[str, int, str, str, int, int, int]
+
+
+def mend(text: str, inline: bool, found: Iterable[Found]) -> str:
     """The text without furniture, with broken words joined and misread words replaced, lines run into paragraphs.
 
-    ``fixes`` maps (unit from 1, word as read) to the word meant.  Paragraphs are parted by blank lines; verse, whose
-    lines are short and begin with capitals, keeps its lines.
+    ``found`` has (kind, unit from 1, word as read, word meant, place, unit and place of the second part).  Paragraphs
+    are parted by blank lines; verse, whose lines are short and begin with capitals, keeps its lines.
     """
-    units = clean(text).split("\n")
-    page = Page(units, inline, words)
-    settle([page], words, furniture, joins)
-    starts = {(i, k): (whole, j) for i, whole, j, k in page.joins}
-    skip: set[tuple[int, int]] = set()
-    out: list[list[str]] = []
-    for i, tokens in enumerate(page.tokens):
-        line = []
-        if i in page.furniture:
+    furniture = {f[1] for f in found if f[0] == "furniture"}
+    joins = {(f[1], f[4]): f for f in found if f[0] == "join"}
+    seconds = {(f[5], f[6]) for f in joins.values()}
+    fixes = {(f[1], f[2]): f[3] for f in found if f[0] == "word"}
+    tokens = [u.split() for u in clean(text).split("\n")]
+    out: list[str] = []
+    for i, parts in enumerate(tokens, 1):
+        if i in furniture:
             continue
-        for k, t in enumerate(tokens):
-            if (i, k) in skip:
-                continue
-            if (i, k) in starts:
-                whole, j = starts[i, k]
-                m = k + 1 if j == i else 0
-                tail = page.tokens[j][m]
-                skip.add((j, m))
-                head = t[: len(t) - len(t.lstrip(AROUND))]
-                end = tail[len(tail.rstrip(AROUND)) :]
-                line.append(head + fixes.get((i + 1, whole), whole) + end)
+        line = []
+        for k, t in enumerate(parts):
+            if (i, k) in seconds and (i, k) not in joins:
                 continue
-            bare = page.looked[i][k][0]
-            new = fixes.get((i + 1, bare))
-            if new and bare:
-                if bare[0].isupper():
-                    new = new[0].upper() + new[1:]
-                t = t.replace(bare, new, 1)
+            if join := joins.get((i, k)):
+                tail = tokens[join[5] - 1][join[6]]
+                t = t[: len(t) - len(t.lstrip(AROUND))] + join[3] + tail[len(tail.rstrip(AROUND)) :]
+            elif new := fixes.get((i, bare := t.strip(AROUND))):
+                t = t.replace(bare, new[0].upper() + new[1:] if bare[0].isupper() else new, 1)
             line.append(t)
-        out.append(line)
+        out.append(" ".join(line))
     if inline:
-        return "\n".join(" ".join(x) for x in out)
+        return "\n".join(out)
     paragraphs: list[str] = []
     now: list[str] = []
-    lines = [" ".join(x) for x in out]
-    for x in [*lines, ""]:
+    for x in [*out, ""]:
         if x:
             now.append(x)
         elif now:
@@ -586,29 +661,25 @@ def mend(text: str, inline: bool, fixes: dict[tuple[int, str], str], words: Word
     return "\n\n".join(paragraphs)
 
 
+def _mended(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        done = []
+        for tab, text, found, prose in zip(*(batch.column(n).to_pylist() for n in ("tab", "text", "found", "prose")), strict=True):
+            done.append(mend(text, tab == "page_regions", [tuple(f.values()) for f in found or ()]) if text and prose else clean(text))
+        yield pa.RecordBatch.from_arrays([batch.column("tab"), batch.column("rec_id"), pa.array(done, pa.string())], names=["tab", "rec_id", "text"])
+
+
 def mended_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tab, rec_id, text): every record of documents, readings and page_regions as continuous readable paragraphs.
 
     Records that are lists, tables or junk for the greater part are only brought to clean form.  Null texts stay null.
     """
     model = Repairer(spark, sf_dir)
-    fixes = model.found.where("kind = 'word'").select("tab", "rec_id", F.struct("unit", "word", "fixed").alias("fix"))
-    fixes = fixes.unionAll(model.found.where("kind = 'join' and word <> fixed").select("tab", "rec_id", F.struct("unit", "word", "fixed")))
-    # One record's fixes are bounded by its text.
-    grouped = fixes.groupBy("tab", "rec_id").agg(F.collect_set("fix").alias("fixes"))
-    prose = model.rows.where(F.col("bits").isin(*model.prose) & (F.col("kind") == "record")).select("tab", "rec_id", F.lit(True).alias("prose")).distinct()
-    texts = records(spark, sf_dir, "documents", "readings", "page_regions").join(grouped, ["tab", "rec_id"], "left").join(prose, ["tab", "rec_id"], "left")
-    words, furniture, joins = model.words, model.furniture, model.joins
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = []
-            for tab, text, fix, is_prose in zip(*(batch.column(n).to_pylist() for n in ("tab", "text", "fixes", "prose")), strict=True):
-                if not text or not is_prose:
-                    done.append(clean(text))
-                    continue
-                table_of = {(f["unit"], f["word"]): f["fixed"] for f in fix or ()}
-                done.append(mend(text, tab == "page_regions", table_of, words, furniture, joins))
-            yield pa.RecordBatch.from_arrays([batch.column("tab"), batch.column("rec_id"), pa.array(done, pa.string())], names=["tab", "rec_id", "text"])
-
-    return texts.mapInArrow(run, "tab string, rec_id long, text string").distinct()
+    # What was found in one record is bounded by its text; which records are prose comes in the same rows.
+    one = F.struct("kind", "unit", "word", "fixed", "place", "unit2", "place2")
+    found = model.found.where("tab <> 'words'").select("tab", "rec_id", one.alias("one"))
+    prose = model.rows.where((F.col("kind") == "record") & F.col("bits").isin(*model.prose)).select("tab", "rec_id", F.lit(None).cast(found.schema["one"].dataType).alias("one"))
+    # A collected set has no nulls, so a record of prose without anything found has an empty one.
+    grouped = found.unionAll(prose).groupBy("tab", "rec_id").agg(F.collect_set("one").alias("found"), F.lit(True).alias("prose"))
+    texts = records(spark, sf_dir, "documents", "readings", "page_regions").join(grouped, ["tab", "rec_id"], "left")
+    return texts.mapInArrow(_mended, "tab string, rec_id long, text string").distinct()

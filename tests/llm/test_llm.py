@@ -412,3 +412,14 @@ def test_queries_have_their_columns(spark):
         df = run(spark, SF, name)
         rows = df.collect()
         assert df.columns == columns and len(rows) == len(set(rows)), name
+
+
+def test_kinds_are_decided_by_what_is_learned():
+    # A pattern that is prose by the start becomes a list where many records of its make are lists.
+    at = {name: 1 << k for k, (name, _, _) in reversed(list(enumerate(kinds.FUNCTIONS)))}
+    plain = at["common_ratio"] | at["mean_word_len"]
+    prose, entries = plain | at["sentence_ratio"] | at["words_per_line"], plain | at["entry_share"] | at["end_number_share"]
+    among = {prose: 1000, entries: 600, plain | at["end_number_share"]: 100, entries | at["sentence_ratio"]: 300, entries | at["words_per_line"]: 200}
+    for doubtful in (plain, plain | at["sentence_ratio"] | at["end_number_share"], plain | at["entry_share"] | at["sentence_ratio"]):
+        assert kinds.fit_kinds({prose: 1000, doubtful: 1})[doubtful][0] == "prose"
+        assert kinds.fit_kinds(among | {doubtful: 1})[doubtful][0] == "list"
