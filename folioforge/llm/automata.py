@@ -1,9 +1,11 @@
-"""Suffix automata and the cross parsing of words against them."""
+"""Suffix automata and the cross parsing of texts against them, many texts and languages at once."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+
 
 class SuffixAutomaton:
     """The smallest automaton of all substrings of the texts it was built from."""
@@ -68,3 +70,71 @@ class SuffixAutomaton:
                 count += 1
             state = after
         return count + (state > 0)
+
+
+class CrossParser:
+    """Automata as one table of transitions, through which many texts go in step, a character at a time.
+
+    Only the edges are sent to workers; each builds its table when it first parses.
+    """
+
+    def __init__(self, automata: list[SuffixAutomaton]):
+        self.sizes = [len(a.next) for a in automata]
+        self.letters = ["".join(sorted({c for edges in a.next for c in edges})) for a in automata]
+        self.edges = []
+        for a, letters in zip(automata, self.letters, strict=True):
+            number = {c: k for k, c in enumerate(letters, 1)}
+            rows = [(state, number[c], after) for state, edges in enumerate(a.next) for c, after in edges.items()]
+            self.edges.append(np.array(rows, np.int32).reshape(-1, 3))
+        self.table: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
+
+    def _build(self) -> None:
+        width = [len(x) + 1 for x in self.letters]
+        offsets = np.cumsum([1, *(n * w for n, w in zip(self.sizes, width, strict=True))])
+        # A state is the place of its row; 0 stands for none.
+        table = np.zeros(offsets[-1], np.int32)
+        for (state, symbol, after), first, w in zip((e.T for e in self.edges), offsets, width, strict=False):
+            table[first + state * w + symbol] = first + after * w
+        self.root = offsets[:-1].astype(np.int32)
+        top = max((ord(c) for x in self.letters for c in x), default=0) + 1
+        self.symbol = np.zeros((top + 1, len(self.letters)), np.int32)
+        for k, letters in enumerate(self.letters):
+            for n, c in enumerate(letters, 1):
+                self.symbol[ord(c), k] = n
+        self.start = table[self.root + self.symbol]
+        self.table, self.top = table, top
+
+    def phrases(self, texts: list[str], at_once: int = 4096) -> np.ndarray:
+        """Number of longest-match phrases of each text (rows) by each automaton (columns); an unknown character is a
+        phrase of its own."""
+        if self.table is None:
+            self._build()
+        sizes = np.array([len(t) for t in texts], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        counts = np.zeros((len(texts), len(self.letters)), np.int32)
+        for i in range(0, len(texts), at_once):
+            part = order[i : i + at_once]
+            counts[part] = self._parse([texts[k] for k in part], sizes[part])
+        return counts
+
+    def _parse(self, texts: list[str], sizes: np.ndarray) -> np.ndarray:
+        """``phrases`` of texts in descending order of their sizes."""
+        codes = np.minimum(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), self.top).astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        state = np.tile(self.root, (len(texts), 1))
+        counts = np.zeros(state.shape, np.int32)
+        live = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), "left")  # texts longer than each place
+        for at, n in enumerate(live.tolist()):
+            char = codes[first[:n] + at]
+            now = state[:n]
+            after = self.table[now + self.symbol[char]]
+            ended = after == 0
+            counts[:n] += ended & (now != self.root)
+            after = np.where(ended, self.start[char], after)
+            unknown = after == 0
+            counts[:n] += unknown
+            state[:n] = np.where(unknown, self.root, after)
+        return counts + (state != self.root)

@@ -1,9 +1,12 @@
 """One written form for print that looks the same (problem 4).
 
 ``clean`` brings a text to compatibility-composed form, maps every kind of space to a plain one, drops code points
-that show nothing, and writes each word in letters of one script.  ``compare_key`` is the case-folded form that
-decides whether two prints are equal.  ``None`` stays ``None`` and an empty text stays empty; tabs and line breaks
-are kept.  A word whose letters all look alike in two scripts takes the script of its line, else that of the text.
+that show nothing, and writes each word in letters of one script: Latin, Cyrillic or Greek.  ``compare_key`` is the
+case-folded form that decides whether two prints are equal.  ``None`` stays ``None`` and an empty text stays empty; tabs
+and line breaks are kept.  A word whose letters look alike in several scripts takes the script of its line, else that of
+the text; where as many of its letters tell of one script as of another, likewise.
+
+Texts are worked on by line and words by themselves, each distinct value of a batch once.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,15 +25,51 @@ from pyspark.sql import functions as F
 from folioforge.llm.kinds import kind_bits, kinds_of, records, vocabulary
 from folioforge.session import checkpointed, table
 
-# Letters of one shape in Latin, Cyrillic and Greek script.
-LATIN = "aceopxysijABCEHIJKMOPSTXYvovABEZHIKMNOPTYXapikx"
-OTHER = "асеорхуѕіјАВСЕНІЈКМОРЅТХУνονΑΒΕΖΗΙΚΜΝΟΡΤΥΧαρικχ"
-CYRILLIC_OF_GREEK = dict(zip("οαΑΒΕΗΙΚΜΟΡΤΧ", "оаАВЕНІКМОРТХ", strict=True))
-
-TO_LATIN = {ord(o): n for n, o in zip(LATIN, OTHER, strict=True)}
-TO_CYRILLIC = {ord(n): o for n, o in zip(LATIN, OTHER, strict=True) if "Ѐ" <= o <= "ԯ"} | {
-    ord(g): c for g, c in CYRILLIC_OF_GREEK.items()
-}
+# Letters of one shape in Latin, Cyrillic and Greek script, of the published tables of confusable letters;
+# a blank where a script has none.
+ALIKE = """
+A А Α
+B В Β
+C С _
+E Е Ε
+H Н Η
+I І Ι
+J Ј _
+K К Κ
+M М Μ
+N _ Ν
+O О Ο
+P Р Ρ
+S Ѕ _
+T Т Τ
+X Х Χ
+Y _ Υ
+Z _ Ζ
+a а α
+c с _
+e е _
+i і ι
+j ј _
+k _ κ
+o о ο
+p р ρ
+s ѕ _
+v _ ν
+x х χ
+y у _
+"""
+# Letters that look like a Latin one, which is not taken for them in turn: rare Cyrillic letters, Greek upsilon
+# and Latin letters of phonetic script.
+LOOKS_LATIN = {"Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "υ": "u", "ɑ": "a", "ɡ": "g"}
+VARIANTS = {c: n for c, n in LOOKS_LATIN.items() if c < "Ͱ"}
+
+SCRIPTS = "LCG"
+_ROWS = [line.split() for line in ALIKE.split("\n") if line]
+#: For each script the letters of the others that look like one of its own.
+TO = {
+    s: str.maketrans({other: row[k] for row in _ROWS if row[k] != "_" for m, other in enumerate(row) if m != k and other != "_"} | (LOOKS_LATIN if s == "L" else {}))
+    for k, s in enumerate(SCRIPTS)
+}
 INVISIBLE = regex.compile(r"[[\p{Default_Ignorable_Code_Point}\p{Cc}]--[\t\n]]+", regex.V1)
 SPACES = regex.compile(r"\p{Zs}")
 # What shows nothing although it counts as printable; letters beyond Latin; Latin letters: all as plain ranges, for speed.
@@ -52,33 +92,41 @@ def _plain(codec: str, letters: str) -> tuple[str, bytes]:
 
 # A text that one of these holds without its bad bytes is clean: encoding it is the fastest of tests.
 PLAIN = (_plain("latin-1", "LATIN"), _plain("cp1251", "CYRILLIC"), _plain("cp1250", "LATIN"))
-LAT = regex.compile(r"\p{Latin}")
-CYR = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
-LAT_ONLY = regex.compile("[\\p{Latin}--[" + "".join(sorted(set(LATIN))) + "]]", regex.V1)
-CYR_ONLY = regex.compile("[\\p{Cyrillic}--[" + "".join(sorted({c for c in OTHER if "Ѐ" <= c <= "ԯ"})) + "]]", regex.V1)
+_NAMES = {"L": "Latin", "C": "Cyrillic", "G": "Greek"}
+LETTER = {s: regex.compile(rf"\p{{{n}}}") for s, n in _NAMES.items()}
+ONLY = {s: regex.compile(f"[\\p{{{n}}}--[{''.join(row[k] for row in _ROWS if row[k] != '_')}{''.join(LOOKS_LATIN)}]]", regex.V1) for k, (s, n) in enumerate(_NAMES.items())}
+GREEK, CYRILLIC, VARIANT = re.compile("[\u0370-\u03ff]"), re.compile("[\u0400-\u052f]"), re.compile("[" + "".join(VARIANTS) + "]")
 TOKEN = regex.compile(r"[^ \t\n]+")
 OPENING, CLOSING = "([\"'«„“", ")]\"'»”"
 
 
+@lru_cache(1 << 17)
+def told(text: str) -> tuple[int, int, int]:
+    """How many letters of a text only Latin, only Cyrillic, only Greek has."""
+    return tuple(len(ONLY[s].findall(text)) for s in SCRIPTS)
+
+
+def leader(counts: tuple[int, ...] | list[int]) -> str:
+    """The script of the greatest count; ``""`` where there is none or several have it."""
+    top = max(counts)
+    return SCRIPTS[counts.index(top)] if top and counts.count(top) == 1 else ""
+
+
 def script_of(text: str) -> str:
-    """``L`` or ``C`` by the letters that only one script has, ``""`` where there are none or as many of both."""
-    latin, cyrillic = len(LAT_ONLY.findall(text)), len(CYR_ONLY.findall(text))
-    return "L" if latin > cyrillic else "C" if cyrillic > latin else ""
+    """``L``, ``C`` or ``G`` by the letters that only one script has, ``""`` where there are none or as many of two."""
+    return leader(told(text))
 
 
-@lru_cache(1 << 17)
-def _letters(token: str) -> tuple[int, int]:
-    """How many letters of a token only Latin has, and how many only Cyrillic."""
-    return len(LAT_ONLY.findall(token)), len(CYR_ONLY.findall(token))
+def scripts_in(text: str) -> str:
+    """The scripts that a text has letters of."""
+    return "L" if text.isascii() else "".join(s for s in SCRIPTS if LETTER[s].search(text))
 
 
 @lru_cache(1 << 17)
 def one_script(word: str, around: str) -> str:
     """The word in letters of its own script, or of the script around it where its letters don't tell."""
     script = script_of(word) or around
-    if script == "L":
-        return word.translate(TO_LATIN) if CYR.search(word) else word
-    return word.translate(TO_CYRILLIC) if script == "C" and (LAT.search(word) or CYR.search(word)) else word
+    return word.translate(TO[script]) if script else word
 
 
 def is_clean(text: str) -> bool:
@@ -94,52 +142,85 @@ def is_clean(text: str) -> bool:
                 return True
     if not text.replace("\n", "").replace("\t", "").isprintable():
         return False
-    return ascii_only or unicodedata.is_normalized("NFKC", text) and not HIDDEN.search(text) and not (BEYOND.search(text) and ROMAN.search(text))
+    if ascii_only:
+        return True
+    mixed = BEYOND.search(text) and ROMAN.search(text) or GREEK.search(text) and CYRILLIC.search(text)
+    return not mixed and unicodedata.is_normalized("NFKC", text) and not HIDDEN.search(text) and not VARIANT.search(text)
+
+
+def plain(text: str) -> str:
+    """The text composed, with plain spaces, without what shows nothing; its letters are those it has."""
+    return SPACES.sub(" ", unicodedata.normalize("NFKC", INVISIBLE.sub("", text)))
 
 
 def clean(text: str | None, around: str = "") -> str | None:
     """The one written form of a text; ``around`` is the script for words and lines that don't tell theirs."""
     if text is None:
         return None
-    if is_clean(text):
-        # A text of one script may still be a look-alike of the script around it.
-        if not around or (around == "L") != bool(CYR.search(text)) and (around == "C") != bool(LAT.search(text)):
-            return text
-    text = SPACES.sub(" ", unicodedata.normalize("NFKC", INVISIBLE.sub("", text)))
-    if not (CYR.search(text) and (around == "L" or LAT.search(text)) or around == "C" and LAT.search(text)):
+    sure = is_clean(text)
+    # A text of one script may still be a look-alike of the script around it.
+    if sure and (not around or scripts_in(text) in ("", around)):
+        return text
+    text = text if sure else plain(text)
+    has = scripts_in(text)
+    if (len(has) < 2 and (not around or has in ("", around))) and not VARIANT.search(text):
         return text
-    around = script_of(text) or around or ("L" if LAT.search(text) else "C")
-    lines = text.split("\n")
-    for i, line in enumerate(lines):
-        if not line.isascii() or around == "C":
-            lines[i] = _by_neighbours(line, around)
-    return "\n".join(lines)
+    around = script_of(text) or around or has[:1]
+    return "\n".join(_by_neighbours(line, around) for line in text.split("\n"))
 
 
+@lru_cache(1 << 16)
 def _by_neighbours(line: str, around: str) -> str:
     """The line with each word in one script.
 
     Words that don't tell their script take that of the words beside them where those agree, else that of the line.
     """
+    if line.isascii() and around == "L":
+        return line
     tokens = TOKEN.findall(line)
-    counts = [_letters(t) for t in tokens]
-    latin, cyrillic = sum(a for a, _ in counts), sum(b for _, b in counts)
-    own = "L" if latin > cyrillic else "C" if cyrillic > latin else around
-    if not latin or not cyrillic:
+    counts = [told(t) for t in tokens]
+    total = [sum(c) for c in zip(*counts, strict=True)] or [0, 0, 0]
+    own = leader(total) or around
+    if sum(n > 0 for n in total) < 2:
         return TOKEN.sub(lambda m: one_script(m[0], own), line)
-    scripts = ["L" if a > b else "C" if b > a else "" for a, b in counts]
-    told: list[str] = []
+    scripts = [leader(c) for c in counts]
+    chosen: list[str] = []
     for i, (t, s) in enumerate(zip(tokens, scripts, strict=True)):
         if not s:
             before = next((x for x in reversed(scripts[:i]) if x), "")
             after = next((x for x in scripts[i + 1 :] if x), "")
             # A word that opens a quotation goes with what follows, one that closes it with what went before.
             s = before if before == after else after if t[0] in OPENING else before if t[-1] in CLOSING else own
-        told.append(s)
-    parts = iter(told)
+        chosen.append(s)
+    parts = iter(chosen)
     return TOKEN.sub(lambda m: one_script(m[0], next(parts)), line)
 
 
+def clean_lines(texts: pa.Array) -> list[tuple[list[str], list[str], str]]:
+    """For each text its lines, their clean forms, and the scripts of its letters in clean form.
+
+    Lines are told apart first, so that each distinct one is tested, composed and counted once; only texts with letters of
+    several scripts are then looked at line by line in the script of the whole.  A null is an empty text.
+    """
+    lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+    coded = lines.values.dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    forms = [t if is_clean(t) else plain(t) for t in distinct]
+    has = [scripts_in(f) for f in forms]
+    which, ends = coded.indices.to_numpy(), lines.offsets.to_numpy()
+    out = []
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        ids = which[a:b].tolist()
+        seen = {has[i] for i in ids}
+        new = [forms[i] for i in ids]
+        scripts = "".join(sorted(set("".join(seen)), key=SCRIPTS.index))
+        if len(scripts) > 1 or any(VARIANT.search(f) for f in new if not f.isascii()):
+            around = leader([sum(told(forms[i])[k] for i in ids) for k in range(3)]) or scripts[:1]
+            new = [_by_neighbours(f, around) for f in new]
+        out.append(([distinct[i] for i in ids], new, scripts))
+    return out
+
+
 def compare_key(text: str | None) -> str | None:
     """The form that equal prints share: clean, then fully case-folded and composed again."""
     return None if text is None else unicodedata.normalize("NFKC", clean(text).casefold())
@@ -149,7 +230,7 @@ def compare_key(text: str | None) -> str | None:
 
 #: Java's regular expression for a word that may be out of form: anything beyond the stable characters, or two scripts.
 MAYBE = r"[^\x21-\x7e§°¬·À-İĴ-ľŁ-ňŊ-žЀ-ԯ—•]|[a-zA-ZÀ-ž].*[Ѐ-ԯ]|[Ѐ-ԯ].*[a-zA-ZÀ-ž]"
-_ALIKE = "".join(sorted(set(LATIN + OTHER)))
+_ALIKE = "".join(sorted({c for row in _ROWS for c in row} - {"_"} | set(LOOKS_LATIN)))
 
 _LINES = pa.list_(pa.struct([("line_no", pa.int32()), ("form", pa.string())]))
 
@@ -158,14 +239,14 @@ def unclean_lines(batches: Iterable[pa.RecordBatch], words: frozenset[str]) -> I
     """For each record (tab, rec_id, text): its votes, its script and its lines that are out of form."""
     for batch in batches:
         bits, scripts, lines, mixed = [], [], [], []
-        for text in batch.column(2).to_pylist():
-            whole = clean(text) or ""
+        for old, new, has in clean_lines(batch.column(2)):
+            whole = "\n".join(new)
             bits.append(kind_bits(whole, words))
-            scripts.append(script_of(whole[:2000]) or script_of(whole))
-            # By line where a text has words of both scripts, for words of the reading that don't tell theirs.
-            both = not whole.isascii() and LAT_ONLY.search(whole) and CYR_ONLY.search(whole)
-            mixed.append([script_of(x) for x in whole.split("\n")] if both else None)
-            lines.append([] if whole == (text or "") else [{"line_no": n, "form": new} for n, (old, new) in enumerate(zip(text.split("\n"), whole.split("\n"), strict=True), 1) if old != new])
+            # By line where a text has words of several scripts, for words of the reading that don't tell theirs.
+            counts = told(whole) if len(has) > 1 else ()
+            scripts.append(leader(counts) if counts else has)
+            mixed.append([script_of(x) for x in new] if sum(n > 0 for n in counts) > 1 else None)
+            lines.append([{"line_no": n, "form": b} for n, (a, b) in enumerate(zip(old, new, strict=True), 1) if a != b])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.int32()), pa.array(scripts, pa.string()), pa.array(lines, _LINES), pa.array(mixed, pa.list_(pa.string()))], names=["tab", "rec_id", "bits", "script", "lines", "mixed"])
 
 
@@ -214,3 +295,26 @@ def unify_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     doubtful = doubtful.join(around, "reading_id", "left").select("word_id", "text", script.alias("script"), F.coalesce("bits", F.lit(-1)).alias("bits"))
     found = lines.unionAll(doubtful.mapInArrow(clean_words, "tab string, rec_id long, line_no int, form string, bits int"))
     return found.where(~F.col("bits").isin(*junk)).drop("bits").distinct()
+
+
+_KEYS = "text string, n long, form string, key string"
+
+
+def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        forms = [t if is_clean(t) else clean(t) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("n"), pa.array(forms, pa.string()), pa.array(map(compare_key, forms), pa.string())], names=["text", "n", "form", "key"])
+
+
+def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, n_words, n_texts, most_common): the words of ``words`` that are equal in print and but for their capitals, with
+    how many words and different stored texts each has, and the commonest form; keys that have one stored text are left out.
+
+    Each distinct text is cleaned and folded once.  Null and empty texts are left out; rows delivered twice count once;
+    of equally common forms the one that sorts first is given.
+    """
+    distinct = table(spark, sf_dir, "words", "word_id", "text").where("text <> ''").groupBy("text").agg(F.countDistinct("word_id").alias("n"))
+    keyed = distinct.mapInArrow(_keyed, _KEYS).groupBy("key", "form").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+    g = keyed.groupBy("key").agg(F.sum("n").alias("n_words"), F.sum("k").alias("n_texts"), F.min_by("form", F.struct(-F.col("n"), F.col("form"))).alias("most_common"))
+    return g.where("n_texts > 1 and key <> ''")

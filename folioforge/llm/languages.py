@@ -1,12 +1,17 @@
 """Languages of documents, readings and their segments by cross parsing (problem 1).
 
-A suffix automaton of labelled text is built per language.  A text is parsed against each of them into longest matches;
-the fewer phrases a language needs, normalised by the size of its text, the closer it is.  Phrases end with words, so
-each distinct word is parsed once and a text's phrases are the sum over its words.
-
-The labelled text is the fixed word list and the words of a bounded sample of labelled documents (``sample`` rows).
-As labels may be wrong, a word of the sample counts for a language only if it is about as common there as in the
-language where it is most common.  Null and empty texts have no language; texts without a letter get none either.
+A suffix automaton of labelled running text is built per language.  A text is parsed against each of them into longest
+matches, which run on from word to word; the fewer phrases a language needs, normalised by the size of its text, the
+closer it is.  Segments are the cheapest sequence of languages for the units of a text, each change of language costing
+a fixed number.
+
+The labelled text is that of a bounded sample of labelled documents (``sample`` rows, at most ``size`` characters a
+language) and the words of the fixed word list.  As labels may be wrong, only stretches of lines are taken whose words
+are about as common in the documents of that label as in those of any other.
+
+Null and empty texts have no language; texts without a letter get none either.  Of languages that are equally cheap the
+first by code counts.  What stands in brackets and quotation marks doesn't change the language of what holds it, and
+lines that look like page furniture are no segments, as a record's segments are prose.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.automata import SuffixAutomaton
+from folioforge.llm.automata import CrossParser, SuffixAutomaton
 from folioforge.llm.forms import clean
 from folioforge.llm.furniture import looks_like_furniture
 from folioforge.llm.kinds import kind_bits, kinds_of, records, vocabulary, with_kind
@@ -30,48 +35,56 @@ from folioforge.session import checkpointed, table
 WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’\-][\p{L}\p{M}]+)*")
 QUOTED = regex.compile(r"\(\s*[\"“„«][^\"”“»]{1,600}[\"”“»]\s*\)")
 PARAGRAPHS = regex.compile(r"\n[^\S\n]*\n\s*")
-#: Rows of labelled documents that the automata are built from.
+#: Rows of labelled documents that the automata are built from, and characters taken of them a language.
 SAMPLE = 6000
+SIZE = 30_000
+#: Longest piece of a unit that is parsed in one go; a phrase ends where a piece does.
+PIECE = 600
 
 
-class LanguageModel(dict):
-    """Automata by language, and for each distinct token the row of its costs, worked out once.
-
-    A token's costs are the normalised phrases of its words in each language; the last column is the number of words.
-    """
+class LanguageModel:
+    """The languages' automata, and what each distinct token leaves of itself as running text, worked out once."""
 
     def __init__(self, texts: dict[str, list[str]]):
-        super().__init__()
-        self.parsed: dict[str, np.ndarray] = {}
         self.codes = sorted(texts)
-        self.automata = [SuffixAutomaton(f" {w} " for w in texts[c]) for c in self.codes]
+        self.parser = CrossParser([SuffixAutomaton(f" {t} " for t in texts[c]) for c in self.codes])
         self.scale = np.array([math.log(sum(map(len, texts[c])) + len(texts[c]) + 2) for c in self.codes])
-        self.table = np.zeros((1024, len(self.codes) + 1), np.float32)
+        self.plain: dict[str, tuple[str, int]] = {}
 
-    def __reduce__(self):
-        return _restore, (self.codes, self.automata, self.scale)
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"plain": {}}
 
-    def __missing__(self, token: str) -> int:
+    def _plain(self, token: str) -> tuple[str, int]:
         words = WORD.findall(token)
-        i = self[token] = len(self)
-        if i >= len(self.table):
-            self.table = np.vstack([self.table, np.zeros_like(self.table)])
-        # A word that a language holds whole is one phrase; pieces of an unknown word cost their number.
-        for w in words:
-            w = w.lower()
-            if (cost := self.parsed.get(w)) is None:
-                cost = self.parsed[w] = np.array([a.phrases(f" {w} ") for a in self.automata]) * self.scale
-            self.table[i, :-1] += cost
-        self.table[i, -1] = len(words)
-        return i
-
-    def costs(self, tokens: list[str]) -> np.ndarray:
-        """Costs of each token (rows) in each language (columns), and its words."""
-        if len(self) > 400_000:  # bounds the memory; tokens are simply parsed again
-            self.clear()
-            self.parsed.clear()
-        ids = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        return self.table[ids]
+        if len(self.plain) > 400_000:  # bounds the memory; tokens are simply worked out again
+            self.plain.clear()
+        found = self.plain[token] = (" ".join(words).lower(), len(words))
+        return found
+
+    def costs(self, units: list[list[str]]) -> np.ndarray:
+        """Normalised phrases of each unit's tokens (rows) in each language (columns), and in the last column its words."""
+        get, plain = self.plain.get, self._plain
+        pieces: list[str] = []
+        owner: list[int] = []
+        words = np.zeros(len(units))
+        for k, tokens in enumerate(units):
+            known = [get(t) or plain(t) for t in tokens]
+            words[k] = n = sum(c for _, c in known)
+            if not n:
+                continue
+            text = " ".join([t for t, c in known if c])
+            while len(text) > PIECE:
+                at = text.rfind(" ", 0, PIECE) + 1 or PIECE
+                pieces.append(f" {text[:at].rstrip()} ")
+                owner.append(k)
+                text = text[at:]
+            pieces.append(f" {text} ")
+            owner.append(k)
+        out = np.zeros((len(units), len(self.codes) + 1))
+        if pieces:
+            np.add.at(out[:, :-1], np.array(owner), self.parser.phrases(pieces) * self.scale)
+        out[:, -1] = words
+        return out
 
     def best(self, total: np.ndarray) -> tuple[int, float]:
         """The cheapest language of summed costs and its confidence, the posterior of an exponential code."""
@@ -80,12 +93,8 @@ class LanguageModel(dict):
         return i, float(1 / gap.sum())
 
 
-def _restore(codes: list[str], automata: list[SuffixAutomaton], scale: np.ndarray) -> LanguageModel:
-    """A model without the rows that were worked out where it came from."""
-    model = LanguageModel({})
-    model.codes, model.automata, model.scale = codes, automata, scale
-    model.table = np.zeros((1024, len(codes) + 1), np.float32)
-    return model
+#: What a change of language costs, in normalised phrases.
+CHANGE = 35.0
 
 
 def smooth(costs: np.ndarray, main: int, change: float) -> list[int]:
@@ -119,7 +128,7 @@ def pays(gains: list[float], change: float) -> bool:
 Found = tuple[str | None, float, list[tuple[int, str, float]]]
 
 
-def languages_of(text: str | None, model: LanguageModel, by_line: bool, change: float = 25.0) -> Found:
+def languages_of(text: str | None, model: LanguageModel, by_line: bool, change: float = CHANGE) -> Found:
     """Language and confidence of a text, and (number, language, confidence) of the segments in another language.
 
     Segments are lines if ``by_line``, else paragraphs; a segment without a letter is none.
@@ -127,13 +136,12 @@ def languages_of(text: str | None, model: LanguageModel, by_line: bool, change:
     return languages_of_all([text], [by_line], model, change)[0]
 
 
-def languages_of_all(texts: list[str | None], by_line: list[bool], model: LanguageModel, change: float = 25.0) -> list[Found]:
+def languages_of_all(texts: list[str | None], by_line: list[bool], model: LanguageModel, change: float = CHANGE) -> list[Found]:
     """``languages_of`` for many texts at once."""
     result: list[Found] = [(None, 0.0, [])] * len(texts)
     owner: list[int] = []  # text of each unit that has tokens
     number: list[int] = []  # its number in the text
-    starts: list[int] = []
-    flat: list[str] = []
+    units: list[list[str]] = []
     raws: dict[int, list[str]] = {}
     for t, text in enumerate(texts):
         if not text:
@@ -146,11 +154,10 @@ def languages_of_all(texts: list[str | None], by_line: list[bool], model: Langua
             if tokens := u.split():
                 owner.append(t)
                 number.append(n)
-                starts.append(len(flat))
-                flat += tokens
-    if not flat:
+                units.append(tokens)
+    if not units:
         return result
-    sums = np.add.reduceat(model.costs(flat), np.array(starts), axis=0).astype(np.float64)
+    sums = model.costs(units)
     of = np.array(owner)
     first = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1])
     ends = np.concatenate([first[1:], [len(of)]])
@@ -179,31 +186,50 @@ def languages_of_all(texts: list[str | None], by_line: list[bool], model: Langua
     return result
 
 
-def train(spark: SparkSession, sf_dir: str, sample: int = SAMPLE) -> LanguageModel:
-    """Learns the automata on the driver from the word list and at most about ``sample`` labelled documents."""
+def running_text(docs: list[tuple[str, str]], own: dict[str, set[str]], size: int) -> dict[str, list[str]]:
+    """Of labelled documents (code, text) for each language the stretches of lines whose words are its own, nine in ten
+    at least, as words with single blanks; each stretch once, until there are ``size`` characters."""
+    texts: dict[str, list[str]] = defaultdict(list)
+    seen: set[tuple[str, str]] = set()
+    room = dict.fromkeys(own, size)
+    for code, text in docs:
+        stretch: list[str] = []
+        for line in [*clean(text).split("\n"), None]:
+            words = [w.lower() for w in WORD.findall(line or "")]
+            if len(words) > 2 and 10 * sum(w in own[code] for w in words) >= 9 * len(words) and (code, key := " ".join(words)) not in seen:
+                seen.add((code, key))
+                stretch += words
+            elif stretch and (line is None or words):
+                part = " ".join(stretch)[: room[code]]
+                texts[code] += [part] if part else []
+                room[code] -= len(part)
+                stretch = []
+    return texts
+
+
+def train(spark: SparkSession, sf_dir: str, sample: int = SAMPLE, size: int = SIZE) -> LanguageModel:
+    """Learns the automata on the driver from the word list and about ``sample`` labelled documents, chosen by a hash of
+    their numbers."""
     codes = {r[0] for r in table(spark, sf_dir, "languages", "code").collect()}
     listed: dict[str, set[str]] = defaultdict(set)
     for word, code in table(spark, sf_dir, "wordlist", "word", "lang").where("lang is not null and word is not null").collect():
         listed[code].add(word.lower())
-    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text").where(F.col("lang").isin(*sorted(codes or {""})) & (F.length("text") < 20_000))
-    rows = table(spark, sf_dir, "documents", "doc_id").count()
-    part = min(1.0, sample / max(rows, 1))
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).select("lang", "text").limit(2 * sample)
+    part = min(1.0, sample / max(table(spark, sf_dir, "documents", "doc_id").count(), 1))
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("luck"))
+    docs = docs.where(F.col("lang").isin(*sorted(codes or {""})) & F.col("text").isNotNull() & (F.col("luck") < int(part * (1 << 20)) + 1))
+    drawn = [(r["lang"], r["text"]) for r in docs.orderBy("luck", "doc_id").limit(2 * sample).collect()]
     seen: dict[str, Counter] = defaultdict(Counter)
-    size: Counter = Counter()
-    for code, text in drawn.collect():
-        size[code] += 1
+    count = Counter(code for code, _ in drawn)
+    for code, text in drawn:
         seen[code].update({w.lower() for w in WORD.findall(clean(text))})
     rate: dict[str, float] = defaultdict(float)
     for code, words in seen.items():
         for w, n in words.items():
-            rate[w] = max(rate[w], n / (size[code] + 10))
-    texts: dict[str, list[str]] = {}
-    for code in sorted(set(listed) | set(seen)):
-        own = {w for w, n in seen[code].items() if n >= 3 and n / (size[code] + 10) > 0.25 * rate[w]} if size[code] >= 30 else set()
-        if listed[code] or own:
-            texts[code] = sorted(listed[code] | own)
-    return LanguageModel(texts)
+            rate[w] = max(rate[w], n / (count[code] + 10))
+    own = {code: {w for w, n in words.items() if n >= 2 and n / (count[code] + 10) > 0.25 * rate[w]} | listed[code] for code, words in seen.items() if count[code] >= 30}
+    running = running_text([d for d in drawn if d[0] in own], own, size)
+    texts = {c: [*running.get(c, ()), *sorted(listed[c])] for c in sorted(set(listed) | set(running))}
+    return LanguageModel({c: t for c, t in texts.items() if t})
 
 
 SCHEMA = "tab string, rec_id long, seg int, code string, confidence double, bits int, lang string"

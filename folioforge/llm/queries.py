@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": repair.find_repairs,
         "p3_texts": repair.mended_texts,
         "p4_found": forms.unify_forms,
+        "p4_spellings": forms.spellings,
         "p5_found": kinds.find_kinds,
         "p5_statistics": kinds.text_kinds,
         "p6_pack": packing.pack_documents,

@@ -95,10 +95,12 @@ def test_automaton(texts, probe):
         i += max(1, a.longest(probe, i))
         parsed += 1
     assert a.phrases(probe) == parsed
+    other = automata.SuffixAutomaton(["bca"])
+    assert automata.CrossParser([a, other]).phrases([probe, "", probe[1:]], at_once=2).tolist() == [[x.phrases(t) for x in (a, other)] for t in (probe, "", probe[1:])]
 
 
 def test_languages_of_segments():
-    model = languages.LanguageModel({"eng": "the old mill stood near northern gate and was never seen again by anyone".split(), "deu": "die alte mühle stand nahe dem nördlichen tor und wurde nie wieder gesehen von".split()})
+    model = languages.LanguageModel({"eng": ["the old mill stood near the northern gate", "and was never seen again by anyone"], "deu": ["die alte mühle stand nahe dem nördlichen tor", "und wurde nie wieder gesehen von"]})
     eng, deu = "the old mill stood near the northern gate and was never seen again", "die alte mühle stand nahe dem nördlichen tor und wurde nie wieder gesehen"
     assert languages.languages_of(f"{eng}\n\n{eng}\n\n{deu}", model, False)[0::2] == ("eng", [(3, "deu", pytest.approx(1.0, abs=1e-3))])
     code, sure, parts = languages.languages_of(f"{eng}\n{deu}\n{deu}\n12\n{eng}\n{eng}\n{eng}", model, True)
@@ -122,8 +124,8 @@ def test_long_passage_of_short_lines():
     class Model:
         codes = ["rus", "ukr"]
 
-        def costs(self, tokens):
-            return np.array([[4, 10, 1] if t == "old" else [8, 5, 1] for t in tokens], float)
+        def costs(self, units):
+            return np.array([[sum(x) for x in zip(*([4, 10, 1] if t == "old" else [8, 5, 1] for t in u), strict=True)] for u in units], float)
 
         def best(self, total):
             return int(total.argmin()), 1.0
@@ -221,7 +223,8 @@ def test_repairs_on_page(spark, tmp_path):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("ｔｈｅ", "the"), ("été", "été"), ("a​b﻿", "ab"), ("a b　c", "a b c"), ("thе cаr", "the car"), ("Τhe", "The"), ("ﬁne", "fine"), ("eё село", "её село"), ("а big аѕ", "a big as"), ("tab\there\n", "tab\there\n"), ("", ""), (None, None), ("Москва и Тверь", "Москва и Тверь"), ("с поля", "с поля"), ("half — done • x", "half — done • x")],
+    [("ｔｈｅ", "the"), ("été", "été"), ("a​b﻿", "ab"), ("a b　c", "a b c"), ("thе cаr", "the car"), ("Τhe", "The"), ("ﬁne", "fine"), ("eё село", "её село"), ("а big аѕ", "a big as"), ("tab\there\n", "tab\there\n"), ("", ""), (None, None), ("Москва и Тверь", "Москва и Тверь"), ("с поля", "с поля"), ("half — done • x", "half — done • x"),
+     ("The word λόγος και τέλος", "The word λόγος και τέλος"), ("λόγoς καi τέλoς", "λόγος και τέλος"), ("ԁеаr һеllо ɡreat ԝay", "dear hello great way"), ("слово λόγος and the log, Ανθρωπος Boда", "слово λόγος and the log, Ανθρωπος Вода"), ("словο", "слово"), ("Τhе λοgоs", "The λogos")],
 )
 def test_clean(text, want):
     assert forms.clean(text) == want
@@ -238,6 +241,31 @@ def test_clean_is_stable(text):
     assert unicodedata.is_normalized("NFKC", once) or any(ord(c) > 0x36F for c in text)
 
 
+def test_lines_are_cleaned_like_texts():
+    texts = ["The old mill\nа big аѕ\n\nＡ", "Вдова\nc поля\nThe аge of λόγoς", "", "x\n", None, "λόγoς\na", "ok\u200b\ncafe\u0301"]
+    import pyarrow as pa
+
+    for t, (old, new, _) in zip(texts, forms.clean_lines(pa.array(texts)), strict=True):
+        assert "\n".join(old) == (t or "") and "\n".join(new) == (forms.clean(t) or "")
+    # A slice of a batch, as workers get them.
+    assert [x[1] for x in forms.clean_lines(pa.array(texts)[2:5])] == [x[1] for x in forms.clean_lines(pa.array(texts))[2:5]]
+
+
+def test_three_scripts_on_one_page(spark, tmp_path):
+    page = f"{ENGLISH}\nThe word λόγoς stands here\nВдова мельника прuшла c поля\nΗ αρχή καi το τέλος"
+    docs = [{"doc_id": i, "text": ENGLISH} for i in range(9)]
+    path = folder(spark, tmp_path, documents=docs, readings=[{"reading_id": 1, "full_text": page}], words=[{"word_id": 1, "reading_id": 1, "line": 1, "text": "λόγoς"}, {"word_id": 2, "reading_id": 1, "line": 2, "text": "c"}, {"word_id": 3, "reading_id": 1, "line": 3, "text": "καi"}])
+    got = {(r.tab, r.line_no, r.form) for r in run(spark, path, "p4_found").collect()}
+    assert got == {("readings", 2, "The word λόγος stands here"), ("readings", 3, "Вдова мельника прuшла с поля"), ("readings", 4, "Η αρχή και το τέλος"), ("words", 0, "λόγος"), ("words", 0, "с"), ("words", 0, "και")}
+
+
+def test_spellings(spark, tmp_path):
+    texts = ["Straße", "STRASSE", "ｓtraße", "mill", "mill", None, "", "сat", "cat"]
+    path = folder(spark, tmp_path, words=[{"word_id": i, "text": t} for i, t in enumerate(texts)] + [{"word_id": 0, "text": "Straße"}])
+    got = {(r.key, r.n_words, r.n_texts, r.most_common) for r in run(spark, path, "p4_spellings").collect()}
+    assert got == {("strasse", 3, 3, "STRASSE"), ("cat", 2, 2, "cat")}
+
+
 def test_words_take_the_script_of_their_page(spark, tmp_path):
     reads = [{"reading_id": 1, "full_text": "Вдова мельника пришла в село"}, {"reading_id": 2, "full_text": "The old mill and the parish clerk"}]
     words = [{"word_id": 1, "reading_id": 1, "text": "c"}, {"word_id": 2, "reading_id": 2, "text": "а"}, {"word_id": 3, "reading_id": 2, "text": "a"}, {"word_id": 4, "reading_id": 9, "text": "ｏｆ"}]
