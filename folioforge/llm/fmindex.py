@@ -115,8 +115,8 @@ class FMIndex:
 def shared_stretches(texts: list[str], owners: list[int], many: list[bool], cores: list[tuple[int, int]], least: int) -> list[list[tuple[int, int]]]:
     """For each text its stretches of at least ``least`` characters around its core that texts of other owners hold too.
 
-    A core (start, end) is a part that is known to be what texts have in common.  A text with several owners is shared
-    as a whole.  The others are streamed against the index: backward search on the texts and on their mirror image
+    A core (start, end) is a part that is known to be what texts have in common; ``many`` says that a text has several
+    owners by itself.  Every text is streamed against the index: backward search on the texts and on their mirror image
     bounds the stretch around the core, then matching statistics from its end report the intervals.
     """
     whole = "\0".join(texts) + "\0"
@@ -134,10 +134,8 @@ def shared_stretches(texts: list[str], owners: list[int], many: list[bool], core
     # The mirror image: each text reversed, again ended by 0.
     mirror = np.concatenate([codes[: n - 1][::-1], [0]])
     turned = FMIndex(mirror, np.concatenate([owner[: n - 1][::-1], owner[-1:]]), np.concatenate([several[: n - 1][::-1], several[-1:]]))
-    result: list[list[tuple[int, int]]] = [[(0, len(t))] if m and len(t) >= least else [] for t, m in zip(texts, many, strict=True)]
-    ask = np.array([i for i, m in enumerate(many) if not m], np.int64)
-    if not len(ask):
-        return result
+    result: list[list[tuple[int, int]]] = [[] for _ in texts]
+    ask = np.arange(len(texts))
     core = np.array(cores, np.int64)[ask]
     left_end, right_start = starts[ask] + core[:, 1], starts[ask] + core[:, 0]
     low = index.backward(codes, left_end, starts[ask])

@@ -28,6 +28,7 @@ from folioforge.llm.boosting import Boosted
 from folioforge.llm.forms import clean, is_clean
 from folioforge.llm.furniture import NUMBER, ROMAN, SHEET, TITLE, VOLUME
 from folioforge.llm.kinds import fit_kinds, kind_bits, kinds_of, records
+from folioforge.llm.skew import spread_join
 from folioforge.session import checkpointed, table
 
 MARKS = "-¬="
@@ -564,20 +565,6 @@ class Repairer:
         self.found = found.select(*columns).unionAll(rows.where("kind = 'furniture'").withColumn("fixed", F.lit("")).select(*columns))
 
 
-#: A key is frequent if it holds more than this part of the rows; so at most as many keys as its inverse are.
-FREQUENT = 0.001
-
-
-def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join of many rows with facts, one a key at most.  The facts of frequent keys, at most 1 / FREQUENT of them,
-    go to the rows; only the rows of the other keys are shuffled, so no key makes a task large."""
-    least = max(1.0, rows.count() * FREQUENT)
-    often = rows.groupBy(*keys).count().where(F.col("count") > least).select(*keys)
-    often = checkpointed(often.join(facts, keys, "left"))
-    rest = rows.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(facts, keys, "left")
-    return rows.join(F.broadcast(often), keys).unionByName(rest)
-
-
 def stray_words(spark: SparkSession, sf_dir: str, record: DataFrame) -> DataFrame:
     """(word_id, text, lang) of the words in prose whose text is no token of their reading's text."""
     words = table(spark, sf_dir, "words", "word_id", "reading_id", F.col("word_seq").alias("place"), "text").where("text <> ''")

@@ -3,13 +3,18 @@
 Anchors are chosen by the content of the text alone (the least of the hashes of LEAST - CORE + 1 successive stretches of CORE
 characters), so every span of LEAST characters that two documents share holds the same anchor in both.  Around each
 anchor that different texts have, a window is cut that holds every span of LEAST characters around it.  Windows are
-spread over shards by their anchor; each shard has an FM-index of its distinct windows, through which the windows that
-only one text has are streamed.  So no document meets documents that it shares nothing with, and the work grows with
-what is shared.
-
-Null texts have no row.  Exact copies share all of their text, if long enough, and their windows are the same windows.
-Repeated rows of one doc_id are one document.  An anchor that very many different windows surround (``hot``) is handled
-without an index: the hashes of all its stretches of LEAST characters are grouped, which gives the same spans.
+spread over shards by their anchor; each shard has an FM-index of its distinct windows, and every one of them is streamed
+against it by backward search.  So no document meets documents that it shares nothing with, and the work grows with what
+is shared.
+
+An anchor with more different windows than a group may have (``group``) is parted by what stands around it: of two
+windows that share LEAST characters one of the EIGHTHS of the characters beside the anchor is the same.  Where even that
+leaves more in a group, what they have in common is all but a span already; their spans of LEAST characters are then
+counted by their hashes, which gives the same result.
+
+Exact copies are one text: they share all of it, if it is long enough, and what the text shares with others.  Null texts
+and texts of less than LEAST characters have no row.  Repeated rows of one doc_id are one document.  Documents are read
+twice, for their anchors and for the windows of those that share some.
 """
 
 from __future__ import annotations
@@ -24,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm.fmindex import shared_stretches
-from folioforge.session import checkpointed, table
+from folioforge.llm.skew import spread_join
+from folioforge.session import checkpointed, stored, table
 
 LEAST = 200
 CORE = 120
 REACH = LEAST - CORE  # how far a span of LEAST characters reaches beyond an anchor in it
+EIGHTHS = 8  # ways to part the characters beside an anchor to its left and right, where many windows have it
 PIECE = 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MANY: dict[str, np.ndarray] = {}
@@ -103,61 +110,93 @@ def _pieces(ids: list[int], texts: list[str]) -> Iterator[tuple[list[int], list[
         yield rows, offsets, parts
 
 
-_ANCHORS = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("place", pa.int32()), ("anchor", pa.int64())])
+_ANCHORS = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("anchor", pa.int64())])
+ANCHORS = "doc_id long, cls long, size int, place int, anchor long"
+
+
+def _hash64(*parts: str) -> int:
+    h = hashlib.blake2b(digest_size=8)
+    for p in parts:
+        h.update(p.encode("utf-8", "surrogatepass"))
+    return int.from_bytes(h.digest(), "big", signed=True)
 
 
 def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each document the hash and size of its text, and its anchors."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         long = [i for i, t in enumerate(texts) if t is not None and len(t) >= LEAST]
-        cls = {i: int.from_bytes(hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for i in long}
+        cls, size = {i: _hash64(texts[i]) for i in long}, {i: len(texts[i]) for i in long}
         for rows, offsets, parts in _pieces(long, [texts[i] for i in long]):
             text, place, h = anchors(parts)
             row = np.array(rows)[text] if len(text) else np.zeros(0, np.int64)
             place = place + np.array(offsets)[text] if len(text) else place
             # Overlaps of pieces may name an anchor twice; that changes nothing but work.
+            of = row.tolist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(ids, np.int64)[row]), pa.array([cls[i] for i in row.tolist()], pa.int64()), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64))], schema=_ANCHORS
+                [pa.array(np.array(ids, np.int64)[row]), pa.array([cls[i] for i in of], pa.int64()), pa.array([size[i] for i in of], pa.int32()), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64))], schema=_ANCHORS
             )
 
 
-_WINDOWS = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("anchor", pa.int64()), ("start", pa.int32()), ("core", pa.int32()), ("window", pa.string())])
-WINDOWS = "doc_id long, cls long, anchor long, start int, core int, window string"
+_WINDOWS = pa.schema([("cls", pa.int64()), ("size", pa.int32()), ("anchor", pa.int64()), ("start", pa.int32()), ("core", pa.int32()), ("window", pa.string()), ("id", pa.binary())])
+WINDOWS = "cls long, size int, anchor long, start int, core int, window string, id binary"
 
 
 def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (text, cls, size, found): the window around each anchor, with a number of 128 bits for its content."""
     for batch in batches:
         out = []
-        for doc, text, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            for f in found:
+        for text, cls, size, found in zip(*(batch.column(n).to_pylist() for n in ("text", "cls", "size", "found")), strict=True):
+            for f in found if size == len(text) and cls == _hash64(text) else ():
                 a = max(0, f["place"] - REACH)
-                out.append((doc, f["cls"], f["anchor"], a, f["place"] - a, text[a : f["place"] + CORE + REACH]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 6, _WINDOWS, strict=True)], schema=_WINDOWS)
+                window = text[a : f["place"] + CORE + REACH]
+                number = hashlib.blake2b(f"{f['anchor']} {f['place'] - a} {window}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                out.append((cls, size, f["anchor"], a, f["place"] - a, window, number))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 7, _WINDOWS, strict=True)], schema=_WINDOWS)
 
 
 def _search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Stretches of the windows of one shard, from the shard's FM-index."""
-    pdf = pd.concat([*batches, pd.DataFrame(columns=["anchor", "window", "core", "low", "high"])])
+    pdf = pd.concat([*batches, pd.DataFrame(columns=["key", "id", "window", "core", "low", "high"])])
     if not len(pdf):
         return
     owners = pd.factorize(pdf["low"])[0]
     many = (pdf["low"] != pdf["high"]).tolist()
     cores = [(c, c + CORE) for c in pdf["core"]]
     found = shared_stretches(pdf["window"].tolist(), owners.tolist(), many, cores, LEAST)
-    rows = [(a, w, c, s, e) for a, w, c, spans in zip(pdf["anchor"], pdf["window"], pdf["core"], found, strict=True) for s, e in spans]
-    yield pd.DataFrame(rows, columns=["anchor", "window", "core", "s", "e"])
+    rows = [(i, s, e) for i, spans in zip(pdf["id"], found, strict=True) for s, e in spans]
+    yield pd.DataFrame(rows, columns=["id", "s", "e"])
+
+
+_PARTS = pa.schema([("key", pa.int64()), ("id", pa.binary()), ("window", pa.string()), ("core", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
+
+
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A window (anchor, id, window, core, low, high) for each way to part the characters beside its anchor.
+
+    If two windows share LEAST characters around the anchor, a of them to its left, they have the anchor with the
+    step * k characters before it and the REACH - step * (k + 1) after it in common, for the k that a falls in.
+    """
+    step = REACH // EIGHTHS
+    for batch in batches:
+        out = []
+        for anchor, number, window, core, low, high in zip(*(batch.column(n).to_pylist() for n in ("anchor", "id", "window", "core", "low", "high")), strict=True):
+            for k in range(EIGHTHS):
+                a, b = core - step * k, core + CORE + REACH - step * (k + 1)
+                if a >= 0 and b <= len(window):
+                    out.append((_hash64(f"{anchor} {k} ", window[a:b]), number, window, core, low, high))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 6, _PARTS, strict=True)], schema=_PARTS)
 
 
 def _grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, window, core, cls, s, gram) for each stretch of LEAST characters of a window around its core."""
+    """(id, low, high, s, gram) for each stretch of LEAST characters of a window."""
     for batch in batches:
         out = []
-        for anchor, window, core, low, high in zip(*(batch.column(n).to_pylist() for n in ("anchor", "window", "core", "low", "high")), strict=True):
-            for s in range(0, len(window) - LEAST + 1):
-                gram = hashlib.blake2b(window[s : s + LEAST].encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                out.append((anchor, window, core, low, high, s, gram))
-        schema = pa.schema([("anchor", pa.int64()), ("window", pa.string()), ("core", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("s", pa.int32()), ("gram", pa.binary())])
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 7, schema, strict=True)], schema=schema)
+        for number, window, low, high in zip(*(batch.column(n).to_pylist() for n in ("id", "window", "low", "high")), strict=True):
+            coded = window.encode("utf-32-le", "surrogatepass")
+            out += [(number, low, high, s, hashlib.blake2b(coded[4 * s : 4 * (s + LEAST)], digest_size=16).digest()) for s in range(len(window) - LEAST + 1)]
+        schema = pa.schema([("id", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("s", pa.int32()), ("gram", pa.binary())])
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 5, schema, strict=True)], schema=schema)
 
 
 def covered(spans: object) -> object:
@@ -169,31 +208,57 @@ def covered(spans: object) -> object:
     return F.aggregate(F.array_sort(spans), zero, add, lambda acc: acc["sum"])
 
 
-def shared_spans(spark: SparkSession, sf_dir: str, hot: int = 20_000, shard_chars: int = 1_000_000) -> DataFrame:
-    """(doc_id, start, end) of the stretches of documents.text that stand in another document too, overlaps not merged."""
+def window_spans(distinct: DataFrame, group: int, shard_chars: int) -> DataFrame:
+    """(id, s, e): the stretches of distinct windows (anchor, id, window, core, low, high) that other owners have too."""
+    sizes = distinct.groupBy("anchor").agg(F.count("*").alias("count"))
+    crowded = checkpointed(sizes.where(F.col("count") > group).select("anchor"))
+    columns = ["key", "id", "window", "core", "low", "high"]
+    routed, counted = distinct.join(crowded, "anchor", "left_anti").withColumnRenamed("anchor", "key").select(*columns), None
+    if not crowded.isEmpty():
+        parts = stored(distinct.join(crowded, "anchor", "left_semi").mapInArrow(_parts, "key long, id binary, window string, core int, low long, high long"))
+        full = checkpointed(parts.groupBy("key").agg(F.count("*").alias("count")).where(F.col("count") > group).select("key"))
+        routed = routed.unionAll(spread_join(parts, full.withColumn("full", F.lit(True)), ["key"]).where("full is null").select(*columns))
+        if not full.isEmpty():
+            left = spread_join(parts, full.withColumn("full", F.lit(True)), ["key"], "inner").select("id").distinct()
+            grams = stored(distinct.join(left, "id", "left_semi").mapInArrow(_grams, "id binary, low long, high long, s int, gram binary"))
+            # Owners are combined before the shuffle, so a stretch of very many windows is a row a task.
+            several = grams.groupBy("gram").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("gram")
+            counted = spread_join(grams, several, ["gram"], "inner").select("id", "s", (F.col("s") + LEAST).alias("e"))
+    chars = routed.agg(F.sum(F.length("window")).alias("n")).first()["n"] or 0
+    shards = max(1, int(chars // shard_chars) + 1)
+    found = routed.repartition(shards, "key").mapInPandas(_search, "id binary, s int, e int")
+    return found if counted is None else found.unionAll(counted)
+
+
+def class_spans(spark: SparkSession, sf_dir: str, group: int = 20_000, shard_chars: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """The documents as (doc_id, cls, size), and for each text (cls, size) that shares anything its spans."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text").where(F.length("text") >= LEAST)
-    # Computed twice, as that costs less than keeping all anchors on disk.
-    found = docs.mapInArrow(_anchor_rows, "doc_id long, cls long, place int, anchor long")
+    found = stored(docs.mapInArrow(_anchor_rows, ANCHORS))
+    each = checkpointed(found.groupBy("doc_id", "cls", "size").agg(F.lit(1).alias("one")).drop("one"))
+    texts = each.groupBy("cls", "size").agg(F.min("doc_id").alias("doc_id"), (F.min("doc_id") < F.max("doc_id")).alias("copied"))
     # Both aggregates are combined before the shuffle, so an anchor of very many documents is no more than a row a task.
     common = found.groupBy("anchor").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("anchor")
-    mine = found.join(common, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "cls", "place")).alias("found"))
-    windows = checkpointed(docs.join(mine, "doc_id").select("doc_id", "text", "found").mapInArrow(_windows, WINDOWS))
-    distinct = checkpointed(windows.groupBy("anchor", "window", "core").agg(F.min("cls").alias("low"), F.max("cls").alias("high")))
-    stats = distinct.agg(F.sum(F.length("window")).alias("chars")).first()
-    shards = max(1, int((stats["chars"] or 0) // shard_chars) + 1)
-    crowded = distinct.groupBy("anchor").count().where(F.col("count") > hot).select("anchor")
-    usual = distinct.join(crowded, "anchor", "left_anti")
-    spans = usual.repartition(shards, "anchor").mapInPandas(_search, "anchor long, window string, core int, s int, e int")
-    grams = distinct.join(crowded, "anchor", "left_semi").mapInArrow(_grams, "anchor long, window string, core int, low long, high long, s int, gram binary")
-    several = grams.groupBy("gram").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("gram")
-    spans = spans.unionAll(grams.join(several, "gram").select("anchor", "window", "core", "s", (F.col("s") + LEAST).alias("e")))
-    parts = windows.join(spans, ["anchor", "window", "core"]).select("doc_id", (F.col("start") + F.col("s")).alias("start"), (F.col("start") + F.col("e")).alias("end"))
-    copies = docs.select("doc_id", F.sha2("text", 256).alias("cls"), F.length("text").alias("n")).distinct()
-    same = copies.groupBy("cls").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("cls")
-    return parts.unionAll(copies.join(same, "cls").select("doc_id", F.lit(0), "n"))
-
-
-def find_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = spread_join(found.select("anchor", "doc_id", "cls", "size", "place"), common, ["anchor"], "inner")
+    mine = shared.join(texts.select("doc_id", "cls", "size"), ["doc_id", "cls", "size"], "left_semi").groupBy("doc_id", "cls", "size").agg(F.collect_list(F.struct("anchor", "place")).alias("found"))
+    windows = stored(docs.join(mine, "doc_id").select("text", "cls", "size", "found").mapInArrow(_windows, WINDOWS))
+    distinct = stored(windows.groupBy("anchor", "id", "core").agg(F.any_value("window").alias("window"), F.min("cls").alias("low"), F.max("cls").alias("high")))
+    # At most one stretch for each end in a window.
+    spans = stored(window_spans(distinct, group, shard_chars).groupBy("id").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    placed = spread_join(windows.select("id", "cls", "size", "start"), spans, ["id"], "inner")
+    at = F.transform("spans", lambda x: F.struct((F.col("start") + x["s"]).alias("start"), (F.col("start") + x["e"]).alias("end")))
+    whole = texts.where("copied").select("cls", "size", F.struct(F.lit(0).alias("start"), F.col("size").alias("end")).alias("span"))
+    every = placed.select("cls", "size", F.explode(at).alias("span")).unionAll(whole)
+    return each, every.groupBy("cls", "size").agg(F.collect_set("span").alias("spans"))
+
+
+def shared_spans(spark: SparkSession, sf_dir: str, group: int = 20_000, shard_chars: int = 1_000_000) -> DataFrame:
+    """(doc_id, start, end) of the stretches of documents.text that stand in another document too, overlaps not merged."""
+    each, spans = class_spans(spark, sf_dir, group, shard_chars)
+    return spread_join(each, spans, ["cls", "size"], "inner").select("doc_id", F.inline("spans"))
+
+
+def find_shared(spark: SparkSession, sf_dir: str, group: int = 20_000, shard_chars: int = 1_000_000) -> DataFrame:
     """(doc_id, shared_chars): code points of each document in spans of LEAST or more that another document has."""
-    each = shared_spans(spark, sf_dir).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return each.select("doc_id", covered(F.col("spans")).cast("int").alias("shared_chars")).where("shared_chars > 0")
+    each, spans = class_spans(spark, sf_dir, group, shard_chars)
+    sums = spans.select("cls", "size", covered(F.col("spans")).cast("int").alias("shared_chars")).where("shared_chars > 0")
+    return spread_join(each, sums, ["cls", "size"], "inner").select("doc_id", "shared_chars").groupBy("doc_id").agg(F.max("shared_chars").alias("shared_chars"))

@@ -404,18 +404,29 @@ def planted(seed, n=14):
     return docs
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("hot", [1, 20_000])
-def test_shared_spans(spark, tmp_path, seed, hot):
+@pytest.mark.parametrize(("seed", "group"), [(1, 20_000), (2, 20_000), (3, 20_000), (1, 1), (2, 1), (3, 2)])
+def test_shared_spans(spark, tmp_path, seed, group):
     docs = planted(seed)
     path = folder(spark, tmp_path, documents=[{"doc_id": i, "text": t} for i, t in enumerate(docs)] + [{"doc_id": 99}])
-    found = spans.shared_spans(spark, path, hot=hot, shard_chars=3000).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("s"))
+    found = spans.shared_spans(spark, path, group, shard_chars=3000).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("s"))
     got = {r.doc_id: r.n for r in found.select("doc_id", spans.covered(F.col("s")).alias("n")).collect()}
     assert got == {i: n for i, n in enumerate(brute_shared(docs, spans.LEAST)) if n}
-    if hot > 1:
+    if group > 1:
         assert {r.doc_id: r.shared_chars for r in spans.find_shared(spark, path).collect()} == got
 
 
+def test_a_passage_of_very_many_documents(spark, tmp_path):
+    # One passage in 150 documents, each with other text around it, some of that alike in a few of them.
+    rng = random.Random(9)
+    text = lambda k: "".join(rng.choice("abcdefghij klmno") for _ in range(k))
+    passage, heads, tails = text(330), [text(70) for _ in range(12)], [text(70) for _ in range(12)]
+    docs = [text(90) + rng.choice(heads)[rng.randrange(70) :] + passage + rng.choice(tails)[: rng.randrange(70)] + text(90) for _ in range(150)]
+    path = folder(spark, tmp_path, documents=[{"doc_id": i, "text": t} for i, t in enumerate(docs)])
+    want = {i: n for i, n in enumerate(brute_shared(docs, spans.LEAST)) if n}
+    for group in (20_000, 40):
+        assert {r.doc_id: r.shared_chars for r in spans.find_shared(spark, path, group, 20_000).collect()} == want
+
+
 def test_anchors_of_pieces_are_those_of_the_whole(monkeypatch):
     rng = random.Random(5)
     text = "".join(rng.choice("abcdefghij") for _ in range(5000))
