@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (
-    "operators.words", "operators.compare", "operators.layout", "operators.flow", "operators.repairs", "operators.regions", "operators.images", "plans.selection", "plans.routing", "sources.scans", "sources.files",
+    "operators.words", "operators.compare", "operators.layout", "operators.flow", "operators.repairs", "operators.regions", "operators.images", "plans.selection", "plans.routing", "plans.planning", "sources.scans", "sources.files",
 )
 
 
