@@ -82,25 +82,49 @@ def load_words(spark: SparkSession, sf_dir: str) -> Words:
 # ------------------------------------------------------------------------------------------------ furniture
 
 
+class Looks(dict):
+    """What each distinct token adds to the look of its line, packed into one number and worked out once.
+
+    From the lowest bits, WIDTH bits each: letters, capitals, digits, words in small letters, numbers, words that no title
+    has.
+    """
+
+    WIDTH = 24
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 300_000:  # bounds the memory; tokens are simply worked out again
+            self.clear()
+        bare = w.strip(AROUND)
+        facts = (
+            *(sum(map(test, w)) for test in (str.isalpha, str.isupper, str.isdigit)),
+            len(bare) > 1 and bare[0].islower() and bool(bare.strip("ivxlc")), bool(NUMBER.match(w)), w[0].isalpha() and not w[0].isupper(),
+        )
+        found = self[w] = sum(int(n) << self.WIDTH * k for k, n in enumerate(facts))
+        return found
+
+
+_looks = Looks()
+
+
 @lru_cache(1 << 16)
 def _own_features(s: str) -> tuple:
-    """What a line shows by itself, and whether it begins small and ends with a mark of a broken word."""
-    letters, capitals, numbers = (sum(map(test, s)) for test in (str.isalpha, str.isupper, str.isdigit))
+    """What a line shows by itself."""
     words = s.split()
-    title = len(words) > 1 and all(w[:1].isupper() or not w[:1].isalpha() for w in words)
-    look = (
-        bool(NUMBER.match(s)), bool(ROMAN.match(s)) and s.islower(), bool(SHEET.match(s)), bool(VOLUME.match(s)), bool(TITLE.match(s)) and letters > 3,
-        capitals / letters if letters else 0.0, numbers / len(s) if s else 0.0, min(len(s), 80), min(len(words), 20), title, s[-1:] in ".!?;,:", "." in s[:-1] and not title, s == s.upper(),
-        min(9, sum(1 for w in words if len(b := w.strip(AROUND)) > 1 and b[0].islower() and b.strip("ivxlc"))), min(9, sum(NUMBER.match(w) is not None for w in words)),
-        "\t" in s or "|" in s or "  " in s,
+    packed = sum(map(_looks.__getitem__, words))
+    letters, capitals, digits, small, numbers, untitled = (packed >> Looks.WIDTH * k & (1 << Looks.WIDTH) - 1 for k in range(6))
+    title = len(words) > 1 and not untitled
+    # The patterns are only tried on lines that have few enough letters for them, or capitals enough.
+    return (
+        letters < 9 and bool(NUMBER.match(s)), letters < 10 and s.islower() and bool(ROMAN.match(s)), len(s) < 5 and bool(SHEET.match(s)), len(s) < 72 and bool(VOLUME.match(s)),
+        letters > 3 and 2 * capitals >= letters and bool(TITLE.match(s)), capitals / letters if letters else 0.0, digits / len(s) if s else 0.0, min(len(s), 80), min(len(words), 20), title,
+        s[-1:] in ".!?;:,", "." in s[:-1] and not title, s == s.upper(), min(9, small), min(9, numbers), "\t" in s or "|" in s or "  " in s,
     )
-    return look, s[:1].islower(), s[-1:] in MARKS
 
 
 def line_features(lines: list[str], i: int) -> tuple:
     """What line ``i`` and its neighbours show of its being page furniture."""
     before, after = lines[i - 1].strip() if i else "", lines[i + 1].strip() if i + 1 < len(lines) else ""
-    return (*_own_features(lines[i].strip())[0], not before, not after, before[-1:] in MARKS or after[:1].islower(), i == 0, i == len(lines) - 1)
+    return (*_own_features(lines[i].strip()), not before, not after, before[-1:] in MARKS or after[:1].islower(), i == 0, i == len(lines) - 1)
 
 
 def recurring_titles(pages: list[str], least: int = 3) -> list[str]:
