@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.functions import geometry as G
 from folioforge.functions import text as T
 from folioforge.operators.words import SP, R, W, readings, words
 from folioforge.session import table
 
-#: Height of the bands that word boxes are joined by; only speed depends on it.
+#: Height of the bands that the SQL joins boxes by; only its speed depends on it.
 BAND = 0.02
 
 
@@ -28,6 +28,13 @@ def usable_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(e, "engine_name").select("page_id", "engine_name", "run_order", "r.reading_id", T.squeeze(F.coalesce("r.full_text", F.lit(""))).alias("text"))
 
 
+def usable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``usable_texts`` without the texts: (page_id, engine_name, run_order, reading_id)."""
+    r = readings(spark, sf_dir, "page_id", "engine_name", "skipped", "error").where("not skipped and error is null")
+    e = F.broadcast(table(spark, sf_dir, "engines", "engine_name", "run_order"))  # a fixed table
+    return r.groupBy("page_id", "engine_name").agg(F.max("reading_id").alias("reading_id")).join(e, "engine_name")
+
+
 def page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pair of engines on each page both read, in run order: as many rows as pages and pairs of engines."""
     # A number of partitions of its own: by their few bytes the pages would be put into few tasks, for all their work.
@@ -108,29 +115,52 @@ def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.mapInArrow(_python_scores, "page_id long, engine_a string, engine_b string, cer double, wer double, agreement double")
 
 
+def boxes_iou(a: np.ndarray, b: np.ndarray) -> float:
+    """Mean best overlap of the boxes (rows of x, y, w, h) of two readings, averaged over both directions.
+
+    1 where neither has a box, 0 where only one has.  Boxes are compared where their heights meet, found by their order.
+    """
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    a, b = a[np.argsort(a[:, 1], kind="stable")], b[np.argsort(b[:, 1], kind="stable")]
+    tallest = b[:, 3].max()
+    first, last = np.searchsorted(b[:, 1], a[:, 1] - tallest, "left"), np.searchsorted(b[:, 1], a[:, 1] + a[:, 3], "right")
+    n = np.maximum(last - first, 0)
+    i = np.repeat(np.arange(len(a)), n)
+    j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    over = lambda k: np.minimum(a[i, k] + a[i, k + 2], b[j, k] + b[j, k + 2]) - np.maximum(a[i, k], b[j, k])
+    inter = np.maximum(over(0), 0) * np.maximum(over(1), 0)
+    union = a[i, 2] * a[i, 3] + b[j, 2] * b[j, 3] - inter
+    iou = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
+    best_a, best_b = np.zeros(len(a)), np.zeros(len(b))
+    np.maximum.at(best_a, i, iou)
+    np.maximum.at(best_b, j, iou)
+    return float((best_a.mean() + best_b.mean()) / 2)
+
+
+def _page_iou(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pages, first, second, scores = [], [], [], []
+        for page, read in zip(batch.column("page_id").to_pylist(), batch.column("r").to_pylist(), strict=True):
+            boxes = [np.array([[v[k] or 0.0 for k in "xywh"] for v in x["boxes"] or ()]).reshape(-1, 4) for x in read]
+            for i, a in enumerate(read):
+                for k in range(i + 1, len(read)):
+                    pages.append(page)
+                    first.append(a["engine_name"])
+                    second.append(read[k]["engine_name"])
+                    scores.append(boxes_iou(boxes[i], boxes[k]))
+        yield pa.RecordBatch.from_pydict({"page_id": pa.array(pages, pa.int64()), "engine_a": pa.array(first, pa.string()), "engine_b": pa.array(second, pa.string()), "bbox_iou": pa.array(scores, pa.float64())})
+
+
 def page_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean best-match overlap of word boxes of each pair of engines on each page, averaged over both directions.
 
-    Boxes meet only where they share a band of the page, each pair once, in the first band both are in.
+    A reading's boxes are gathered once, a page's readings in one row: bounded by what is printed on a page.
     """
-    u = usable_texts(spark, sf_dir).select("reading_id", "page_id", "engine_name", "run_order")
-    w = words(spark, sf_dir, "word_id", "reading_id", "bbox").join(u, "reading_id")
-    counts = w.groupBy("reading_id").agg(F.count("*").alias("n"))
-    first, last = F.floor(F.col("bbox.y") / BAND), F.floor((F.col("bbox.y") + F.col("bbox.h")) / BAND)
-    banded = w.withColumn("first", first).withColumn("band", F.explode(F.sequence(first, F.greatest(first, last))))
-    a = banded.select("page_id", "band", *[F.col(c).alias(f"a_{c}") for c in ("word_id", "reading_id", "run_order", "bbox", "first")])
-    b = banded.select("page_id", "band", *[F.col(c).alias(f"b_{c}") for c in ("word_id", "reading_id", "run_order", "bbox", "first")])
-    meet = a.join(b, ["page_id", "band"]).where("a_run_order < b_run_order and band = greatest(a_first, b_first) and a_bbox.x < b_bbox.x + b_bbox.w and b_bbox.x < a_bbox.x + a_bbox.w")
-    meet = meet.select("a_reading_id", "b_reading_id", "a_word_id", "b_word_id", G.iou(F.col("a_bbox"), F.col("b_bbox")).alias("iou"))
-    best_a = meet.groupBy("a_reading_id", "b_reading_id", "a_word_id").agg(F.max("iou").alias("m")).groupBy("a_reading_id", "b_reading_id").agg(F.sum("m").alias("sa"))
-    best_b = meet.groupBy("a_reading_id", "b_reading_id", "b_word_id").agg(F.max("iou").alias("m")).groupBy("a_reading_id", "b_reading_id").agg(F.sum("m").alias("sb"))
-    x = u.join(counts, "reading_id", "left").fillna(0, ["n"])
-    per = x.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("run_order", "engine_name", "reading_id", "n"))).alias("r"))
-    pairs = F.flatten(F.transform("r", lambda p: F.transform(F.filter("r", lambda q: q["run_order"] > p["run_order"]), lambda q: F.struct(p.alias("a"), q.alias("b")))))
-    p = per.select("page_id", F.explode(pairs).alias("p")).select("page_id", F.col("p.a.reading_id").alias("a_reading_id"), F.col("p.b.reading_id").alias("b_reading_id"), F.col("p.a.engine_name").alias("engine_a"), F.col("p.b.engine_name").alias("engine_b"), F.col("p.a.n").alias("na"), F.col("p.b.n").alias("nb"))
-    p = p.join(best_a, ["a_reading_id", "b_reading_id"], "left").join(best_b, ["a_reading_id", "b_reading_id"], "left").fillna(0.0, ["sa", "sb"])
-    value = F.when((F.col("na") == 0) & (F.col("nb") == 0), 1.0).when((F.col("na") == 0) | (F.col("nb") == 0), 0.0).otherwise((F.col("sa") / F.col("na") + F.col("sb") / F.col("nb")) / 2)
-    return p.select("page_id", "engine_a", "engine_b", F.round(value, 6).alias("bbox_iou"))
+    boxes = words(spark, sf_dir, "reading_id", "bbox").groupBy("reading_id").agg(F.collect_list("bbox").alias("boxes"))
+    per = usable_ids(spark, sf_dir).join(boxes, "reading_id", "left").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("run_order", "engine_name", "reading_id", "boxes"))).alias("r"))
+    found = per.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id").mapInArrow(_page_iou, "page_id long, engine_a string, engine_b string, bbox_iou double")
+    return found.withColumn("bbox_iou", F.round("bbox_iou", 6))
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,8 +202,11 @@ def rank_engines_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of the ranking; with one engine that engine, without any no row."""
-    return rank_engines(spark, sf_dir).where("rank = 1").select("engine_name")
+    """The first of the ranking; where fewer than two engines read a page, the first that did; no row without any."""
+    first = rank_engines_full(spark, sf_dir).where("rank = 1").select(F.lit(0).alias("k"), "engine_name", F.lit(0).alias("run_order"))
+    e = F.broadcast(table(spark, sf_dir, "engines", "engine_name", "run_order"))  # a fixed table
+    read = usable_ids(spark, sf_dir).select("engine_name").distinct().join(e, "engine_name").select(F.lit(1).alias("k"), "engine_name", "run_order")
+    return first.unionAll(read).orderBy("k", "run_order").limit(1).select("engine_name")
 
 
 _TEXTS = f"""

@@ -127,13 +127,20 @@ def paragraph_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("reading_id", F.col("number").cast("long").alias("paragraph"), "n_lines", joined.alias("text"))
 
 
-def word_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Font size and top of each word: its line's size, from the median of sizes that span the boxes, squeezed only
-    where the word would run into the next; the top centres it on its line."""
-    p = table(spark, sf_dir, "page_images", "page_id", F.coalesce("width_pt", F.col("width_px") * 72.0 / F.col("dpi")).alias("pw"), F.col("height_pt").alias("ph"))
-    # Python forgets how rows are spread, so widths are worked out before the windows: one exchange less.
-    w = with_lines(spark, sf_dir, "page_id", T.width_em(F.col("text")).alias("em")).where("text is not null").join(p, "page_id")
-    line = Window.partitionBy("reading_id", "line")
+def page_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(reading_id, pw, ph): the size of each reading's page in points, from its pixels where it is missing."""
+    p = table(spark, sf_dir, "page_images", "page_id", F.coalesce("width_pt", F.col("width_px") * 72.0 / F.col("dpi")).alias("pw"), F.coalesce("height_pt", F.col("height_px") * 72.0 / F.col("dpi")).alias("ph"))
+    return table(spark, sf_dir, "readings", "reading_id", "page_id").dropDuplicates(["reading_id"]).join(p, "page_id").select("reading_id", "pw", "ph")
+
+
+def styled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words with the size of their page, and font_size_pt, top and is_last where all words of their reading have a line.
+
+    Words are exchanged once, by reading; all windows are within a reading.
+    """
+    w = words(spark, sf_dir, "reading_id", "word_id", "word_seq", "text", "bbox", "confidence", "block", "par", "line").join(page_points(spark, sf_dir), "reading_id")
+    w = w.withColumn("em", T.width_em(F.col("text"))).withColumn("whole", F.bool_and(F.col("line").isNotNull()).over(Window.partitionBy("reading_id")) & F.col("text").isNotNull())
+    line = Window.partitionBy("reading_id", "line", "whole")
     along = line.orderBy(F.col("bbox.x"), "word_id")
     w = w.withColumns({
         "fit": F.when(F.col("em") > 0, F.col("bbox.w") * F.col("pw") / F.col("em")), "lh": F.max("bbox.h").over(line) * F.col("ph"), "center": F.median(F.col("bbox.y") + F.col("bbox.h") / 2).over(line),
@@ -142,8 +149,16 @@ def word_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = w.withColumn("size", F.least(F.coalesce(F.median("fit").over(line), F.col("lh")), 1.5 * F.col("lh")))
     span = F.col("em") + F.when(F.col("next").isNull(), 0.0).otherwise(0.278)
     room = F.when(span > 0, (F.coalesce("next", F.lit(1.0)) - F.col("bbox.x")) * F.col("pw") / span).otherwise(F.col("size"))
-    w = w.withColumn("own", F.greatest(F.lit(1.0), F.least(F.col("size"), F.greatest(room, 0.5 * F.col("size")))))
-    return w.select("word_id", "reading_id", F.round("own", 4).alias("font_size_pt"), F.round(F.greatest(F.lit(0.0), F.col("center") - CENTER_EM * F.col("own") / F.col("ph")), 5).alias("top"), F.col("next").isNull().alias("is_last"))
+    own = F.greatest(F.lit(1.0), F.least(F.col("size"), F.greatest(room, 0.5 * F.col("size"))))
+    w = w.withColumn("own", F.when(F.col("whole"), own))
+    top = F.round(F.when(F.col("whole"), F.greatest(F.lit(0.0), F.col("center") - CENTER_EM * F.col("own") / F.col("ph"))), 5)
+    return w.select("reading_id", "word_id", "word_seq", "text", "bbox", "confidence", "block", "par", "line", "pw", "ph", F.round("own", 4).alias("font_size_pt"), top.alias("top"), F.when(F.col("whole"), F.col("next").isNull()).alias("is_last"))
+
+
+def word_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Font size and top of each word: its line's size, from the median of sizes that span the boxes, squeezed only
+    where the word would run into the next; the top centres it on its line."""
+    return styled_words(spark, sf_dir).where("is_last is not null").select("word_id", "reading_id", "font_size_pt", "top", "is_last")
 
 
 def span_markup(text: Column, box: Column) -> Column:
@@ -205,7 +220,11 @@ _LT = f"{_WITH}, lt AS (SELECT reading_id, line, string_agg(text, ' ' ORDER BY b
 _LS = f"""ls AS (SELECT reading_id, line, min(bbox.x) AS x0, max(bbox.x + bbox.w) AS x1, {_UM.format('list(bbox.y + bbox.h / 2)')} AS center, {_UM.format('list(bbox.h)')} AS size FROM wl GROUP BY 1, 2),
     st AS (SELECT *, center - lag(center) OVER (PARTITION BY reading_id ORDER BY center, line) AS step FROM ls),
     pi AS (SELECT reading_id, coalesce({_UM.format('list(step) FILTER (step > 0)')}, 1.2 * first(size ORDER BY center, line)) AS pitch FROM st GROUP BY 1)"""
-_WIDTH = "list_sum(list_transform(string_split(text, ''), lambda c: CASE " + " ".join(f"WHEN contains('{chars.replace(chr(39), chr(39) * 2)}', c) THEN {n}" for n, chars in T.ADVANCES.items()) + " ELSE 600 END)) / 1000"
+_TABLE = ", ".join(f"('{ch.replace(chr(39), chr(39) * 2)}', {n})" for t in (T.ADVANCES, T.ACCENTED) for n, chars in t.items() for ch in chars)
+_WIDE = "[\\x{1100}-\\x{115f}\\x{2e80}-\\x{303e}\\x{3041}-\\x{33ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{a000}-\\x{a4cf}\\x{ac00}-\\x{d7a3}\\x{f900}-\\x{faff}\\x{fe30}-\\x{fe6f}\\x{ff01}-\\x{ff60}\\x{ffe0}-\\x{ffe6}]"
+# Composed first; marks take nothing, then the font's advances, then 1 em for wide characters and 0.6 for others.
+_WIDTHS = f"""adv(ch, n) AS (VALUES {_TABLE}), dt AS (SELECT DISTINCT text FROM wl WHERE text IS NOT NULL), dc AS (SELECT text, unnest(string_split(nfc_normalize(text), '')) AS ch FROM dt WHERE text <> ''),
+    em AS (SELECT text, sum(CASE WHEN regexp_matches(dc.ch, '\\p{{Mn}}') THEN 0 WHEN n IS NOT NULL THEN n WHEN regexp_matches(dc.ch, '{_WIDE}') THEN 1000 ELSE 600 END)::DOUBLE / 1000 AS em FROM dc LEFT JOIN adv ON adv.ch = dc.ch GROUP BY 1)"""
 
 QUERIES = {
     "line_texts": (line_texts, f"WITH {_LT} SELECT reading_id, line::BIGINT AS line, text, top, left_x AS left FROM lt"),
@@ -226,8 +245,8 @@ QUERIES = {
         b AS (SELECT *, sum(CASE WHEN i = 1 THEN 1 WHEN (has_par AND par <> pp) OR center - pc > 1.6 * pitch OR (x0 - lft > 0.7 * em AND px0 - lft < 0.4 * em) OR (NOT has_par AND px1 < rgt - 3 * em AND regexp_matches(pt, '[.!?:]$')) THEN 1 ELSE 0 END) OVER (PARTITION BY reading_id ORDER BY center, line) AS n FROM c)
         SELECT reading_id, n::BIGINT AS paragraph, count(*) AS n_lines, regexp_replace(regexp_replace(string_agg(text, chr(10) ORDER BY i), '(\\pL)[-¬]\\n(\\p{{Ll}})', '\\1\\2', 'g'), '\\n', ' ', 'g') AS text FROM b GROUP BY 1, 2"""),
     "word_styles": (word_styles, f"""
-        WITH {_WITH}, p AS (SELECT page_id, CASE WHEN width_pt IS NULL THEN width_px * 72.0::DOUBLE / dpi ELSE width_pt END AS pw, height_pt AS ph FROM page_images),
-        a AS (SELECT w.word_id, w.reading_id, w.line, w.bbox AS b, pw, ph, {_WIDTH} AS em FROM wl w JOIN p ON w.page_id = p.page_id),
+        WITH {_WITH}, p AS (SELECT page_id, CASE WHEN width_pt IS NULL THEN width_px * 72.0::DOUBLE / dpi ELSE width_pt END AS pw, CASE WHEN height_pt IS NULL THEN height_px * 72.0::DOUBLE / dpi ELSE height_pt END AS ph FROM page_images), {_WIDTHS},
+        a AS (SELECT w.word_id, w.reading_id, w.line, w.bbox AS b, pw, ph, coalesce(em.em, 0.0) AS em FROM wl w JOIN (SELECT DISTINCT reading_id, page_id FROM readings) r ON w.reading_id = r.reading_id JOIN p ON r.page_id = p.page_id LEFT JOIN em ON em.text = w.text WHERE w.text IS NOT NULL),
         c AS (SELECT *, max(b.h) OVER l * ph AS lh, median(b.y + b.h / 2) OVER l AS center, lead(b.x) OVER (PARTITION BY reading_id, line ORDER BY b.x, word_id) AS nx, median(CASE WHEN em > 0 THEN b.w * pw / em END) OVER l AS mf FROM a WINDOW l AS (PARTITION BY reading_id, line)),
         d AS (SELECT *, least(coalesce(mf, lh), 1.5 * lh) AS size, em + CASE WHEN nx IS NULL THEN 0.0 ELSE 0.278 END AS span FROM c),
         e AS (SELECT *, greatest(1.0, least(size, greatest(CASE WHEN span > 0 THEN (coalesce(nx, 1.0) - b.x) * pw / span ELSE size END, 0.5 * size))) AS own FROM d)

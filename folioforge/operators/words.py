@@ -13,9 +13,11 @@ SP = "\\t\\n\\x0b\\f\\r\\x1c\\x1d\\x1e\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x
 
 
 def words(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The words, each delivery once."""
+    """The words, each delivery once, partitioned by their readings: what is grouped by reading, or by reading and line, needs
+    no further exchange.  A reading's words are bounded by what is printed on a page."""
     df = table(spark, sf_dir, "words")
-    return df.dropDuplicates(["word_id"]).select(*columns) if columns else df.dropDuplicates(["word_id"])
+    df = (df.select(*dict.fromkeys(["word_id", "reading_id", *columns])) if columns and all(isinstance(c, str) for c in columns) else df).repartition("reading_id").dropDuplicates(["reading_id", "word_id"])
+    return df.select(*columns) if columns else df
 
 
 def readings(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -83,16 +85,18 @@ def page_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def engine_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per engine: success, pages processed, skipped (1-based pages, sorted), first error, seconds."""
+    """What an engine's run over a document came to: success if a page was read, pages read, the pages skipped or failed
+    (from 1, in order, with commas between), and, where every page failed, the first error in page order."""
     r = readings(spark, sf_dir, "page_id", "engine_name", "skipped", "error", "elapsed_seconds")
     p = table(spark, sf_dir, "page_images", "page_id", "input_pdf", "page_num")
     bad = F.col("skipped") | F.col("error").isNotNull()
-    g = r.join(p, "page_id").groupBy("engine_name").agg(
-        F.bool_or(~bad).alias("success"), F.count_if(~bad).alias("pages_processed"), F.count_if(bad).alias("pages_skipped"),
-        F.countDistinct(F.when(bad, F.col("page_num") + 1)).alias("distinct_skipped_numbers"),
-        F.min_by("error", F.when(F.col("error").isNotNull(), F.struct("input_pdf", "page_num", "reading_id"))).alias("first_error"), F.round(F.sum("elapsed_seconds"), 3).alias("elapsed_seconds"),
+    g = r.join(p, "page_id").groupBy("input_pdf", "engine_name").agg(
+        F.bool_or(~bad).alias("success"), F.count_if(~bad).alias("pages_processed"), F.array_sort(F.collect_set(F.when(bad, F.col("page_num") + 1))).alias("pages"),
+        F.min_by("error", F.when(F.col("error").isNotNull(), F.struct("page_num", "reading_id"))).alias("first"), F.round(F.sum("elapsed_seconds"), 3).alias("elapsed_seconds"),
     )
-    return g
+    # A document's pages are bounded by what one file of scans holds.
+    error = F.when(~F.col("success"), F.coalesce("first", F.lit("no page succeeded")))
+    return g.select("input_pdf", "engine_name", "success", "pages_processed", F.array_join("pages", ",").alias("pages_skipped"), error.alias("error"), "elapsed_seconds")
 
 
 def usable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,9 +140,9 @@ QUERIES = {
         SELECT reading_id, line::BIGINT AS line, par::BIGINT AS par FROM k WHERE i = 1"""),
     "engine_rollup": (engine_rollup, f"""
         WITH j AS (SELECT r.*, p.input_pdf, p.page_num, (r.skipped OR r.error IS NOT NULL) AS bad FROM {R} r JOIN page_images p ON r.page_id = p.page_id)
-        SELECT engine_name, bool_or(NOT bad) AS success, count(*) FILTER (NOT bad) AS pages_processed, count(*) FILTER (bad) AS pages_skipped,
-          count(DISTINCT CASE WHEN bad THEN page_num + 1 END) AS distinct_skipped_numbers,
-          first(error ORDER BY input_pdf, page_num, reading_id) FILTER (error IS NOT NULL) AS first_error, round(sum(elapsed_seconds), 3) AS elapsed_seconds FROM j GROUP BY 1"""),
+        SELECT input_pdf, engine_name, bool_or(NOT bad) AS success, count(*) FILTER (NOT bad) AS pages_processed,
+          coalesce(string_agg(DISTINCT CASE WHEN bad THEN page_num + 1 END, ',' ORDER BY CASE WHEN bad THEN page_num + 1 END), '') AS pages_skipped,
+          CASE WHEN NOT bool_or(NOT bad) THEN coalesce(first(error ORDER BY page_num, reading_id) FILTER (error IS NOT NULL), 'no page succeeded') END AS error, round(sum(elapsed_seconds), 3) AS elapsed_seconds FROM j GROUP BY 1, 2"""),
     "usable_pages": (usable, f"SELECT reading_id, page_id, engine_name FROM {R} WHERE NOT skipped AND error IS NULL"),
     "first_seen_engines": (first_seen, "WITH f AS (SELECT input_pdf, engine_name, min(word_id) AS f FROM words GROUP BY 1, 2) SELECT input_pdf, string_agg(engine_name, '+' ORDER BY f, engine_name) AS engines FROM f GROUP BY 1"),
 }
