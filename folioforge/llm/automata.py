@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
+import regex
 
 
 class SuffixAutomaton:
@@ -93,19 +94,29 @@ class CrossParser:
 
     def _build(self) -> None:
         width = [len(x) + 1 for x in self.letters]
-        offsets = np.cumsum([1, *(n * w for n, w in zip(self.sizes, width, strict=True))])
-        # A state is the place of its row; 0 stands for none.
-        table = np.zeros(offsets[-1], np.int32)
-        for (state, symbol, after), first, w in zip((e.T for e in self.edges), offsets, width, strict=False):
-            table[first + state * w + symbol] = first + after * w
+        offsets = np.cumsum([0, *(n * w for n, w in zip(self.sizes, width, strict=True))])
+        # Each entry has the place of the next state's row and, in its two lowest bits, how many phrases end on the way: none
+        # along an edge, one where a match ends and another begins, and one more for an unknown character.
+        parts = []
+        for (state, symbol, after), first, w, n in zip((e.T for e in self.edges), offsets, width, self.sizes, strict=False):
+            rows = np.full((n, w), first << 2 | 2, np.int32)
+            begin = np.full(w, -1, np.int64)
+            at_root = state == 0
+            begin[symbol[at_root]] = first + after[at_root] * w
+            rows[:, begin >= 0] = begin[begin >= 0] << 2 | 1
+            rows[0] = first << 2 | 1
+            rows[state, symbol] = first + after * w << 2
+            parts.append(rows.ravel())
         self.root = offsets[:-1].astype(np.int32)
-        top = max((ord(c) for x in self.letters for c in x), default=0) + 1
-        self.symbol = np.zeros((top + 1, len(self.letters)), np.int32)
+        self.top = max((ord(c) for x in self.letters for c in x), default=0) + 1
+        self.symbol = np.zeros((self.top + 1, len(self.letters)), np.int32)
         for k, letters in enumerate(self.letters):
             for n, c in enumerate(letters, 1):
                 self.symbol[ord(c), k] = n
-        self.start = table[self.root + self.symbol]
-        self.table, self.top = table, top
+        self.table = np.concatenate(parts) if parts else np.zeros(1, np.int32)
+        # Alphabets that have no letter in common are never parsed together: each character is a phrase then.
+        self.families = [[k for k, x in enumerate(self.letters) if family & set(x)] for family in _families(self.letters)]
+        self.family_of = [regex.compile(f"[{regex.escape(''.join(sorted(family)))}]") for family in _families(self.letters)]
 
     def phrases(self, texts: list[str], at_once: int = 4096) -> np.ndarray:
         """Number of longest-match phrases of each text (rows) by each automaton (columns); an unknown character is a
@@ -113,28 +124,37 @@ class CrossParser:
         if self.table is None:
             self._build()
         sizes = np.array([len(t) for t in texts], np.int64)
+        counts = np.tile(sizes[:, None], (1, len(self.letters))).astype(np.int32)
         order = np.argsort(-sizes, kind="stable")
-        counts = np.zeros((len(texts), len(self.letters)), np.int32)
-        for i in range(0, len(texts), at_once):
-            part = order[i : i + at_once]
-            counts[part] = self._parse([texts[k] for k in part], sizes[part])
+        for automata, letters in zip(self.families, self.family_of, strict=True):
+            some = np.array([k for k in order.tolist() if letters.search(texts[k])], np.int64)
+            for i in range(0, len(some), at_once):
+                part = some[i : i + at_once]
+                counts[np.ix_(part, automata)] = self._parse([texts[k] for k in part], sizes[part], np.array(automata))
         return counts
 
-    def _parse(self, texts: list[str], sizes: np.ndarray) -> np.ndarray:
-        """``phrases`` of texts in descending order of their sizes."""
+    def _parse(self, texts: list[str], sizes: np.ndarray, automata: np.ndarray) -> np.ndarray:
+        """``phrases`` by some automata of texts in descending order of their sizes."""
         codes = np.minimum(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), self.top).astype(np.int64)
         first = np.cumsum(sizes) - sizes
-        state = np.tile(self.root, (len(texts), 1))
+        root, symbol = self.root[automata], np.ascontiguousarray(self.symbol[:, automata])
+        state = np.tile(root, (len(texts), 1))
         counts = np.zeros(state.shape, np.int32)
-        live = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), "left")  # texts longer than each place
+        live = np.searchsorted(-sizes, -np.arange(int(sizes[0])), "left")  # texts longer than each place
         for at, n in enumerate(live.tolist()):
-            char = codes[first[:n] + at]
-            now = state[:n]
-            after = self.table[now + self.symbol[char]]
-            ended = after == 0
-            counts[:n] += ended & (now != self.root)
-            after = np.where(ended, self.start[char], after)
-            unknown = after == 0
-            counts[:n] += unknown
-            state[:n] = np.where(unknown, self.root, after)
-        return counts + (state != self.root)
+            entry = self.table[state[:n] + symbol[codes[first[:n] + at]]]
+            counts[:n] += entry & 3
+            np.right_shift(entry, 2, out=state[:n])
+        return counts + (state != root)
+
+
+def _families(alphabets: list[str]) -> list[set[str]]:
+    """The letters of the alphabets, those together that any alphabet has together; blanks aside."""
+    out: list[set[str]] = []
+    for letters in alphabets:
+        mine = set(letters) - {" "}
+        for other in [f for f in out if f & mine]:
+            out.remove(other)
+            mine |= other
+        out.append(mine)
+    return out

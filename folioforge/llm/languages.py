@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm.automata import CrossParser, SuffixAutomaton
-from folioforge.llm.forms import clean
+from folioforge.llm.forms import clean, leader, scripts_in, told
 from folioforge.llm.furniture import looks_like_furniture
 from folioforge.llm.kinds import kind_bits, kinds_of, records, vocabulary, with_kind
 from folioforge.session import checkpointed, table
@@ -37,42 +37,41 @@ QUOTED = regex.compile(r"\(\s*[\"“„«][^\"”“»]{1,600}[\"”“»]\s*\)"
 PARAGRAPHS = regex.compile(r"\n[^\S\n]*\n\s*")
 #: Rows of labelled documents that the automata are built from, and characters taken of them a language.
 SAMPLE = 6000
-SIZE = 30_000
+SIZE = 20_000
 #: Longest piece of a unit that is parsed in one go; a phrase ends where a piece does.
 PIECE = 600
 
 
+class Plain(dict):
+    """What each distinct token leaves of itself as running text, worked out once: its words in small letters."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 400_000:  # bounds the memory; tokens are simply worked out again
+            self.clear()
+        found = self[token] = " ".join(WORD.findall(token)).lower()
+        return found
+
+
+_plain = Plain()
+
+
 class LanguageModel:
-    """The languages' automata, and what each distinct token leaves of itself as running text, worked out once."""
+    """The languages' automata, and the sizes of their texts."""
 
     def __init__(self, texts: dict[str, list[str]]):
         self.codes = sorted(texts)
         self.parser = CrossParser([SuffixAutomaton(f" {t} " for t in texts[c]) for c in self.codes])
         self.scale = np.array([math.log(sum(map(len, texts[c])) + len(texts[c]) + 2) for c in self.codes])
-        self.plain: dict[str, tuple[str, int]] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"plain": {}}
-
-    def _plain(self, token: str) -> tuple[str, int]:
-        words = WORD.findall(token)
-        if len(self.plain) > 400_000:  # bounds the memory; tokens are simply worked out again
-            self.plain.clear()
-        found = self.plain[token] = (" ".join(words).lower(), len(words))
-        return found
 
     def costs(self, units: list[list[str]]) -> np.ndarray:
         """Normalised phrases of each unit's tokens (rows) in each language (columns), and in the last column its words."""
-        get, plain = self.plain.get, self._plain
         pieces: list[str] = []
         owner: list[int] = []
         words = np.zeros(len(units))
         for k, tokens in enumerate(units):
-            known = [get(t) or plain(t) for t in tokens]
-            words[k] = n = sum(c for _, c in known)
-            if not n:
+            if not (text := " ".join(filter(None, map(_plain.__getitem__, tokens)))):
                 continue
-            text = " ".join([t for t, c in known if c])
+            words[k] = text.count(" ") + 1
             while len(text) > PIECE:
                 at = text.rfind(" ", 0, PIECE) + 1 or PIECE
                 pieces.append(f" {text[:at].rstrip()} ")
@@ -192,11 +191,12 @@ def running_text(docs: list[tuple[str, str]], own: dict[str, set[str]], size: in
     texts: dict[str, list[str]] = defaultdict(list)
     seen: set[tuple[str, str]] = set()
     room = dict.fromkeys(own, size)
+    script = {code: scripts_in(next(iter(sorted(words)), "")) for code, words in own.items()}
     for code, text in docs:
         stretch: list[str] = []
         for line in [*clean(text).split("\n"), None]:
             words = [w.lower() for w in WORD.findall(line or "")]
-            if len(words) > 2 and 10 * sum(w in own[code] for w in words) >= 9 * len(words) and (code, key := " ".join(words)) not in seen:
+            if len(words) > 2 and 10 * sum(w in own[code] for w in words) >= 9 * len(words) and scripts_in("".join(words)) == script[code] and (code, key := " ".join(words)) not in seen:
                 seen.add((code, key))
                 stretch += words
             elif stretch and (line is None or words):
@@ -227,6 +227,10 @@ def train(spark: SparkSession, sf_dir: str, sample: int = SAMPLE, size: int = SI
         for w, n in words.items():
             rate[w] = max(rate[w], n / (count[code] + 10))
     own = {code: {w for w, n in words.items() if n >= 2 and n / (count[code] + 10) > 0.25 * rate[w]} | listed[code] for code, words in seen.items() if count[code] >= 30}
+    for code, words in own.items():
+        # Words in letters of another script than the language's, as numerals are, are no part of its text.
+        script = leader([sum(x) for x in zip(*map(told, words), strict=True)]) if words else ""
+        own[code] = {w for w in words if scripts_in(w) == script} if script else words
     running = running_text([d for d in drawn if d[0] in own], own, size)
     texts = {c: [*running.get(c, ()), *sorted(listed[c])] for c in sorted(set(listed) | set(running))}
     return LanguageModel({c: t for c, t in texts.items() if t})
