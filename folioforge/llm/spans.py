@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm.fmindex import shared_stretches
-from folioforge.llm.skew import spread_join
+from folioforge.llm.skew import FREQUENT, sifted, spread_join
 from folioforge.session import checkpointed, stored, table
 
 LEAST = 200
@@ -236,11 +236,18 @@ def class_spans(spark: SparkSession, sf_dir: str, group: int = 20_000, shard_cha
     found = stored(docs.mapInArrow(_anchor_rows, ANCHORS))
     each = checkpointed(found.groupBy("doc_id", "cls", "size").agg(F.lit(1).alias("one")).drop("one"))
     texts = each.groupBy("cls", "size").agg(F.min("doc_id").alias("doc_id"), (F.min("doc_id") < F.max("doc_id")).alias("copied"))
-    # Both aggregates are combined before the shuffle, so an anchor of very many documents is no more than a row a task.
-    common = found.groupBy("anchor").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("anchor")
-    shared = spread_join(found.select("anchor", "doc_id", "cls", "size", "place"), common, ["anchor"], "inner")
-    mine = shared.join(texts.select("doc_id", "cls", "size"), ["doc_id", "cls", "size"], "left_semi").groupBy("doc_id", "cls", "size").agg(F.collect_list(F.struct("anchor", "place")).alias("found"))
-    windows = stored(docs.join(mine, "doc_id").select("text", "cls", "size", "found").mapInArrow(_windows, WINDOWS))
+    # The aggregates are combined before the shuffle, so an anchor of very many documents is no more than a row a task.
+    least = max(1.0, found.count() * FREQUENT)
+    seen = found.groupBy("anchor").agg((F.min("cls") < F.max("cls")).alias("common"), F.count("*").alias("count"))
+    seen = stored(seen.where(F.col("common") | (F.col("count") > least)))
+    common, often = seen.where("common").select("anchor"), seen.where(F.col("count") > least)
+    near = sifted(found.select("anchor", "doc_id", "cls", "size", "place"), common, "anchor")
+    hot = near.join(F.broadcast(often.where("common").select("anchor")), "anchor")  # at most 1 / FREQUENT anchors
+    rare = near.join(F.broadcast(often.select("anchor")), "anchor", "left_anti").join(common, "anchor", "left_semi")
+    # A text's first document stands for it.
+    mine = hot.unionByName(rare).join(texts.select("doc_id", "cls", "size"), ["doc_id", "cls", "size"], "left_semi")
+    mine = stored(mine.groupBy("doc_id", "cls", "size").agg(F.collect_list(F.struct("anchor", "place")).alias("found")))
+    windows = stored(sifted(docs, mine.select("doc_id"), "doc_id").join(mine, "doc_id").select("text", "cls", "size", "found").mapInArrow(_windows, WINDOWS))
     distinct = stored(windows.groupBy("anchor", "id", "core").agg(F.any_value("window").alias("window"), F.min("cls").alias("low"), F.max("cls").alias("high")))
     # At most one stretch for each end in a window.
     spans = stored(window_spans(distinct, group, shard_chars).groupBy("id").agg(F.collect_set(F.struct("s", "e")).alias("spans")))

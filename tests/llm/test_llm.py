@@ -427,6 +427,19 @@ def test_a_passage_of_very_many_documents(spark, tmp_path):
         assert {r.doc_id: r.shared_chars for r in spans.find_shared(spark, path, group, 20_000).collect()} == want
 
 
+def test_skewed_joins(spark):
+    from folioforge.llm import skew
+
+    rows = spark.createDataFrame([(k if k % 3 else 0, k) for k in range(6000)], "k long, v long")
+    facts = spark.createDataFrame([(k, f"f{k}") for k in range(0, 9000, 2)], "k long, f string")
+    for how in ("left", "inner"):
+        assert sorted(map(tuple, skew.spread_join(rows, facts, ["k"], how).select("k", "v", "f").collect()), key=str) == sorted(map(tuple, rows.join(facts, "k", how).select("k", "v", "f").collect()), key=str)
+    keys = spark.createDataFrame([(k,) for k in range(0, 6000, 100)], "k long")
+    kept = {r.k for r in skew.sifted(rows, keys, "k").collect()}
+    assert {r.k for r in rows.join(keys, "k").collect()} <= kept and len(kept) < 1000
+    assert skew.sifted(rows, keys.where("false"), "k").count() == 0
+
+
 def test_anchors_of_pieces_are_those_of_the_whole(monkeypatch):
     rng = random.Random(5)
     text = "".join(rng.choice("abcdefghij") for _ in range(5000))
