@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from folioforge.plans.selection import ENGINE_OPTIONS, GPU_ENGINES, InputError, check_page_spec, parse_engine_options, select_engines
+from folioforge.plans.selection import ENGINE_OPTIONS, GPU_ENGINES, InputError, page_ranges, parse_engine_options, select_engines
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -46,7 +46,7 @@ def _run(a: argparse.Namespace) -> int:
         for e in ENGINES:
             print(e, *(f"{k}={o.default}" for k, o in ENGINE_OPTIONS[e].items()), sep="\t")
     elif a.command == "check":
-        check_page_spec(a.pages)
+        page_ranges(a.pages)
         parse_filters(a.preprocess)
         codes = {r[1] for r in language_rows()}
         wanted = [x.strip() for x in a.lang.split("+")]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
-from folioforge.operators.words import W, words
+from folioforge.operators.words import SP, W, words
 from folioforge.session import table
 
 CENTER_EM = 0.770 - 0.718 / 2  # the middle of capitals below the top of a line of height 1
@@ -152,7 +152,11 @@ def styled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.greatest(F.lit(1.0), F.least(F.col("size"), F.greatest(room, 0.5 * F.col("size"))))
     w = w.withColumn("own", F.when(F.col("whole"), own))
     top = F.round(F.when(F.col("whole"), F.greatest(F.lit(0.0), F.col("center") - CENTER_EM * F.col("own") / F.col("ph"))), 5)
-    return w.select("reading_id", "word_id", "word_seq", "text", "bbox", "confidence", "block", "par", "line", "pw", "ph", F.round("own", 4).alias("font_size_pt"), top.alias("top"), F.when(F.col("whole"), F.col("next").isNull()).alias("is_last"))
+    exact = F.when(F.col("whole"), F.greatest(F.lit(0.0), F.col("center") - CENTER_EM * F.col("own") / F.col("ph")))
+    return w.select(
+        "reading_id", "word_id", "word_seq", "text", "bbox", "confidence", "block", "par", "line", "pw", "ph", F.round("own", 4).alias("font_size_pt"), top.alias("top"),
+        F.when(F.col("whole"), F.col("next").isNull()).alias("is_last"), F.col("own").alias("exact_size"), exact.alias("exact_top"),
+    )
 
 
 def word_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,24 +165,46 @@ def word_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return styled_words(spark, sf_dir).where("is_last is not null").select("word_id", "reading_id", "font_size_pt", "top", "is_last")
 
 
-def span_markup(text: Column, box: Column) -> Column:
-    """The markup of one positioned word."""
-    return F.concat(F.format_string('<span class="word" style="left: %.4f%%; top: %.4f%%; width: %.4f%%">', box["x"] * 100, box["y"] * 100, box["w"] * 100), T.escape(text), F.lit("</span>"))
+def fixed(value: Column, places: int) -> Column:
+    """A number at so many decimals, halves up, so that no formatter rounds it in its own way."""
+    return F.floor(value * 10**places + 0.5) / float(10**places)
+
+
+def span_markup(word: Callable[[str], Column]) -> Column:
+    """The markup of one positioned word: its place, size and confidence, the ids it has, and a blank after it where another
+    follows on its line.  A word without a line has the size and top of its box, and a blank."""
+    box, size = word("bbox"), F.coalesce(word("exact_size"), word("bbox")["h"] * word("ph"))
+    style = F.format_string(
+        "left: %.4f%%; top: %.4f%%; width: %.4f%%; height: %.4f%%; font-size: %.2fpt;", *[fixed(v * 100, 4) for v in (box["x"], F.coalesce(word("exact_top"), box["y"]), box["w"], box["h"])], fixed(size, 2)
+    )
+    data = [F.coalesce(F.format_string(' data-confidence="%.3f"', fixed(word("confidence"), 3)), F.lit("")) if c == "confidence" else F.when(word(c).isNotNull(), F.concat(F.lit(f' data-{c}="'), word(c), F.lit('"'))).otherwise("") for c in ("confidence", "block", "par", "line")]
+    data[0] = F.when(word("confidence").isNotNull(), data[0]).otherwise("")
+    return F.concat(F.lit('<span class="word" style="'), style, F.lit('"'), *data, F.lit(">"), T.escape(word("text")), F.when(F.coalesce(word("is_last"), F.lit(False)), "").otherwise(" "), F.lit("</span>"))
 
 
 def page_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positioned markup of each reading's page, words in their order."""
-    w = words(spark, sf_dir, "reading_id", "word_seq", "word_id", "text", "bbox").where("text is not null")
-    g = w.withColumn("s", span_markup(F.col("text"), F.col("bbox"))).groupBy("reading_id").agg(F.array_sort(F.collect_list(F.struct("word_seq", "word_id", "s"))).alias("ws"))
-    return g.select("reading_id", F.concat(F.lit('<html lang="und"><body>'), F.array_join(F.col("ws.s"), "\n"), F.lit("</body></html>")).alias("html"))
+    """Positioned markup of each reading's page, words in their order, with the size of the page in millimetres."""
+    w = styled_words(spark, sf_dir).where("text is not null")
+    one = F.struct("word_seq", "word_id", span_markup(F.col).alias("s"))
+    g = w.groupBy("reading_id").agg(F.array_sort(F.collect_list(one)).alias("ws"), F.first("pw").alias("pw"), F.first("ph").alias("ph"))
+    head = F.format_string('<!DOCTYPE html>\n<html lang="und"><head><meta charset="utf-8"><meta name="pdf.options.pageWidth" content="%.4f"><meta name="pdf.options.pageHeight" content="%.4f"></head><body><div class="page">\n', fixed(F.col("pw") * 25.4 / 72, 4), fixed(F.col("ph") * 25.4 / 72, 4))
+    return g.select("reading_id", F.concat(head, F.array_join(F.col("ws.s"), "\n"), F.lit("\n</div></body></html>")).alias("html"))
 
 
 def parse_markup(pages: DataFrame) -> DataFrame:
-    """Positioned words read back from markup: (reading_id, pos, text, left, top, width); numbers that can't be read are 0."""
+    """Positioned words read back from markup: (reading_id, pos, text, left, top, width, height, font_size, confidence, block,
+    par, line); words without text or size are none; numbers that can't be read are 0, ids null."""
     spans = pages.select("reading_id", F.posexplode(F.regexp_extract_all("html", F.lit('(?s)<span class="word"[^>]*>.*?</span>'), 0)).alias("pos", "s"))
-    number = lambda key: F.coalesce(F.expr("try_cast(regexp_extract(s, '{}: ([-0-9.]+)%', 1) as double)".format(key)), F.lit(0.0)) / 100
-    text = T.unescape(F.regexp_extract("s", "(?s)>(.*)</span>", 1))
-    return spans.select("reading_id", F.col("pos").cast("long").alias("pos"), text.alias("text"), number("left").alias("left"), number("top").alias("top"), number("width").alias("width")).where("text <> ''")
+    tag, text = F.regexp_extract("s", '(?s)^<span class="word"([^>]*)>', 1), T.unescape(F.regexp_extract("s", "(?s)>(.*)</span>", 1))
+    style = F.regexp_extract(tag, ' style="([^"]*)"', 1)
+    number = lambda key, unit: F.coalesce(F.regexp_extract(style, f"(?:^|;) *{key} *: *([-+0-9.eE]+) *{unit} *(?:;|$)", 1).try_cast("double"), F.lit(0.0))
+    data = lambda key, kind: F.regexp_extract(tag, f' data-{key}="([^"]*)"', 1).try_cast(kind)
+    bare = F.regexp_replace(text, f"^[{T.SPACES}]+|[{T.SPACES}]+$", "")
+    words = spans.select(
+        "reading_id", F.col("pos").cast("long").alias("pos"), bare.alias("text"), *[(number(k, "%") / 100).alias(k) for k in ("left", "top", "width", "height")], number("font-size", "pt").alias("font_size"),
+        data("confidence", "double").alias("confidence"), *[data(k, "int").alias(k) for k in ("block", "par", "line")],
+    )
+    return words.where("text <> '' and font_size > 0")
 
 
 def rewrite_texts(html: Column, change: Callable[[Column], Column]) -> Column:
@@ -211,7 +237,9 @@ def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words read back from the markup of every page."""
-    return parse_markup(page_markup(spark, sf_dir)).select("reading_id", "pos", "text", F.round("left", 6).alias("left"), F.round("top", 6).alias("top"), F.round("width", 6).alias("width"))
+    w = parse_markup(page_markup(spark, sf_dir))
+    r = lambda c: F.round(c, 6).alias(c)
+    return w.select("reading_id", "pos", "text", r("left"), r("width"), r("height"), F.round("font_size", 1).alias("font_size"), r("confidence"), *[F.col(c).cast("long").alias(c) for c in ("block", "par", "line")])
 
 
 _WITH = f"wl AS (SELECT * FROM (SELECT *, bool_and(line IS NOT NULL) OVER (PARTITION BY reading_id) AS whole FROM {W}) WHERE whole)"
@@ -226,6 +254,13 @@ _WIDE = "[\\x{1100}-\\x{115f}\\x{2e80}-\\x{303e}\\x{3041}-\\x{33ff}\\x{3400}-\\x
 _WIDTHS = f"""adv(ch, n) AS (VALUES {_TABLE}), dt AS (SELECT DISTINCT text FROM wl WHERE text IS NOT NULL), dc AS (SELECT text, unnest(string_split(nfc_normalize(text), '')) AS ch FROM dt WHERE text <> ''),
     em AS (SELECT text, sum(CASE WHEN regexp_matches(dc.ch, '\\p{{Mn}}') THEN 0 WHEN n IS NOT NULL THEN n WHEN regexp_matches(dc.ch, '{_WIDE}') THEN 1000 ELSE 600 END)::DOUBLE / 1000 AS em FROM dc LEFT JOIN adv ON adv.ch = dc.ch GROUP BY 1)"""
 
+_FX = lambda v, k: f"(floor(({v}) * {10**k} + 0.5::DOUBLE) / {10**k}.0::DOUBLE)"
+_STYLES = f"""{_WITH}, p AS (SELECT page_id, CASE WHEN width_pt IS NULL THEN width_px * 72.0::DOUBLE / dpi ELSE width_pt END AS pw, CASE WHEN height_pt IS NULL THEN height_px * 72.0::DOUBLE / dpi ELSE height_pt END AS ph FROM page_images), {_WIDTHS},
+    a AS (SELECT w.word_id, w.reading_id, w.line, w.bbox AS b, pw, ph, coalesce(em.em, 0.0) AS em FROM wl w JOIN (SELECT DISTINCT reading_id, page_id FROM readings) r ON w.reading_id = r.reading_id JOIN p ON r.page_id = p.page_id LEFT JOIN em ON em.text = w.text WHERE w.text IS NOT NULL),
+    c AS (SELECT *, max(b.h) OVER l * ph AS lh, median(b.y + b.h / 2) OVER l AS center, lead(b.x) OVER (PARTITION BY reading_id, line ORDER BY b.x, word_id) AS nx, median(CASE WHEN em > 0 THEN b.w * pw / em END) OVER l AS mf FROM a WINDOW l AS (PARTITION BY reading_id, line)),
+    d AS (SELECT *, least(coalesce(mf, lh), 1.5 * lh) AS size, em + CASE WHEN nx IS NULL THEN 0.0 ELSE 0.278 END AS span FROM c),
+    e AS (SELECT *, greatest(1.0, least(size, greatest(CASE WHEN span > 0 THEN (coalesce(nx, 1.0) - b.x) * pw / span ELSE size END, 0.5 * size))) AS own FROM d)"""
+
 QUERIES = {
     "line_texts": (line_texts, f"WITH {_LT} SELECT reading_id, line::BIGINT AS line, text, top, left_x AS left FROM lt"),
     "page_texts": (page_texts, f"WITH {_LT} SELECT reading_id, string_agg(text, chr(10) ORDER BY top, left_x, line) AS text FROM lt GROUP BY 1"),
@@ -244,18 +279,19 @@ QUERIES = {
           lag(center) OVER o AS pc, lag(x0) OVER o AS px0, lag(x1) OVER o AS px1, lag(par) OVER o AS pp, lag(text) OVER o AS pt, row_number() OVER o AS i FROM l WINDOW p AS (PARTITION BY reading_id), o AS (PARTITION BY reading_id ORDER BY center, line)),
         b AS (SELECT *, sum(CASE WHEN i = 1 THEN 1 WHEN (has_par AND par <> pp) OR center - pc > 1.6 * pitch OR (x0 - lft > 0.7 * em AND px0 - lft < 0.4 * em) OR (NOT has_par AND px1 < rgt - 3 * em AND regexp_matches(pt, '[.!?:]$')) THEN 1 ELSE 0 END) OVER (PARTITION BY reading_id ORDER BY center, line) AS n FROM c)
         SELECT reading_id, n::BIGINT AS paragraph, count(*) AS n_lines, regexp_replace(regexp_replace(string_agg(text, chr(10) ORDER BY i), '(\\pL)[-¬]\\n(\\p{{Ll}})', '\\1\\2', 'g'), '\\n', ' ', 'g') AS text FROM b GROUP BY 1, 2"""),
-    "word_styles": (word_styles, f"""
-        WITH {_WITH}, p AS (SELECT page_id, CASE WHEN width_pt IS NULL THEN width_px * 72.0::DOUBLE / dpi ELSE width_pt END AS pw, CASE WHEN height_pt IS NULL THEN height_px * 72.0::DOUBLE / dpi ELSE height_pt END AS ph FROM page_images), {_WIDTHS},
-        a AS (SELECT w.word_id, w.reading_id, w.line, w.bbox AS b, pw, ph, coalesce(em.em, 0.0) AS em FROM wl w JOIN (SELECT DISTINCT reading_id, page_id FROM readings) r ON w.reading_id = r.reading_id JOIN p ON r.page_id = p.page_id LEFT JOIN em ON em.text = w.text WHERE w.text IS NOT NULL),
-        c AS (SELECT *, max(b.h) OVER l * ph AS lh, median(b.y + b.h / 2) OVER l AS center, lead(b.x) OVER (PARTITION BY reading_id, line ORDER BY b.x, word_id) AS nx, median(CASE WHEN em > 0 THEN b.w * pw / em END) OVER l AS mf FROM a WINDOW l AS (PARTITION BY reading_id, line)),
-        d AS (SELECT *, least(coalesce(mf, lh), 1.5 * lh) AS size, em + CASE WHEN nx IS NULL THEN 0.0 ELSE 0.278 END AS span FROM c),
-        e AS (SELECT *, greatest(1.0, least(size, greatest(CASE WHEN span > 0 THEN (coalesce(nx, 1.0) - b.x) * pw / span ELSE size END, 0.5 * size))) AS own FROM d)
-        SELECT word_id, reading_id, round(own, 4) AS font_size_pt, round(greatest(0.0, center - {CENTER_EM} * own / ph), 5) AS top, nx IS NULL AS is_last FROM e"""),
+    "word_styles": (word_styles, f"WITH {_STYLES} SELECT word_id, reading_id, round(own, 4) AS font_size_pt, round(greatest(0.0, center - {CENTER_EM}::DOUBLE * own / ph), 5) AS top, nx IS NULL AS is_last FROM e"),
     "page_markup": (page_markup, f"""
-        SELECT reading_id, '<html lang="und"><body>' || string_agg(printf('<span class="word" style="left: %.4f%%; top: %.4f%%; width: %.4f%%">', bbox.x * 100, bbox.y * 100, bbox.w * 100)
-          || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;'), chr(39), '&#39;') || '</span>', chr(10) ORDER BY word_seq, word_id) || '</body></html>' AS html FROM {W} GROUP BY 1"""),
-    "markup_rewrite": (rewritten, f"SELECT reading_id, (row_number() OVER (PARTITION BY reading_id ORDER BY word_seq, word_id) - 1)::BIGINT AS pos, translate(text, 'aeiou', 'AEIOU') AS text FROM {W} WHERE text <> ''"),
+        WITH {_STYLES}, z AS (SELECT DISTINCT r.reading_id, pw, ph FROM readings r JOIN p ON r.page_id = p.page_id),
+        s AS (SELECT w.reading_id, w.word_seq, w.word_id, z.pw, z.ph, printf('<span class="word" style="left: %.4f%%; top: %.4f%%; width: %.4f%%; height: %.4f%%; font-size: %.2fpt;"', {_FX('bbox.x * 100', 4)}, {_FX('CASE WHEN e.word_id IS NULL THEN bbox.y ELSE greatest(0.0, e.center - ' + str(CENTER_EM) + '::DOUBLE * e.own / e.ph) END * 100', 4)}, {_FX('bbox.w * 100', 4)}, {_FX('bbox.h * 100', 4)}, {_FX('coalesce(e.own, bbox.h * z.ph)', 2)})
+          || coalesce(printf(' data-confidence="%.3f"', {_FX('confidence', 3)}), '') || coalesce(' data-block="' || block || '"', '') || coalesce(' data-par="' || par || '"', '') || coalesce(' data-line="' || w.line || '"', '') || '>'
+          || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;'), chr(39), '&#39;') || CASE WHEN e.word_id IS NOT NULL AND e.nx IS NULL THEN '' ELSE ' ' END || '</span>' AS s
+          FROM {W} w JOIN z ON z.reading_id = w.reading_id LEFT JOIN e ON e.word_id = w.word_id WHERE text IS NOT NULL)
+        SELECT reading_id, '<!DOCTYPE html>' || chr(10) || printf('<html lang="und"><head><meta charset="utf-8"><meta name="pdf.options.pageWidth" content="%.4f"><meta name="pdf.options.pageHeight" content="%.4f"></head><body><div class="page">', {_FX('any_value(pw) * 25.4::DOUBLE / 72', 4)}, {_FX('any_value(ph) * 25.4::DOUBLE / 72', 4)})
+          || chr(10) || string_agg(s, chr(10) ORDER BY word_seq, word_id) || chr(10) || '</div></body></html>' AS html FROM s GROUP BY 1"""),
+    "markup_rewrite": (rewritten, f"SELECT w.reading_id, (row_number() OVER (PARTITION BY w.reading_id ORDER BY word_seq, word_id) - 1)::BIGINT AS pos, regexp_replace(translate(text, 'aeiou', 'AEIOU'), '^[{SP}]+|[{SP}]+$', '', 'g') AS text FROM {W} w JOIN (SELECT DISTINCT r.reading_id FROM readings r JOIN page_images p ON r.page_id = p.page_id) z ON z.reading_id = w.reading_id WHERE text <> ''"),
     "markup_words": (markup_words, f"""
-        SELECT reading_id, (row_number() OVER (PARTITION BY reading_id ORDER BY word_seq, word_id) - 1)::BIGINT AS pos, text, round(printf('%.4f', bbox.x * 100)::DOUBLE / 100, 6) AS left,
-          round(printf('%.4f', bbox.y * 100)::DOUBLE / 100, 6) AS top, round(printf('%.4f', bbox.w * 100)::DOUBLE / 100, 6) AS width FROM {W} WHERE text <> ''"""),
+        WITH {_STYLES}, z AS (SELECT DISTINCT r.reading_id, ph FROM readings r JOIN p ON r.page_id = p.page_id)
+        SELECT w.reading_id, (row_number() OVER (PARTITION BY w.reading_id ORDER BY word_seq, w.word_id) - 1)::BIGINT AS pos, regexp_replace(text, '^[{SP}]+|[{SP}]+$', '', 'g') AS text, round({_FX('bbox.x * 100', 4)} / 100, 6) AS left,
+          round({_FX('bbox.w * 100', 4)} / 100, 6) AS width, round({_FX('bbox.h * 100', 4)} / 100, 6) AS height, round({_FX('coalesce(e.own, bbox.h * z.ph)', 2)}, 1) AS font_size,
+          round({_FX('confidence', 3)}, 6) AS confidence, block::BIGINT AS block, par::BIGINT AS par, w.line::BIGINT AS line FROM {W} w JOIN z ON z.reading_id = w.reading_id LEFT JOIN e ON e.word_id = w.word_id WHERE text <> ''"""),
 }
