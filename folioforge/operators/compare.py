@@ -115,6 +115,17 @@ def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.mapInArrow(_python_scores, "page_id long, engine_a string, engine_b string, cer double, wer double, agreement double")
 
 
+def page_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symmetric word error rate of each pair of engines on each page, in the JVM: words are coded as characters, so that
+    the edit distance of texts is that of their words."""
+    p = page_pairs(spark, sf_dir).select("page_id", F.col("a.engine_name").alias("engine_a"), F.col("b.engine_name").alias("engine_b"), T.words_of(F.col("a.text")).alias("wa"), T.words_of(F.col("b.text")).alias("wb"))
+    both = F.array_distinct(F.concat("wa", "wb"))
+    # Two bytes a word, read as one character each: from U+4E00 on, past all that UTF-16 keeps for itself.
+    coded = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex((F.array_position("d", w) + 0x4E00).cast("long")), 4, "0")), "UTF-16BE")), "")
+    p = p.withColumn("d", both).select("page_id", "engine_a", "engine_b", F.size("wa").alias("na"), F.size("wb").alias("nb"), T.edits(coded(F.col("wa")), coded(F.col("wb"))).alias("e"))
+    return p.select("page_id", "engine_a", "engine_b", F.round(T.symmetric_rate(F.col("e"), F.col("na"), F.col("nb")), 6).alias("wer"))
+
+
 def boxes_iou(a: np.ndarray, b: np.ndarray) -> float:
     """Mean best overlap of the boxes (rows of x, y, w, h) of two readings, averaged over both directions.
 
@@ -220,6 +231,13 @@ _CER = f"""{_TEXTS},
     coded AS (SELECT page_id, engine_a, engine_b, len(ta) AS na, len(tb) AS nb,
       levenshtein(array_to_string(list_transform(string_split(ta, ''), lambda c: chr(list_position(d, c)::INT)), ''), array_to_string(list_transform(string_split(tb, ''), lambda c: chr(list_position(d, c)::INT)), '')) AS e FROM chars),
     page_cer AS (SELECT page_id, engine_a, engine_b, round(((CASE WHEN na = 0 THEN (nb > 0)::INT::DOUBLE ELSE least(1.0, e / na) END) + (CASE WHEN nb = 0 THEN (na > 0)::INT::DOUBLE ELSE least(1.0, e / nb) END)) / 2, 6) AS cer FROM coded)"""
+# Words that both texts have are single bytes, up to 125 of them; all others of a text are one byte that no word of the other has.
+_WER = f"""{_TEXTS},
+    wp AS (SELECT a.page_id, a.engine_name AS engine_a, b.engine_name AS engine_b, CASE WHEN a.t = '' THEN [] ELSE string_split(a.t, ' ') END AS wa, CASE WHEN b.t = '' THEN [] ELSE string_split(b.t, ' ') END AS wb FROM texts a JOIN texts b ON a.page_id = b.page_id AND a.run_order < b.run_order),
+    wi AS (SELECT *, list_intersect(list_distinct(wa), list_distinct(wb)) AS d FROM wp),
+    wc AS (SELECT page_id, engine_a, engine_b, len(wa) AS na, len(wb) AS nb, levenshtein(array_to_string(list_transform(wa, lambda w: chr((CASE WHEN list_contains(d, w) THEN list_position(d, w) + 2 ELSE 1 END)::INT)), ''),
+      array_to_string(list_transform(wb, lambda w: chr((CASE WHEN list_contains(d, w) THEN list_position(d, w) + 2 ELSE 2 END)::INT)), '')) AS e FROM wi),
+    page_wer AS (SELECT page_id, engine_a, engine_b, round(((CASE WHEN na = 0 THEN (nb > 0)::INT::DOUBLE ELSE least(1.0, e / na) END) + (CASE WHEN nb = 0 THEN (na > 0)::INT::DOUBLE ELSE least(1.0, e / nb) END)) / 2, 6) AS wer FROM wc)"""
 _IOU = f"""
     uw AS (SELECT w.word_id, w.bbox AS b, t.reading_id, t.page_id, t.run_order, floor(w.bbox.y / {BAND})::INT AS f, greatest(floor(w.bbox.y / {BAND}), floor((w.bbox.y + w.bbox.h) / {BAND}))::INT AS l FROM {W} w JOIN texts t ON w.reading_id = t.reading_id),
     banded AS (SELECT *, unnest(range(f, l + 1)) AS band FROM uw),
@@ -244,6 +262,7 @@ QUERIES = {
     "common_pages": (common_pages, f"WITH {_TEXTS} SELECT a.engine_name AS engine_a, b.engine_name AS engine_b, count(*) AS pages FROM texts a JOIN texts b ON a.page_id = b.page_id AND a.run_order < b.run_order GROUP BY 1, 2"),
     "page_cer": (page_cer, f"WITH {_CER} SELECT * FROM page_cer"),
     "page_scores": (page_scores, None),
+    "page_wer": (page_wer, f"WITH {_WER} SELECT * FROM page_wer"),
     "page_iou": (page_iou, f"WITH {_TEXTS}, {_IOU} SELECT * FROM page_iou"),
     "compare_matrix": (matrix, f"WITH {_CER}, {_IOU}, {_MATRIX} SELECT * FROM matrix"),
     "rank_engines": (rank_engines, f"WITH {_CER}, {_IOU}, {_MATRIX}, {_RANK} SELECT * FROM ranking"),

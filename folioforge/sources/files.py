@@ -8,11 +8,14 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioforge.operators.layout import page_markup
-from folioforge.operators.words import R, W, readings, words
+from folioforge.operators.compare import QUERIES as _RANK
+from folioforge.operators.compare import rank_engines, rank_engines_full
+from folioforge.operators.layout import _FX, fixed, page_markup
+from folioforge.operators.words import QUERIES as _SQL
+from folioforge.operators.words import R, W, engine_totals, readings, words
 from folioforge.session import table
 
 
@@ -81,12 +84,39 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("input_pdf", "engine_name", "page_count", "total_words", "elapsed_seconds", mean.alias("avg_confidence"))
 
 
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(engine_name, run_order, success, error, total_words, avg_confidence, elapsed): each engine's run over all tables."""
+    r = readings(spark, sf_dir, "page_id", "engine_name", "skipped", "error", "elapsed_seconds").join(table(spark, sf_dir, "page_images", "page_id", "input_pdf", "page_num"), "page_id")
+    ok = ~F.col("skipped") & F.col("error").isNull()
+    g = r.groupBy("engine_name").agg(F.bool_or(ok).alias("success"), F.min_by("error", F.when(F.col("error").isNotNull(), F.struct("input_pdf", "page_num", "reading_id"))).alias("error"), F.round(F.sum("elapsed_seconds"), 3).alias("elapsed"))
+    e = F.broadcast(table(spark, sf_dir, "engines", "engine_name", "run_order"))  # a fixed table
+    g = g.select("engine_name", "success", F.when(~F.col("success"), F.coalesce("error", F.lit("no page succeeded"))).alias("error"), "elapsed")
+    return g.join(e, "engine_name").join(engine_totals(spark, sf_dir), "engine_name")
+
+
 def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line of Markdown per engine: its pages read, and its first error cut to 100 characters."""
-    r = readings(spark, sf_dir, "engine_name", "skipped", "error")
-    bad = F.col("skipped") | F.col("error").isNotNull()
-    g = r.groupBy("engine_name").agg(F.count_if(~bad).alias("ok"), F.count("*").alias("n"), F.min("error").alias("error"))
-    return g.select(F.format_string("- **%s**: %d of %d pages, %s", "engine_name", "ok", "n", F.coalesce(F.substring("error", 1, 100), F.lit("-"))).alias("line"))
+    """(line_no, line): a run as Markdown: a table of the engines, then their ranking by consensus."""
+    s = run_summary(spark, sf_dir)
+    status = F.when(F.col("success"), "✅").otherwise(F.concat(F.lit("❌ "), F.substring(F.coalesce("error", F.lit("")), 1, 100)))
+    number = lambda c, k: F.coalesce(F.when(F.col(c).isNotNull(), F.format_string(f"%.{k}f", fixed(F.col(c), k))), F.lit("-"))
+    row = F.concat(F.lit("| "), "engine_name", F.lit(" | - | "), F.col("total_words"), F.lit(" | "), number("avg_confidence", 3), F.lit(" | "), number("elapsed", 1), F.lit(" | "), status, F.lit(" |"))
+    heads = [(0, 1, "| Engine | Model | Words | Avg conf | Time (s) | Status |"), (0, 2, "|--------|-------|-------|----------|----------|--------|"), (2, 0, "### Ranking (by consensus agreement)")]
+    lines = spark.createDataFrame(heads, "part int, n int, line string").unionAll(s.select(F.lit(1), F.col("run_order"), row))
+    rank = F.concat(F.col("rank"), F.lit(". **"), "engine_name", F.lit("**: avg CER "), F.format_string("%.4f", fixed(F.col("avg_cer"), 4)), F.lit(", bbox IoU "), F.format_string("%.3f", fixed(F.col("avg_bbox_iou"), 3)))
+    lines = lines.unionAll(rank_engines(spark, sf_dir).select(F.lit(3), F.col("rank").cast("int"), rank))
+    # A line an engine: the window is as small as the fixed table of engines.
+    return lines.select(F.row_number().over(Window.orderBy("part", "n")).cast("long").alias("line_no"), "line")
+
+
+def ranking_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking as a table of text, nine columns: an engine without a report has dashes, one without confidences n/a."""
+    r = rank_engines_full(spark, sf_dir).join(run_summary(spark, sf_dir), "engine_name", "left")
+    text = lambda c, k: F.format_string(f"%.{k}f", fixed(F.col(c), k))
+    ran = F.col("total_words").isNotNull()
+    return r.select(
+        F.col("rank").alias("#"), F.col("engine_name").alias("Engine"), text("avg_cer", 4).alias("Avg CER"), text("avg_wer", 4).alias("Avg WER"), text("avg_agreement", 3).alias("Agreement"), text("avg_bbox_iou", 3).alias("BBox IoU"),
+        F.when(ran, F.col("total_words").cast("string")).otherwise("-").alias("Words"), F.when(F.col("avg_confidence").isNotNull(), text("avg_confidence", 3)).otherwise("n/a").alias("Avg conf"), F.when(ran, text("elapsed", 1)).otherwise("-").alias("Time (s)"),
+    ).orderBy("#")
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
@@ -124,5 +154,13 @@ QUERIES = {
           FROM {R} r JOIN page_images p ON r.page_id = p.page_id LEFT JOIN w ON r.reading_id = w.reading_id GROUP BY 1, 2)
         SELECT input_pdf, g.engine_name, page_count, total_words, elapsed_seconds, CASE WHEN reports_confidence THEN CASE WHEN k > 0 THEN c / k / 10000 ELSE 0.0 END END AS avg_confidence FROM g JOIN engines e ON g.engine_name = e.engine_name"""),
     "summary_lines": (summary_lines, f"""
-        SELECT printf('- **%s**: %d of %d pages, %s', engine_name, count(*) FILTER (NOT (skipped OR error IS NOT NULL)), count(*), coalesce(substring(min(error), 1, 100), '-')) AS line FROM {R} GROUP BY engine_name"""),
+        WITH tot AS ({_SQL["engine_totals"][1]}), rk AS ({_RANK["rank_engines"][1]}),
+        j AS (SELECT r.*, p.input_pdf, p.page_num, NOT r.skipped AND r.error IS NULL AS good FROM {R} r JOIN page_images p ON r.page_id = p.page_id),
+        g AS (SELECT engine_name, bool_or(good) AS success, first(error ORDER BY input_pdf, page_num, reading_id) FILTER (error IS NOT NULL) AS f, round(sum(elapsed_seconds), 3) AS elapsed FROM j GROUP BY 1),
+        l AS (SELECT * FROM (VALUES (0, 1, '| Engine | Model | Words | Avg conf | Time (s) | Status |'), (0, 2, '|--------|-------|-------|----------|----------|--------|'), (2, 0, '### Ranking (by consensus agreement)')) t(part, n, line)
+          UNION ALL SELECT 1, run_order, '| ' || g.engine_name || ' | - | ' || total_words || ' | ' || coalesce(printf('%.3f', {_FX('avg_confidence', 3)}), '-') || ' | ' || coalesce(printf('%.1f', {_FX('elapsed', 1)}), '-') || ' | ' || CASE WHEN success THEN '✅' ELSE '❌ ' || substring(coalesce(f, 'no page succeeded'), 1, 100) END || ' |'
+            FROM g JOIN engines e ON e.engine_name = g.engine_name JOIN tot ON tot.engine_name = g.engine_name
+          UNION ALL SELECT 3, rank, rank || '. **' || engine_name || '**: avg CER ' || printf('%.4f', {_FX('avg_cer', 4)}) || ', bbox IoU ' || printf('%.3f', {_FX('avg_bbox_iou', 3)}) FROM rk)
+        SELECT row_number() OVER (ORDER BY part, n)::BIGINT AS line_no, line FROM l"""),
+    "ranking_table": (ranking_table, None),
 }
