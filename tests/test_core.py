@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from folioforge.functions import geometry as G
 from folioforge.functions import text as T
 from folioforge.operators import compare, flow, images, layout, regions, repairs
-from folioforge.plans import catalog, routing, selection
+from folioforge.plans import catalog, planning, routing, selection
 from folioforge.sources import engines, files, scans
 from folioforge.streaming import ingest
 
@@ -118,7 +118,8 @@ def test_word_styles_of_accented_and_wide_words(spark, tmp_path):
     ems = {"Größe": 0.778 + 0.333 + 0.556 + 0.611 + 0.556, "naïf": 0.556 * 2 + 0.278 * 2, "漢字": 2.0, "re\u0301e\u0301": 0.333 + 2 * 0.556}
     box = lambda k, em: (0.1 + 0.2 * k, 0.1, em * 12 / 600, 0.03)
     rows = [(k, 1, 1, "p.pdf", "inkline", k, None, t, box(k, em), 0.9, 0, 0, 0) for k, (t, em) in enumerate(ems.items())]
-    like = {n: spark.read.parquet(f"{SF}/{n}.parquet").schema for n in ("words", "page_images")}
+    like = {n: spark.read.parquet(f"{SF}/{n}.parquet").schema for n in ("words", "page_images", "readings")}
+    spark.createDataFrame([(1, 1, "inkline", "eng", 1250, 1667, "", 0.1, False, None, None, None)], like["readings"]).write.parquet(f"{tmp_path}/readings.parquet")
     spark.createDataFrame(rows, like["words"]).write.parquet(f"{tmp_path}/words.parquet")
     spark.createDataFrame([(1, "p.pdf", 0, "p.png", 1250, 1667, 600.0, 800.0, 150)], like["page_images"]).write.parquet(f"{tmp_path}/page_images.parquet")
     assert [r.font_size_pt for r in layout.word_styles(spark, str(tmp_path)).collect()] == [12.0] * 4
@@ -152,9 +153,12 @@ def test_scans_of_lines_and_blocks(spark):
 
 
 def test_markup_keeps_words(spark):
-    pages = spark.createDataFrame([(1, '<span class="word" style="left: 1.5%; top: x%; width: 2%">Moſes&#39;s &amp;lt;</span><span class="word" style=""></span>')], "reading_id long, html string")
-    got = layout.parse_markup(pages).collect()
-    assert [(r.text, r.left, r.top) for r in got] == [("Moſes's &lt;", 0.015, 0.0)]
+    html = (
+        '<span class="word" style="left: 1.5%; top: x%; width: 2%; height: 3%; font-size: 9.50pt;" data-confidence="0.910" data-block="2" data-line="x">Moſes&#39;s &amp;lt; </span>'
+        '<span class="word" style="font-size: 9pt;"> </span><span class="word" style="left: 1%; font-size: 0pt;">none</span><span class="word" style="left: 1%">none</span>'
+    )
+    got = layout.parse_markup(spark.createDataFrame([(1, html)], "reading_id long, html string")).collect()
+    assert [(r.text, r.left, r.top, r.height, r.font_size, r.confidence, r.block, r.par, r.line) for r in got] == [("Moſes's &lt;", 0.015, 0.0, 0.03, 9.5, 0.91, 2, None, None)]
 
 
 # ------------------------------------------------------------------------------------------------ lines, flow, repairs
@@ -165,32 +169,55 @@ def test_geometric_groups():
     assert layout.group_geometric([], [], []) == []
 
 
-def test_bands_and_medians():
-    assert flow.bands([(0, 2), (1, 3), (5, 6), (6.5, 7)]) == [(3, 5), (6, 6.5)]
-    assert flow.middle([1, 2, 3, 4]) == 3 and flow.middle([]) == 0.0
-    assert flow.majority([1, 2, 2, 1]) == 2 and flow.majority([None, None, 3]) is None
-
-
-def two_columns():
-    rows, seq = [], 0
-    for col, x in ((0, 20.0), (1, 230.0)):
-        for line in range(12):
-            for k in range(4):
-                rows.append((seq, f"{'ab'[col]}{line}" if k else f"w{line}", x + 40 * k + (7 * line % 30) * bool(k), x + 40 * k + 36 + (7 * line % 30), 60.0 + 12 * line, col, line))
-                seq += 1
-    rows.append((seq, "HEAD", 150.0, 250.0, 20.0, None, None))
-    pdf = pd.DataFrame(rows, columns=["word_seq", "text", "x0", "x1", "center", "block", "line"])
-    pdf["y0"], pdf["y1"], pdf["size"], pdf["par"], pdf["page_h"], pdf["page_w"] = pdf["center"] - 4.5, pdf["center"] + 4.5, 10.0, None, 400.0, 400.0
-    pdf["line"] = None
-    pdf["block"] = None
-    return pdf
-
-
-def test_flow_reads_columns_in_order():
-    rows = flow.flow_page(two_columns(), None, False)
-    texts = [r[3] for r in rows]
-    assert texts[0] == "HEAD" and texts[1].startswith("w0 a0") and any(t.startswith("w0 b0") for t in texts[2:])
-    assert {r[0] for r in rows} == {0, 1, 2}
+def test_white_bands_and_medians():
+    low, high = np.array([0.0, 1.0, 5.0, 6.5]), np.array([2.0, 3.0, 6.0, 7.0])
+    assert flow.white(low, high, 0.0).tolist() == [4.0, 6.25] and flow.white(low, high, 1.0).tolist() == [4.0]
+    assert flow.middle(np.array([1, 2, 3, 4])) == 3 and flow.middle(np.array([])) == 0.0
+    nan = float("nan")
+    assert flow.majority(np.array([1, 2, 2, 1])) == 2 and math.isnan(flow.majority(np.array([nan, nan, 3])))
+
+
+def page_of(words):
+    """A page of 400 by 400 points with words (text, x, center, width, par, line) of 10 points."""
+    text, x, center, width, par, line = zip(*words, strict=True)
+    nan = float("nan")
+    number = lambda v: np.array([nan if n is None else n for n in v], float)
+    x, width = np.array(x, float), np.array(width, float)
+    return flow.Page(list(text), x, x + width, np.array(center, float), np.full(len(text), 10.0), np.full(len(text), nan), number(par), number(line), 400.0, 400.0)
+
+
+@pytest.mark.parametrize("numbered", [True, False])
+def test_flow_reads_columns_in_order_and_joins_hyphens(numbered):
+    words = [("HEAD", 150, 20, 60, 0, 0)]
+    left = [["The", "first", "con-"], ["tinues", "here."], ["New", "para-"], ["graph", "ends."]]
+    right = [["Right", "column", "starts"], ["and", "ends"], ["just", "now", "after"], ["four", "lines."]]
+    for rows, x0, x1, line, pars in ((left, 20, 175, 1, [1, 1, 2, 2]), (right, 200, 380, 10, [3, 3, 3, 3])):
+        for r, row in enumerate(rows):
+            indent = 15 if x0 == 20 and r == 2 else 0
+            step = (x1 - x0 - indent) / len(row)
+            words += [(t, x0 + indent + step * k + 3 * ((r + k) % 3), 50 + 12 * r, step - 12, pars[r], line + r) for k, t in enumerate(row)]
+    page = page_of([w if numbered else (*w[:4], None, None) for w in words])
+    regions = flow.read_page(page, None)
+    assert [t for r in regions for _, t in r.paragraphs] == ["HEAD", "The first continues here.", "New paragraph ends.", "Right column starts and ends just now after four lines."]
+    assert len(regions) == 3 and sum(r.joins for r in regions) == 2
+    html = "".join(r.markup(400, 400) for r in regions)
+    assert html.count("text-indent:") == 1 and html.count("white-space: nowrap;") == 1 and html.count("text-align: justify;") == 2
+
+
+def test_flow_merges_fragments_of_a_line():
+    words = [("The", 20, 50, 30, None, 0), ("first", 60, 50, 40, None, 0), ("line", 120, 50.4, 30, None, 1), ("here.", 160, 50.4, 40, None, 1), ("Second", 20, 62, 60, None, 2), ("line.", 90, 62, 110, None, 2)]
+    (region,) = flow.read_page(page_of(words), None)
+    assert [t for _, t in region.paragraphs] == ["The first line here. Second line."]
+    size, line = region.set(400.0)
+    assert size <= 10 and line / size == pytest.approx(1.16) and region.bottom(400.0, 0.7) < region.bottom(400.0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.floats(0, 300), st.floats(10, 390), st.floats(1, 60)), min_size=1, max_size=25))
+def test_flow_keeps_every_word(boxes):
+    page = page_of([(f"w{i}", x, c, w, None, None) for i, (x, c, w) in enumerate(boxes)])
+    found = sorted(w for r in flow.read_page(page, None) for _, t in r.paragraphs for w in t.split())
+    assert found == sorted(page.text)
 
 
 WORDS = repairs.Dictionary(frozenset("should address the same after if staff during ear ring new side so".split()), frozenset({"moses", "york"}))
@@ -206,20 +233,68 @@ def test_repairs():
 
 
 def test_base_forms_column_matches_function(spark):
-    words = ["lov'd", "stopped", "receiving", "moses's", "carries", "is", "ladies", "größes", "x"]
+    words = ["lov'd", "stopped", "receiving", "moses's", "carries", "is", "ladies", "größes", "x", "'s", "ed"]
     got = spark.createDataFrame([(w,) for w in words], "w string").select("w", repairs.base_forms(F.col("w")).alias("b")).collect()
     for r in got:
-        assert set(r.b) == set(repairs.bases(r.w)), r.w
+        assert set(r.b) == repairs.bases(r.w), r.w
+    assert repairs.bases("stopped") >= {"stop", "stopp", "stoppe", "stopped"} and "carry" in repairs.bases("carries") and "moses" in repairs.bases("moses's")
+
+
+def test_long_s_by_joins_matches_function(spark, tmp_path):
+    listed = ["should", "address", "the", "same", "after", "if", "staff", "Moses", "assess", "sofas"]
+    spark.createDataFrame([(w, "eng", w[0].isupper()) for w in listed], "word string, lang string, is_proper boolean").write.parquet(f"{tmp_path}/wordlist.parquet")
+    d = repairs.dictionary(spark, str(tmp_path))
+    words = ["fhould,", "Addreffes", "fame", "Fame", "Mofes's", "after", "if", "ſhould", "affeff", "fofaf", "...", "", "(fee)", "ffffffff", "f" * 500, "Faying", "ﬅaff", "xfhould"]
+    got = {r.word: r.repaired for r in repairs.long_s(spark.createDataFrame([(w,) for w in words], "word string"), spark, str(tmp_path)).collect()}
+    assert got == {w: r for w in words if (r := repairs.repair_word(w, d)) != w} and got["fhould,"] == "should," and "Fame" not in got and got["fame"] == "same"
 
 
 def test_merge_answers(spark):
-    blocks = spark.createDataFrame([(1, 0, "text", "abcdefghij"), (1, 1, "note", "xy"), (2, 0, "text", "keep this text")], "page_id long, id int, role string, text string")
-    answers = spark.createDataFrame(
-        [(1, 0, "text", "abcdefghiJ", None), (1, 1, "noise", "xy", None), (1, 7, "note", "new one", [0, 0, 5, 5]), (1, 8, "note", "no box", None), (2, 0, "text", "too", None), (1, 0, "text", "zzz", None)],
-        "page_id long, id int, role string, text string, box array<int>",
-    )
-    got = sorted((r.page_id, r.id, r.text, r.is_new) for r in regions.merge_answers(blocks, answers).collect())
-    assert got == [(1, 0, "abcdefghiJ", False), (1, 7, "new one", True), (2, 0, "keep this text", False)]
+    block = "page_id long, ord long, id string, paragraphs array<string>, indents array<string>, style string"
+    blocks = [
+        (1, 1, "r1", ["abcdefghij"], ["i"], "s1"), (1, 2, "r2", ["xy"], [""], "s2"), (1, 3, "r3", ["zz"], [""], "s3"),
+        (2, 1, "r1", ["keep this text"], [""], "s"), (2, 2, "r2", ["and what is left of a long page"], [""], "s"), (3, 1, "r1", ["as it was"], None, "s"),
+    ]
+    answer = "page_id long, pos long, id string, role string, paragraphs array<string>, box_px array<int>"
+    answers = [
+        (1, 1, "r1", "text", ["first answer"], None), (1, 2, "r1", "header", ["abcdefghiJ and more"], None), (1, 3, "r2", "noise", ["xy"], None),
+        (1, 4, "n1", "note", ["new one"], [0, 0, 5, 5]), (1, 5, "n2", "note", ["no box"], None), (1, 6, "n3", None, [" "], [0, 0, 5, 5]),
+        (2, 1, "r1", "text", ["two", "parts"], None),
+    ]
+    got = [(r.page_id, r.ord, r.id, r.role, list(r.paragraphs), r.indents, r.style, r.is_new) for r in regions.merge_answers(spark.createDataFrame(blocks, block), spark.createDataFrame(answers, answer)).orderBy("page_id", "ord").collect()]
+    assert got == [
+        (1, 1, "r1", "header", ["abcdefghiJ and more"], ["i"], "s1", False),  # the last answer; r3 is dropped, as the page is complete
+        (1, 2, "n1", "note", ["new one"], None, None, True),
+        (2, 1, "r1", "text", ["two", "parts"], None, "s", False),  # no longer as many paragraphs as indents
+        (2, 2, "r2", "text", ["and what is left of a long page"], [""], "s", False),  # low coverage keeps what has no answer
+        (3, 1, "r1", "text", ["as it was"], None, "s", False),
+    ]
+
+
+def test_attempts_in_order(spark):
+    schema = "page_id long, how string, is_error boolean, regions array<string>"
+    tries = [[(1, "cached", False, ["a"]), (2, "cached", True, ["b"]), (3, "cached", None, [])], [(1, "zoom", False, ["z"]), (2, "zoom", False, ["y"]), (3, "zoom", None, None)], [(3, "no zoom", None, ["x"]), (4, "no zoom", True, ["w"])]]
+    got = {(r.page_id, r.how, r.regions[0]) for r in regions.attempts(*[spark.createDataFrame(t, schema) for t in tries]).collect()}
+    assert got == {(1, "cached", "a"), (2, "zoom", "y"), (3, "no zoom", "x")}
+
+
+def test_boxes_iou():
+    a, b = np.array([[0, 0, 2, 1], [5, 5, 1, 1.0]]), np.array([[1, 0, 2, 1.0]])
+    assert compare.boxes_iou(a, b) == pytest.approx((1 / 6 + 1 / 3) / 2) and compare.boxes_iou(a, b[:0]) == 0.0 and compare.boxes_iou(a[:0], b[:0]) == 1.0
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        x, y = (np.column_stack([rng.random((n, 2)), rng.random((n, 2)) * 0.3]) for n in rng.integers(1, 30, 2))
+        one = lambda p, q: max(0, min(p[0] + p[2], q[0] + q[2]) - max(p[0], q[0])) * max(0, min(p[1] + p[3], q[1] + q[3]) - max(p[1], q[1]))
+        iou = np.array([[one(p, q) / (p[2] * p[3] + q[2] * q[3] - one(p, q)) for q in y] for p in x])
+        assert compare.boxes_iou(x, y) == pytest.approx((iou.max(1).mean() + iou.max(0).mean()) / 2)
+
+
+def test_best_engine_of_one(spark, tmp_path):
+    like = {n: spark.read.parquet(f"{SF}/{n}.parquet").schema for n in ("words", "page_images", "readings", "engines")}
+    rows = [(1, 1, "serifold", "eng", 10, 10, "a b", 0.1, False, None, None, None), (2, 1, "inkline", "eng", 10, 10, "", 0.1, True, "timeout", None, None)]
+    for name, data in (("readings", rows), ("words", []), ("page_images", [(1, "p.pdf", 0, "p.png", 10, 10, 6.0, 8.0, 150)]), ("engines", [("inkline", 1, False, True), ("serifold", 2, False, True)])):
+        spark.createDataFrame(data, like[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert [r.engine_name for r in compare.best_engine(spark, str(tmp_path)).collect()] == ["serifold"]
 
 
 # ------------------------------------------------------------------------------------------------ images
@@ -253,6 +328,7 @@ def test_pages():
     for bad in ("0", "5-2", "9", "a-b", "1,,2"):
         with pytest.raises(selection.InputError):
             selection.select_pages(bad, 4)
+    assert selection.script_pages("1,3-9,6-5", 5) == {1, 3, 4, 5} and selection.script_pages(None, 5) is None
 
 
 def test_options_and_engines():
@@ -265,6 +341,22 @@ def test_options_and_engines():
     assert "olmocr" not in selection.select_engines("all", engines_, selection.GPU_ENGINES) and selection.select_engines(" OLMOCR ,tesseract,tesseract", engines_, selection.GPU_ENGINES) == ["olmocr", "tesseract"]
 
 
+def test_plans(spark):
+    got = {}
+    for r in planning.plans(spark, SF).collect():
+        got.setdefault(r.request, []).append((r.engine, r.status, r.detail))
+    error = {k: v[0][2] for k, v in got.items() if v[0][1] == "error"}
+    assert error[7].startswith("unknown engine(s): nonesuch, other_one") and error[8] == "language unknown: xyz" and error[5].startswith("cannot run the requested engines for --lang rus: doctr: ")
+    assert set(error) == {5, 6, 7, 8, 9, 11} and "not installed (ocrmypdf_rapidocr)" in error[9] and "macOS only" in error[11]
+    assert {e for e, s, _ in got[1] if s == "skip"} == {"paddleocr", "ocrmypdf_rapid", "macos_vision"} and "olmocr" not in {e for e, *_ in got[1]}
+    assert "olmocr" in {e for e, *_ in got[3]} and [e for e, *_ in got[10]] == ["olmocr"]
+    lines = [r.line for r in planning.plan_log(spark, SF).where("request = 2").orderBy("line_no").collect()]
+    assert lines[:3] == ["Languages: deu (German), eng (English)", "Preprocessing: grayscale -> deskew", "Engine routing:"] and lines[-1].startswith("  macos_vision    skipped: macOS only")
+    installed = spark.createDataFrame([("eng",), ("Fraktur",)], "model string")
+    gaps = {r.spec: r.gap for r in planning.model_gaps(spark, spark.createDataFrame([("deu_frak+eng",), ("eng+deu+rus",)], "spec string"), installed).collect()}
+    assert gaps == {"eng+deu+rus": "no Tesseract model for deu (deu); install tesseract-ocr-deu"}
+
+
 def test_routes(spark):
     got = {(r.spec, r.engine): r for r in routing.routes(spark, SF).collect()}
     assert got["deu+eng", "rapidocr"].lang == "latin" and not got["rus+eng", "doctr"].ok and got["rus+ukr", "easyocr"].ok and not got["jpn+kor", "easyocr"].ok
