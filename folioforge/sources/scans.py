@@ -27,11 +27,11 @@ def token_offsets(text: Column) -> Column:
 
 def split_line(text: Column, box: Column) -> Column:
     """The words of a recognised line as (text, bbox) structs, widths in proportion to characters; one word keeps the box."""
-    tokens = token_offsets(text)
     span = F.greatest(F.length(F.regexp_replace(text, f"[{T.SPACES}]+$", "")), F.lit(1))
-    several = F.transform(tokens, lambda t: F.struct(t["token"].alias("text"), G.char_box(box, t["a"], t["b"], span).alias("bbox")))
-    single = F.transform(tokens, lambda t: F.struct(t["token"].alias("text"), F.struct(*[box[c].alias(c) for c in "xywh"]).alias("bbox")))
-    return F.when(F.size(tokens) == 1, single).otherwise(several)
+    # Told from the text, so that the tokens are worked out once.
+    several = text.rlike(f"[^{T.SPACES}][{T.SPACES}]+[^{T.SPACES}]")
+    whole = F.struct(*[box[c].alias(c) for c in "xywh"])
+    return F.transform(token_offsets(text), lambda t: F.struct(t["token"].alias("text"), F.when(several, G.char_box(box, t["a"], t["b"], span)).otherwise(whole).alias("bbox")))
 
 
 def split_block(lines: Column, box: Column) -> Column:
