@@ -149,28 +149,54 @@ def boxes_iou(a: np.ndarray, b: np.ndarray) -> float:
     return float((best_a.mean() + best_b.mean()) / 2)
 
 
-def _page_iou(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def whole_pages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in order of their ``page_id``, cut between pages: the last page of a batch waits for the rest of its rows."""
+    kept: list[pa.RecordBatch] = []
     for batch in batches:
-        pages, first, second, scores = [], [], [], []
-        for page, read in zip(batch.column("page_id").to_pylist(), batch.column("r").to_pylist(), strict=True):
-            boxes = [np.array([[v[k] or 0.0 for k in "xywh"] for v in x["boxes"] or ()]).reshape(-1, 4) for x in read]
-            for i, a in enumerate(read):
-                for k in range(i + 1, len(read)):
-                    pages.append(page)
-                    first.append(a["engine_name"])
-                    second.append(read[k]["engine_name"])
-                    scores.append(boxes_iou(boxes[i], boxes[k]))
-        yield pa.RecordBatch.from_pydict({"page_id": pa.array(pages, pa.int64()), "engine_a": pa.array(first, pa.string()), "engine_b": pa.array(second, pa.string()), "bbox_iou": pa.array(scores, pa.float64())})
+        if not batch.num_rows:
+            continue
+        page = batch.column("page_id").to_numpy()
+        cut = int(np.searchsorted(page, page[-1]))
+        if kept and (cut or kept[0].column("page_id")[-1].as_py() != page[0]):
+            yield pa.Table.from_batches([*kept, batch.slice(0, cut)])
+            kept = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        kept.append(batch.slice(cut))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def _page_iou(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in whole_pages(batches):
+        names = rows.column("engine_name").combine_chunks().dictionary_encode()
+        page, order, engine = rows.column("page_id").to_numpy(), rows.column("run_order").to_numpy(), names.indices.to_numpy()
+        by = np.lexsort((engine, order, page))
+        page, order, engine = page[by], order[by], engine[by]
+        boxes, real = np.column_stack([rows.column(k).to_numpy() for k in "xywh"])[by], rows.column("x").is_valid().to_numpy()[by]
+        starts = np.r_[0, np.flatnonzero((np.diff(page) != 0) | (np.diff(engine) != 0)) + 1]
+        read = [boxes[i:k] if real[i] else boxes[:0] for i, k in zip(starts, np.r_[starts[1:], len(page)], strict=True)]
+        page, order, engine = page[starts], order[starts], engine[starts]
+        ends = np.searchsorted(page, page, "right")
+        pairs = [(i, k) for i in range(len(read)) for k in range(i + 1, ends[i]) if order[k] > order[i]]
+        first, second = (np.array([p[x] for p in pairs], np.int64) for x in (0, 1))
+        scores = [boxes_iou(read[i], read[k]) for i, k in pairs]
+        yield pa.RecordBatch.from_pydict({"page_id": pa.array(page[first], pa.int64()), "engine_a": names.dictionary.take(pa.array(engine[first])), "engine_b": names.dictionary.take(pa.array(engine[second])), "bbox_iou": pa.array(scores, pa.float64())})
 
 
 def page_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean best-match overlap of word boxes of each pair of engines on each page, averaged over both directions.
 
-    A reading's boxes are gathered once, a page's readings in one row: bounded by what is printed on a page.
+    Words come to Python as rows in order of their pages, of which one is held at a time with a batch of rows: what a task
+    needs is bounded by what is printed on a page, however many pages it has.  A word without a box counts as one of no size.
     """
-    boxes = words(spark, sf_dir, "reading_id", "bbox").groupBy("reading_id").agg(F.collect_list("bbox").alias("boxes"))
-    per = usable_ids(spark, sf_dir).join(boxes, "reading_id", "left").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("run_order", "engine_name", "reading_id", "boxes"))).alias("r"))
-    found = per.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id").mapInArrow(_page_iou, "page_id long, engine_a string, engine_b string, bbox_iou double")
+    sides = [F.coalesce(F.col(f"bbox.{k}"), F.lit(0.0)).alias(k) for k in "xywh"]
+    boxes = words(spark, sf_dir, "reading_id", "bbox").select("reading_id", *sides)
+    # A reading without words keeps one row, whose box is null.
+    rows = usable_ids(spark, sf_dir).where("page_id is not null").join(boxes, "reading_id", "left").select("page_id", "run_order", "engine_name", *"xywh")
+    # Sorted by the page alone, which needs no comparisons; its readings are told apart in Python.
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id").sortWithinPartitions("page_id")
+    found = rows.mapInArrow(_page_iou, "page_id long, engine_a string, engine_b string, bbox_iou double")
     return found.withColumn("bbox_iou", F.round("bbox_iou", 6))
 
 

@@ -9,6 +9,7 @@ import zipfile
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -289,6 +290,50 @@ def test_boxes_iou():
         assert compare.boxes_iou(x, y) == pytest.approx((iou.max(1).mean() + iou.max(0).mean()) / 2)
 
 
+def test_whole_pages():
+    rng = np.random.default_rng(5)
+    for size in (1, 2, 3, 7, 100):
+        page = np.sort(rng.integers(0, 12, 60))
+        cut = pa.RecordBatch.from_pydict({"page_id": page, "n": np.arange(60)})
+        parts = list(compare.whole_pages([cut.slice(0, 0), *(cut.slice(i, size) for i in range(0, 60, size)), cut.slice(0, 0)]))
+        assert pa.concat_tables(parts).column("n").to_pylist() == list(range(60))
+        ids = [set(p.column("page_id").to_pylist()) for p in parts]
+        assert sum(map(len, ids)) == len(set(page.tolist())) and (size > 1 or all(len(x) == 1 for x in ids))
+
+
+def test_page_iou_takes_few_rows_at_a_time(spark, monkeypatch):
+    want = {(r.page_id, r.engine_a, r.engine_b): r.bbox_iou for r in compare.page_iou(spark, SF).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        # Pages of several batches, and all of them in one task.
+        assert {(r.page_id, r.engine_a, r.engine_b): r.bbox_iou for r in compare.page_iou(spark, SF).collect()} == want
+        as_page = lambda batches: (pa.RecordBatch.from_pydict({"page_id": [b.nbytes], "engine_a": [""], "engine_b": [""], "bbox_iou": [0.0]}) for b in batches)
+        monkeypatch.setattr(compare, "_page_iou", as_page)
+        sizes = [r.page_id for r in compare.page_iou(spark, SF).collect()]
+        assert max(sizes) < 10_000 and len(sizes) > 50, max(sizes)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_page_iou_counts_words_without_box(spark, tmp_path):
+    like = {n: spark.read.parquet(f"{SF}/{n}.parquet").schema for n in ("words", "readings", "engines")}
+    reading = lambda i, page, engine: (i, page, engine, "eng", 10, 10, "a b", 0.1, False, None, None, None)
+    word = lambda i, reading, box: (i, reading, 1, "p.pdf", "", i, None, "a", box, None, None, None, None)
+    rows = [reading(1, 1, "serifold"), reading(2, 1, "inkline"), reading(3, 1, "third"), reading(4, 2, "serifold"), reading(5, 2, "third")]
+    box = (0.1, 0.1, 0.2, 0.1)
+    written = [word(1, 1, box), word(2, 1, None), word(3, 2, box)]
+    for name, data in (("readings", rows), ("words", written), ("engines", [("inkline", 1, False, True), ("serifold", 2, False, True), ("third", 3, False, True)])):
+        spark.createDataFrame(data, like[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in like:
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = sorted(map(tuple, compare.page_iou(spark, str(tmp_path)).select("page_id", "engine_a", "engine_b", "bbox_iou").collect()))
+    assert got == [(1, "inkline", "serifold", 0.75), (1, "inkline", "third", 0.0), (1, "serifold", "third", 0.0), (2, "serifold", "third", 1.0)]
+    assert got == sorted(con.execute(f"select page_id, engine_a, engine_b, bbox_iou from ({catalog.oracle_sql()['page_iou']})").fetchall())
+
+
 def test_best_engine_of_one(spark, tmp_path):
     like = {n: spark.read.parquet(f"{SF}/{n}.parquet").schema for n in ("words", "page_images", "readings", "engines")}
     rows = [(1, 1, "serifold", "eng", 10, 10, "a b", 0.1, False, None, None, None), (2, 1, "inkline", "eng", 10, 10, "", 0.1, True, "timeout", None, None)]
